@@ -16,6 +16,8 @@ repeat an id follow each other in the order of their texts. An empty table gives
 from __future__ import annotations
 
 import io
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -118,28 +120,61 @@ def decode_slice_at(raw: bytes, starts: np.ndarray, first: int, end: int) -> np.
     return ids[first - a * BLOCK : end - a * BLOCK]
 
 
+#: Signs that end a chunk and are split off a letter or digit before them.
+_SIGNS = "!\"#$%&()*+,-./:;=?@[]_{|}~"
+#: ASCII and Latin letters, whose lower case does not depend on what surrounds them.
+_PLAIN = re.compile("[^\\x21-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]")
+
+
 class ChunkTokenizer:
-    """Ids of texts whose white-space chunks the tokenizer encodes independently.
+    """Ids of texts by a tokenizers file that lower-cases, drops white space and splits words from signs.
 
-    True of tokenizers that drop white space before words are split, as the default one does;
-    each distinct chunk goes through the library once.
+    Such a tokenizer encodes white-space chunks independently, and a chunk's trailing signs apart
+    from its words. Each distinct piece goes through the library once; `exact` turns the
+    shortcuts off and hands whole texts to the library.
     """
 
-    CACHE, LONG = 300_000, 128
+    CACHE, LONG = 400_000, 128
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, exact: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.tokenizer, self.exact = Tokenizer.from_file(path), exact
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, np.uint32).tobytes()
+
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, str]:
+        """(word, trailing signs): lower-cased where that is sure to be what the tokenizer does."""
+        word = chunk.rstrip(_SIGNS)
+        if not word or not word[-1].isalnum() or "<|" in chunk or _PLAIN.search(chunk):
+            return chunk, ""
+        return word.lower(), chunk[len(word) :]
+
+    def _learn(self, chunks: list[str]) -> None:
+        parts = [self._parts(c) for c in chunks]
+        new = [*{p for pair in parts for p in pair if p}.difference(self.pieces)]
+        self.pieces.update(zip(new, self._ids(new), strict=True))
+        for c, (word, signs) in zip(chunks, parts, strict=True):
+            self.known[c] = self.pieces[word] + self.pieces[signs] if signs else self.pieces[word] if word else b""
+        for p in new:
+            if len(p) > self.LONG:
+                del self.pieces[p]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.exact:
+            return [np.frombuffer(x, np.uint32) for x in self._ids(texts)]
         chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > self.CACHE:
+        if len(self.known) > self.CACHE or len(self.pieces) > self.CACHE:
             self.known.clear()
+            self.pieces.clear()
         new = [*set().union(*chunks).difference(self.known)]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, np.uint32).tobytes()
+        self._learn(new)
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, row)), np.uint32) for row in chunks]
         for c in new:
             if len(c) > self.LONG:
