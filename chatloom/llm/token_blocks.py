@@ -123,7 +123,7 @@ def decode_slice_at(raw: bytes, starts: np.ndarray, first: int, end: int) -> np.
 #: Signs that end a chunk and are split off a letter or digit before them.
 _SIGNS = "!\"#$%&()*+,-./:;=?@[]_{|}~"
 #: ASCII and Latin letters, whose lower case does not depend on what surrounds them.
-_PLAIN = re.compile("[^\\x21-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]")
+_PLAIN = re.compile("[^\\x21-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u024f]")
 
 
 class ChunkTokenizer:
