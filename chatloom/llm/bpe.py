@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def byte_chars() -> list[str]:
@@ -73,50 +75,76 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: Characters on which the standard library's classes agree with Unicode's letter, number and
+#: white-space classes; texts of other characters go through the slower engine.
+_PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]")
+
+
+def pretokenizer(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of the pattern. \\s is Unicode white space, which leaves U+001C..U+001F out."""
+    exact = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"[^\p{White_Space}]").replace(r"\s", r"\p{White_Space}")
+    full = regex.compile(exact).findall
+    plain = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d"))
+    if r"\p" in plain.pattern:
+        return full
+    fast = plain.findall
+    return lambda text: full(text) if _PLAIN.search(text) else fast(text)
+
+
 class Codec:
     """Encodes and decodes by ranks; keeps up to CACHE distinct pre-tokens."""
 
-    CACHE, LONG = 400_000, 256
+    CACHE, LONG = 600_000, 256
 
     def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)
         order = sorted(ranks, key=ranks.__getitem__)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
-        self.ids = [-1, *(ranks[t] for t in order)]  # piece number -> rank
+        # by piece number; 0 is <unk>
+        self.ids = [-1, *(ranks[t] for t in order)]
+        self.digits = [b"%d" % i for i in self.ids]
+        self.pieces = [b"", *order]
         self.bytes_of = {r: t for t, r in ranks.items()}
-        # \s of the pattern is Unicode white space, which leaves U+001C..U+001F out
-        self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"[^\p{White_Space}]").replace(r"\s", r"\p{White_Space}")).findall
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.find = pretokenizer(pattern)
+        self.known_ids: dict[str, bytes] = {}
+        self.known_bytes: dict[str, bytes] = {}
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def encode_tokens(self, tokens: list[str]) -> list[list[int]]:
-        """Ids of each pre-token."""
-        mapped = ["".join(map(_TO_CHARS.__getitem__, t.encode())) for t in tokens]
-        ids = self.ids
-        return [[ids[p] for p in row] for row in self.sp.encode(mapped, out_type=int, num_threads=1)] if mapped else []
+    def pieces_of(self, tokens: list[str]) -> list[list[int]]:
+        """Piece numbers of each pre-token."""
+        blank, mapped = _CHARS[32], []
+        for t in tokens:
+            plain = t.isascii() and t.isprintable()
+            mapped.append(t.replace(" ", blank) if plain else "".join(map(_TO_CHARS.__getitem__, t.encode())))
+        return self.sp.encode(mapped, out_type=int, num_threads=1) if mapped else []
 
     def encode(self, text: str) -> list[int]:
-        return [i for row in self.encode_tokens(self.find(text)) for i in row]
+        return [self.ids[p] for row in self.pieces_of(self.find(text)) for p in row]
 
     def _learn(self, tokens: set[str]) -> None:
         new = list(tokens)
-        for t, ids in zip(new, self.encode_tokens(new), strict=True):
-            self.known[t] = (len(ids), b" ".join(b"%d" % i for i in ids), self.decode(ids))
+        for t, row in zip(new, self.pieces_of(new), strict=True):
+            self.known_ids[t] = b" ".join(map(self.digits.__getitem__, row))
+            self.known_bytes[t] = b"".join(map(self.pieces.__getitem__, row))
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, sha256 of the ids, sha256 of the decoded bytes) of each text."""
-        for text in texts:
-            tokens = self.find(text or "")
-            if len(self.known) > self.CACHE:
-                self.known.clear()
-            self._learn(set(tokens) - self.known.keys())
-            rows = [*map(self.known.__getitem__, tokens)]
-            count, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
-            yield sum(count), hashlib.sha256(b" ".join(ids)).hexdigest(), hashlib.sha256(b"".join(back)).hexdigest()
-            for t in {t for t in tokens if len(t) > self.LONG}:
-                del self.known[t]
+        found = [self.find(t or "") for t in texts]
+        if len(self.known_ids) > self.CACHE:
+            self.known_ids.clear()
+            self.known_bytes.clear()
+        new = set().union(*found).difference(self.known_ids)
+        self._learn(new)
+        for tokens in found:
+            ids = b" ".join(map(self.known_ids.__getitem__, tokens))
+            back = hashlib.sha256()
+            back.update(b"".join(map(self.known_bytes.__getitem__, tokens)))
+            yield ids.count(b" ") + 1 if tokens else 0, hashlib.sha256(ids).hexdigest(), back.hexdigest()
+        for t in new:
+            if len(t) > self.LONG:
+                del self.known_ids[t], self.known_bytes[t]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -155,7 +183,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
             ids = [c.encode(t or "") for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, ids_out])
 
-    return rows.mapInArrow(run, rows.schema.add(ids_out, "array<int>"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(ids_out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_documents(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_out: str = "decoded") -> DataFrame:
@@ -169,4 +197,4 @@ def decode_documents(rows: DataFrame, path: str, pattern: str, ids_col: str = "i
             out = [c.decode(ids or []) for ids in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, bytes_out])
 
-    return rows.mapInArrow(run, rows.schema.add(bytes_out, "binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(bytes_out, T.BinaryType())]))
