@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_chars
 from .shared import id_shards, materialise, open_fs, shared_dir, shuffle_width
 from .words import slices, text_buffers
 
@@ -126,6 +127,9 @@ _SIGNS = "!\"#$%&()*+,-./:;=?@[]_{|}~"
 _PLAIN = re.compile("[^\\x21-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u024f]")
 
 
+_BYTE_CHARS = byte_chars()
+
+
 class ChunkTokenizer:
     """Ids of texts by a tokenizers file that lower-cases, drops white space and splits words from signs.
 
@@ -134,7 +138,7 @@ class ChunkTokenizer:
     shortcuts off and hands whole texts to the library.
     """
 
-    CACHE, LONG = 400_000, 128
+    CHUNKS, PIECES, LONG = 900_000, 700_000, 128
 
     def __init__(self, path: str, exact: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
@@ -143,6 +147,15 @@ class ChunkTokenizer:
         self.tokenizer, self.exact = Tokenizer.from_file(path), exact
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # the model alone is enough for a plain word if it agrees with the whole tokenizer
+        probes = ["the", "straße", "été", "nightingale"]
+        self.direct = [*map(self._word, probes)] == [*self._ids(probes)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one lower-case word of plain letters, straight from the byte-level model."""
+        mapped = word if word.isascii() else "".join(map(_BYTE_CHARS.__getitem__, word.encode()))
+        return np.array([t.id for t in self.model.tokenize(mapped)], np.uint32).tobytes()
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -159,7 +172,11 @@ class ChunkTokenizer:
     def _learn(self, chunks: list[str]) -> None:
         parts = [self._parts(c) for c in chunks]
         new = [*{p for pair in parts for p in pair if p}.difference(self.pieces)]
-        self.pieces.update(zip(new, self._ids(new), strict=True))
+        plain = {p for p in new if self.direct and p.isalpha() and p == p.lower() and not _PLAIN.search(p)}
+        for p in plain:
+            self.pieces[p] = self._word(p)
+        rest = [p for p in new if p not in plain]
+        self.pieces.update(zip(rest, self._ids(rest), strict=True))
         for c, (word, signs) in zip(chunks, parts, strict=True):
             self.known[c] = self.pieces[word] + self.pieces[signs] if signs else self.pieces[word] if word else b""
         for p in new:
@@ -170,7 +187,7 @@ class ChunkTokenizer:
         if self.exact:
             return [np.frombuffer(x, np.uint32) for x in self._ids(texts)]
         chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > self.CACHE or len(self.pieces) > self.CACHE:
+        if len(self.known) > self.CHUNKS or len(self.pieces) > self.PIECES:
             self.known.clear()
             self.pieces.clear()
         new = [*set().union(*chunks).difference(self.known)]
