@@ -86,27 +86,32 @@ def read_records(raw) -> Iterator[tuple[dict[str, str], bytes]]:
             yield headers, f.read(int(headers["content-length"]))
 
 
-def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to): payloads of at least min_bytes that an equal one with a larger page id stands for."""
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
-    # counted without the pages' bodies
-    last = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1 and last is not null")
-    refers = F.when((F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    return rows.join(last, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+def revisit_marks(sharded: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(shard, digest, last): payloads of at least min_bytes that occur again, in each shard that holds
+    them, with the largest page id. Pages are looked at without their bodies after hashing."""
+    rows = sharded.where(F.octet_length("html") >= min_bytes).select("shard", "page_id", F.sha1(F.col("html").cast("binary")).alias("digest"))
+    last = rows.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1 and last is not null")
+    return rows.select("shard", "digest").distinct().join(last.select("digest", "last"), "digest")
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
-    """Write page_id, url, html of pages; returns the manifest (path, records, bytes, crc32)."""
+    """Write page_id, url, html of pages; returns the manifest (path, records, bytes, crc32).
+
+    The bodies are shuffled once, to their shards; the shard's revisit marks come ahead of them.
+    """
     spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = id_shards(mark_revisits(rows, min_bytes), "page_id", rows_per_shard, "shard").select("shard", "page_id", "url", "html", "refers_to")
-    rows = rows.repartition(shuffle_width(spark), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", "html")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = id_shards(rows, "page_id", rows_per_shard, "shard")
+    marks = revisit_marks(rows, min_bytes).select("shard", F.lit(0).alias("kind"), F.col("last").alias("page_id"), F.col("digest").alias("url"), F.lit("").alias("html"))
+    rows = marks.unionByName(rows.select("shard", F.lit(1).alias("kind"), "page_id", "url", "html"))
+    rows = rows.repartition(shuffle_width(spark), "shard").sortWithinPartitions("shard", "kind", F.col("page_id").asc_nulls_first(), "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
         saved, open_file = [], None
+        last: dict[str, int] = {}
+        marked = None
 
         def close() -> None:
             nonlocal open_file
@@ -118,7 +123,12 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
             open_file = None
 
         for b in batches:
-            for shard, page_id, url, html, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for shard, kind, page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if shard != marked:
+                    last, marked = {}, shard
+                if kind == 0:
+                    last[url] = page_id
+                    continue
                 roll = 0
                 if open_file and (open_file[6][0] != shard or open_file[4] >= file_bytes):
                     roll = open_file[6][1] + 1 if open_file[6][0] == shard else 0
@@ -127,7 +137,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
                     name = f"pages-{shard:08d}-{roll:04d}.warc.gz"
                     temporary = f"{root}/.{name}.{uuid.uuid4().hex}.tmp"
                     open_file = [fs.open_output_stream(temporary, compression=None), temporary, name, 0, 0, 0, (shard, roll)]
-                raw = record_bytes(page_id, url or "", html.encode(), refers)
+                payload = html.encode()
+                refers = last.get(hashlib.sha1(payload).hexdigest()) if len(payload) >= min_bytes else None
+                raw = record_bytes(page_id, url, payload, None if refers == page_id else refers)
                 open_file[0].write(raw)
                 open_file[3] += 1
                 open_file[4] += len(raw)
