@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import chats as C
 from ..operators import episodes as E
 from ..operators import layers, prompts, ranking, reports, sessions, upsert, vectors, windows
+from ..sources.scratch import stored
 
 
 @dataclass
@@ -25,16 +26,19 @@ class Memory:
     docs: DataFrame
 
 
-def sync(dialogs: DataFrame, incoming: DataFrame, stored: DataFrame, cursors: DataFrame, before: int = windows.BEFORE, after: int = windows.AFTER) -> tuple[Memory, DataFrame]:
-    """(memory, cursors) after reading incoming messages: scored chats, upserted messages, layers, windows, episodes."""
+def sync(dialogs: DataFrame, incoming: DataFrame, base: DataFrame, cursors: DataFrame, before: int = windows.BEFORE, after: int = windows.AFTER) -> tuple[Memory, DataFrame]:
+    """(memory, cursors) after reading incoming messages: scored chats, upserted messages, layers, windows, episodes.
+
+    Messages, layers and segments are written once, as later steps read them several times.
+    """
     scored = C.score_chats(dialogs)
     wanted = incoming.join(C.chats_to_sync(scored).select(F.col("id").alias("chat_id")), "chat_id", "left_semi")
     new, marks = upsert.new_since_cursor(wanted, cursors)
-    messages = upsert.upsert(stored, new, ["chat_id", "telegram_id"], [c for c in upsert.MESSAGE_UPDATES if c in stored.columns])
-    messages = windows.participation_windows(messages, scored, before, after)
-    semantic, signals = layers.build_semantic(messages), layers.extract_signals(messages)
-    segmented = E.segment_episodes(messages.where(F.col("in_memory_window") & ~F.col("is_deleted")))
-    links = E.episode_links(segmented)
+    messages = upsert.upsert(base, new, ["chat_id", "telegram_id"], [c for c in upsert.MESSAGE_UPDATES if c in base.columns])
+    messages = stored(windows.participation_windows(stored(messages, "raw-messages"), scored, before, after), "messages")
+    semantic, signals = stored(layers.build_semantic(messages), "semantic"), stored(layers.extract_signals(messages), "signals")
+    segmented = stored(E.segment_episodes(messages.where(F.col("in_memory_window") & ~F.col("is_deleted"))), "segments")
+    links = stored(E.episode_links(segmented), "links")
     return Memory(scored, messages, semantic, signals, E.build_episodes(segmented), links, E.episode_docs(links, messages, semantic)), marks
 
 
