@@ -1,9 +1,11 @@
 """N-gram Jaccard join: which documents share at least 80 % of their five-word shingles.
 
-The method is a count-vector R-tree. A document's shingles are hashed into GROUPS groups and the
-group counts are its point; two documents share at most the sum of the coordinate minima of
-their points, so a pair or a page whose bound is too low is never compared, and pairs that
-survive are verified on the shingle sets.
+The method is a count-vector R-tree. A document's shingles are hashed into groups and the group
+counts are its point; two documents share at most the sum of the coordinate minima of their
+points, so a pair or a page whose bound is too low is never compared, and pairs that survive are
+verified on the shingle sets. A point has a power of two of groups, an eighth of the set's size
+or more, so that unrelated texts of any length differ enough; a longer point is folded by adding
+its halves when it meets a shorter one.
 
 A corpus-wide tree would compare far too much: unrelated texts have near-equal counts when groups
 are few, and bounding boxes of unrelated texts cover everything when groups are many. The points
@@ -13,16 +15,17 @@ are therefore first dealt into families that no link can leave:
    at most (a + b) / 9 <= a / 4 shingles, so among the first a / 4 + 1 filled cells of either at
    least one is the same in both. Those cells' contents are the document's keys; documents that
    share no key are not linked. Cells of very common shingles come last in the order.
-2. Documents under one key are paired (many of them: each with the first); pairs within the bound
-   make families.
+2. Documents under one key are paired, and pairs within the bound make families. Where many share a
+   key (a passage, or a large group of copies), their points are packed into pages, pages whose
+   corners leave a link possible are met, and only a spanning forest of the bounded pairs is kept.
 3. Each family is packed, in order of size and coordinates, into pages of up to PAGE points with
    an upper corner: the leaves of its tree. Pages are joined within, then their representatives
    with the family's first, then those pairs of pages that are not one component yet and whose
    corners leave a link possible. Every pair that shares a key is thus verified, ruled out by
    the bound or already connected; no group is expanded into all pairs.
 
-Equal sets are one point. Nothing but the common shingles of a bounded sample, and the points
-to look at again if they are at most BROADCAST_SETS, goes through the driver.
+Equal sets are one point. Nothing but the common shingles of a bounded sample, and the set ids
+to fetch if they are at most BROADCAST_SETS, goes through the driver.
 
 Defined results: null text, empty text and text without words has no shingles and is linked with
 nothing. Repeated rows are linked with each other. A null id is larger than all others: a
@@ -37,13 +40,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import components
 from .shared import materialise, shuffle_width
 from .words import SPACE_WORDS, mix, shingle_sets, slices, text_buffers, word_hashes
 
-GROUPS = 32
+#: Fewest and most groups of a point.
+GROUPS, MOST_GROUPS = 32, 1 << 16
 PAGE = 128
+#: Points in a page of those under one key.
+KEY_PAGE = 1024
 #: Documents under one key up to which all of them are paired.
 SMALL = 16
 #: Documents of the sample that tells common shingles, and in how many of them one must be.
@@ -72,20 +79,44 @@ def _sets(col) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         yield i, j, vals, offs, ids.view(np.int64)
 
 
+def _points(vals: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """Group counts of each set."""
+    low = (mix(vals ^ _U(0xB0B)) & _U(MOST_GROUPS - 1)).astype(np.int64)
+    out = []
+    for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        d = min(MOST_GROUPS, max(GROUPS, 1 << (max(1, j - i) - 1).bit_length() >> 3))
+        out.append(np.bincount(low[i:j] & (d - 1), minlength=d))
+    return out
+
+
+def _point_column(points: list[np.ndarray]) -> pa.Array:
+    sizes = np.cumsum([0, *map(len, points)])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(points) if points else [], pa.int32()))
+
+
+def _same_width(*points: list) -> list[np.ndarray]:
+    """Matrices of the point lists, folded to the fewest groups among them."""
+    d = min(len(p) for side in points for p in side)
+    return [np.array([np.asarray(p, np.int32).reshape(-1, d).sum(0, dtype=np.int32) for p in side]) for side in points]
+
+
 def set_ids(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with columns sid (id of the shingle set, null if empty) and n (its size), without the text."""
+    """docs with sid (id of the shingle set, null if empty), n (its size) and point (group counts) for the text."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sid, n = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            for i, j, _, offs, ids in _sets(b.column(at)):
+            point = []
+            for i, j, vals, offs, ids in _sets(b.column(at)):
                 sid[i:j], n[i:j] = ids, np.diff(offs)
+                point += _points(vals, offs)
             cols = [c for k, c in enumerate(b.columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sid, mask=n == 0), pa.array(n)], [*(x for x in b.schema.names if x != text_col), "sid", "n"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sid, mask=n == 0), pa.array(n), _point_column(point)], [*(x for x in b.schema.names if x != text_col), "sid", "n", "point"])
 
-    rest = docs.drop(text_col)
-    return docs.mapInArrow(run, rest.schema.add("sid", "long").add("n", "long"))
+    kept = [f for f in docs.schema.fields if f.name != text_col]
+    added = [T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("point", T.ArrayType(T.IntegerType()))]
+    return docs.mapInArrow(run, T.StructType([*kept, *added]))
 
 
 def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
@@ -140,8 +171,8 @@ def keys_of(vals: np.ndarray, offs: np.ndarray, common: np.ndarray) -> tuple[np.
     return key[keep], entry[at[keep]]
 
 
-def candidate_edges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, star): pairs of set ids that share a key, a < b; star: one of many under a key, with the first."""
+def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, many): pairs of set ids a < b that share a key; with many set, a key and one of the many set ids under it."""
     spark = docs.sparkSession
     parts = 2 * shuffle_width(spark)
     shared = spark.sparkContext.broadcast(common_shingles(docs, id_col, text_col))
@@ -187,7 +218,7 @@ def candidate_edges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if held:
             yield flush(keys, sids)
 
-    def edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sids = [], []
         for b in batches:
             for _, k, u, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
@@ -195,18 +226,18 @@ def candidate_edges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sids.append(np.repeat(np.frombuffer(u, np.int64), np.frombuffer(c, np.uint32)))
         if not keys:
             return
-        a, b, star = edges_under(np.concatenate(keys), np.concatenate(sids))
+        a, b, many = sharing(np.concatenate(keys), np.concatenate(sids))
         for at in range(0, len(a), 100_000):
             s = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(star[s])], ["a", "b", "star"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(many[s])], ["a", "b", "many"])
 
     blobs = docs.select(text_col).mapInArrow(key_rows, "part int, keys binary, sids binary, counts binary")
-    edges = blobs.repartition(shuffle_width(spark), "part").mapInArrow(edge_rows, "a long, b long, star boolean")
-    return edges.groupBy("a", "b").agg(F.max("star").alias("star"))
+    found = blobs.repartition(shuffle_width(spark), "part").mapInArrow(found_rows, "a long, b long, many boolean")
+    return found.distinct()
 
 
-def edges_under(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (a, b, star) of the set ids that share keys."""
+def sharing(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (a, b, many) of the set ids under each key."""
     order = np.lexsort((sids, keys))
     keys, sids = keys[order], sids[order]
     fresh = np.ones(len(keys), bool)
@@ -214,30 +245,21 @@ def edges_under(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndar
     keys, sids = keys[fresh], sids[fresh]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.append(begin, len(keys)))
-    pairs = []
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for m in np.unique(size[(size > 1) & (size <= SMALL)]):
         i, j = np.triu_indices(int(m), 1)
         at = begin[size == m][:, None]
-        pairs.append((sids[at + i].ravel(), sids[at + j].ravel(), False))
-    big = size > SMALL
-    if big.any():
-        owner = np.repeat(begin, size)
-        rest = np.flatnonzero(np.repeat(big, size))
-        rest = rest[rest != owner[rest]]
-        pairs.append((sids[owner[rest]], sids[rest], True))
-    if not pairs:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    a, b = (np.concatenate([p[c] for p in pairs]) for c in (0, 1))
-    star = np.concatenate([np.full(len(p[0]), p[2]) for p in pairs])
-    order = np.lexsort((~star, b, a))
-    a, b, star = a[order], b[order], star[order]
+        a.append(sids[at + i].ravel())
+        b.append(sids[at + j].ravel())
+    a, b = np.concatenate(a), np.concatenate(b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
     first = np.ones(len(a), bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[first], b[first], star[first]
-
-
-def _point(vals: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(vals ^ _U(0xB0B)) % _U(GROUPS)).astype(np.int64), minlength=GROUPS)
+    a, b = a[first], b[first]
+    rest = np.repeat(size > SMALL, size)
+    a, b = np.concatenate([a, keys[rest].view(np.int64)]), np.concatenate([b, sids[rest]])
+    return a, b, np.arange(len(a)) >= first.sum()
 
 
 def chosen_sets(docs: DataFrame, sids: DataFrame, text_col: str) -> DataFrame:
@@ -259,11 +281,9 @@ def chosen_sets(docs: DataFrame, sids: DataFrame, text_col: str) -> DataFrame:
                         seen.add(int(ids[d]))
                         pick.append(d)
                 if pick:
-                    own = [vals[offs[d] : offs[d + 1]] for d in pick]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[pick]), pa.array([len(x) for x in own], pa.int64()), pa.array([_point(x).tolist() for x in own], pa.list_(pa.int32())), pa.array([x.tobytes() for x in own], pa.binary())],
-                        ["sid", "n", "point", "shingles"],
-                    )
+                    points = _points(vals, offs)
+                    raw = [vals[offs[d] : offs[d + 1]].tobytes() for d in pick]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array(np.diff(offs)[pick]), _point_column([points[d] for d in pick]), pa.array(raw, pa.binary())], ["sid", "n", "point", "shingles"])
 
     rows = docs.select(text_col).mapInArrow(run, "sid long, n long, point array<int>, shingles binary")
     return rows if few is not None else rows.join(sids, "sid", "left_semi")
@@ -294,12 +314,14 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(i, len(y) - 1)] == x).sum())
 
 
-def _bounded_pairs(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+def _bounded_pairs(p: list, n: np.ndarray, q: list, m: np.ndarray) -> np.ndarray:
     """Index pairs whose summed coordinate minima leave a link possible."""
+    p, q = _same_width(p, q)
+    rows = max(1, (1 << 21) // q.size)
     out = []
-    for at in range(0, len(p), 32):
-        overlap = np.minimum(p[at : at + 32, None], q[None]).sum(2)
-        out.append(np.argwhere(_enough(overlap, n[at : at + 32, None], m[None])) + [at, 0])
+    for at in range(0, len(p), rows):
+        overlap = np.minimum(p[at : at + rows, None], q[None]).sum(2)
+        out.append(np.argwhere(_enough(overlap, n[at : at + rows, None], m[None])) + [at, 0])
     return np.concatenate(out)
 
 
@@ -338,7 +360,7 @@ def _pages(family_points: DataFrame) -> DataFrame:
             cols = [*zip(*out, strict=True)] if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["sid", "fam", "page"])
 
-    rows = family_points.select("fam", "sid", "n", *(F.col("point")[i].alias(f"c{i}") for i in range(3)))
+    rows = family_points.select("fam", "sid", "n", *(F.get("point", F.lit(i)).alias(f"c{i}") for i in range(3)))
     order = ["fam", "n", "c0", "c1", "c2", "sid"]
     width = shuffle_width(family_points.sparkSession)
     return rows.repartitionByRange(width, *order).sortWithinPartitions(*order).select("fam", "sid").mapInArrow(run, "sid long, fam long, page long")
@@ -351,7 +373,7 @@ def _join_within(rows: DataFrame) -> DataFrame:
         for group in _groups(batches, "page"):
             group = [*{r["sid"]: r for r in group}.values()]
             sets, n = _unpack([r["shingles"] for r in group]), np.array([r["n"] for r in group])
-            points, u = np.array([r["point"] for r in group]), _Union(len(group))
+            points, u = [r["point"] for r in group], _Union(len(group))
             for i, j in _bounded_pairs(points, n, points, n):
                 if i < j and u.find(i) != u.find(j) and _enough(_shared(sets[i], sets[j]), n[i], n[j]):
                     u.join(i, j)
@@ -387,9 +409,11 @@ def _page_blobs(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "page"):
             group = [*{r["sid"]: r for r in group}.values()]
+            (point,) = _same_width([r["point"] for r in group])
             cols = [
                 pa.array([group[0]["page"]], pa.int64()),
-                *(pa.array([np.array([r[c] for r in group], np.int64).tobytes()], pa.binary()) for c in ("n", "comp", "point")),
+                *(pa.array([np.array([r[c] for r in group], np.int64).tobytes()], pa.binary()) for c in ("n", "comp")),
+                pa.array([point.tobytes()], pa.binary()),
                 pa.array([b"".join(r["shingles"] for r in group)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(cols, ["page", "n", "comp", "point", "shingles"])
@@ -397,6 +421,19 @@ def _page_blobs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "page long, n binary, comp binary, point binary, shingles binary")
 
 
+def _page_boxes(rows: DataFrame) -> DataFrame:
+    """(fam, page, low, high, c, d, upper) of each page: sizes, least and greatest component, upper corner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "page"):
+            (point,) = _same_width([r["point"] for r in group])
+            n, comp = [r["n"] for r in group], [r["comp"] for r in group]
+            row = (group[0]["fam"], group[0]["page"], min(n), max(n), min(comp), max(comp))
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row), pa.array([point.max(0).tolist()], pa.list_(pa.int32()))], ["fam", "page", "low", "high", "c", "d", "upper"])
+
+    return rows.mapInArrow(run, "fam long, page long, low long, high long, c long, d long, upper array<int>")
+
+
 def _join_pages(pairs: DataFrame) -> DataFrame:
     """(a, b): components linked by documents of two pages; rows hold both pages' blobs."""
 
@@ -407,7 +444,7 @@ def _join_pages(pairs: DataFrame) -> DataFrame:
                 side = []
                 for c in (0, 4):
                     n, comp = (np.frombuffer(b.column(c + k)[at].as_py(), np.int64) for k in (0, 1))
-                    point = np.frombuffer(b.column(c + 2)[at].as_py(), np.int64).reshape(len(n), GROUPS)
+                    point = np.frombuffer(b.column(c + 2)[at].as_py(), np.int32).reshape(len(n), -1)
                     sets = np.split(np.frombuffer(b.column(c + 3)[at].as_py(), np.uint64), np.cumsum(n)[:-1])
                     side.append((n, comp, point, sets))
                 (n, comp, point, sets), (m, other, point2, sets2) = side
@@ -425,23 +462,119 @@ def _join_pages(pairs: DataFrame) -> DataFrame:
     return pairs.select(*names).mapInArrow(run, "a long, b long")
 
 
+def _joined(u: _Union, p: list, n: np.ndarray, q: list, m: np.ndarray, left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
+    """Joins the nodes of all pairs within the bound; yields the nodes of those that were apart. Ends when all are one."""
+    p, q = _same_width(p, q)
+    apart = len({u.find(x) for x in [*left, *right]}) - 1
+    rows = max(1, (1 << 20) // q.size)
+    for at in range(0, len(p), rows):
+        if not apart:
+            return
+        overlap = np.minimum(p[at : at + rows, None], q[None]).sum(2)
+        for i, j in np.argwhere(_enough(overlap, n[at : at + rows, None], m[None])):
+            x, y = left[at + i], right[j]
+            if u.find(x) != u.find(y):
+                u.join(x, y)
+                apart -= 1
+                yield x, y
+
+
+def _point_pages(members: DataFrame) -> DataFrame:
+    """A row for each page of rows (key, sid, n, point): KEY_PAGE points of a key, in order of size and
+    coordinates. heads has, for each point, the smallest set id that pairs within the bound join it to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "key"):
+            for at in range(0, len(group), KEY_PAGE):
+                part = group[at : at + KEY_PAGE]
+                part.sort(key=lambda r: r["sid"])  # the smallest id of a component is its root
+                (point,) = _same_width([r["point"] for r in part])
+                n, sids, u = np.array([r["n"] for r in part]), np.array([r["sid"] for r in part]), _Union(len(part))
+                own = [*range(len(part))]
+                for _ in _joined(u, point, n, point, n, own, own):
+                    pass
+                cols = [
+                    pa.array([part[0]["key"]], pa.int64()), pa.array([part[0]["sid"]], pa.int64()), pa.array([int(n.min())], pa.int64()), pa.array([int(n.max())], pa.int64()), pa.array([point.max(0).tolist()], pa.list_(pa.int32())),
+                    *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (sids, sids[[u.find(i) for i in own]], n)), pa.array([point.tobytes()], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "page", "low", "high", "upper", "sids", "heads", "ns", "points"])
+
+    order = ["key", "n", "c0", "c1", "c2", "sid"]
+    rows = members.select("key", "sid", "n", "point", *(F.get("point", F.lit(i)).alias(f"c{i}") for i in range(3)))
+    rows = rows.repartitionByRange(shuffle_width(members.sparkSession), *order).sortWithinPartitions(*order).select("key", "sid", "n", "point")
+    return rows.mapInArrow(run, "key long, page long, low long, high long, upper array<int>, sids binary, heads binary, ns binary, points binary")
+
+
+def _sizes_fit(k: int, j: int):
+    return (4 * F.col(f"low{k}") <= 5 * F.col(f"high{j}")) & (4 * F.col(f"low{j}") <= 5 * F.col(f"high{k}"))
+
+
+def _pairs_within(rows: DataFrame, keep: list[str], points: tuple[str, str], sizes: tuple[str, str]) -> DataFrame:
+    """rows[keep] whose two points (or corners) leave a link of sizes at least these possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = np.zeros(b.num_rows, bool)
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                for i, (p, q, m, n) in enumerate(zip(*(part.column(len(keep) + c).to_pylist() for c in range(4)), strict=True)):
+                    p, q = _same_width([p], [q])
+                    ok[at + i] = _enough(int(np.minimum(p, q).sum()), m, n)
+            yield b.select(range(len(keep))).filter(pa.array(ok))
+
+    return rows.select(*keep, *points, *sizes).mapInArrow(run, rows.select(*keep).schema)
+
+
+def bounded_forest(members: DataFrame) -> DataFrame:
+    """(a, b): edges that join, for each key, what its points' pairs within the bound join."""
+    pages = materialise(_point_pages(members), "key-pages")
+    cols = ("heads", "ns", "points")
+    one, two = (pages.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("page", "low", "high", "upper", *cols))) for k in (1, 2))
+    keep = [f"{c}{k}" for k in (1, 2) for c in cols]
+    pairs = _pairs_within(one.join(two, "key").where((F.col("page1") < F.col("page2")) & _sizes_fit(1, 2)), keep, ("upper1", "upper2"), ("low1", "low2"))
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, h in zip(*b.columns, strict=True):
+                s, h = np.frombuffer(s.as_py(), np.int64), np.frombuffer(h.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[s != h]), pa.array(s[s != h])], ["a", "b"])
+
+    def bridges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row in zip(*b.columns, strict=True):
+                h1, n1, p1, h2, n2, p2 = (np.frombuffer(x.as_py(), np.int32 if c % 3 == 2 else np.int64) for c, x in enumerate(row))
+                heads = [*dict.fromkeys([*h1.tolist(), *h2.tolist()])]
+                number = {x: i for i, x in enumerate(heads)}
+                left, right = [number[x] for x in h1.tolist()], [number[x] for x in h2.tolist()]
+                for x, y in _joined(_Union(len(heads)), p1.reshape(len(h1), -1), n1, p2.reshape(len(h2), -1), n2, left, right):
+                    out.append(sorted((heads[x], heads[y])))
+            cols = [*zip(*out, strict=True)] if out else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    near = pages.select("sids", "heads").mapInArrow(stars, "a long, b long")
+    return near.union(pairs.select(*keep).mapInArrow(bridges, "a long, b long")).distinct()
+
+
 def _by_page(rows: DataFrame) -> DataFrame:
     return rows.repartition(shuffle_width(rows.sparkSession), "page").sortWithinPartitions("page", "sid")
 
 
-def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(sid, comp) of the sets that have a candidate partner: sets of equal comp are linked."""
-    edges = materialise(candidate_edges(docs, id_col, text_col), "candidate-edges")
-    sids = materialise(edges.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "candidate-ids")
-    sets = materialise(chosen_sets(docs, sids, text_col), "candidate-sets")
-    points = sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+def linked_sets(docs: DataFrame, own: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(sid, comp) of the sets that may have a partner: sets of equal comp are linked. own: set_ids of the docs."""
+    found = materialise(candidates(docs, id_col, text_col), "candidates")
+    points = own.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    asked = found.select(F.explode(F.when(F.col("many"), F.array("b")).otherwise(F.array("a", "b"))).alias("sid")).distinct()
+    points = materialise(points.join(asked, "sid"), "candidate-points")
 
     # the bound on pairs, then families
     side = lambda c: points.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
-    minima = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = edges.join(side("a"), "a").join(side("b"), "b").where(F.col("star") | _enough(minima, F.col("n_a"), F.col("n_b")))
-    family = components(near.select("a", "b")).select(F.col("node").alias("sid"), F.col("comp").alias("fam"))
+    pairs = found.where("not many").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    near = _pairs_within(pairs, ["a", "b"], ("p_a", "p_b"), ("n_a", "n_b"))
+    many = found.where("many").select(F.col("a").alias("key"), F.col("b").alias("sid")).join(points, "sid")
+    family = components(near.union(bounded_forest(many))).select(F.col("node").alias("sid"), F.col("comp").alias("fam"))
     pages = materialise(_pages(points.join(family, "sid")), "pages")
+    sets = materialise(chosen_sets(docs, pages, text_col), "family-sets")
 
     local = materialise(_join_within(_by_page(sets.join(pages, "sid").select("sid", "fam", "page", "n", "point", "shingles"))), "page-components")
     links = local.select(F.col("sid").alias("a"), F.col("local").alias("b"))
@@ -459,14 +592,11 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = materialise(joined.join(points, "sid"), "large-family-points")
 
     # pages that are not one component and whose corners leave a link possible
-    corner = [F.max(F.col("point")[i]).alias(f"u{i}") for i in range(GROUPS)]
-    boxes = joined.groupBy("fam", "page").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c"), F.max("comp").alias("d"), *corner)
-    boxes = boxes.select("fam", "page", "low", "high", "c", "d", F.array(*(f"u{i}" for i in range(GROUPS))).alias("upper"))
+    boxes = materialise(_page_boxes(_by_page(joined.select("sid", "page", "fam", "n", "comp", "point"))), "page-boxes")
     first, second = (boxes.select("fam", *(F.col(x).alias(f"{x}{k}") for x in ("page", "low", "high", "c", "d", "upper"))) for k in (1, 2))
-    reach = F.aggregate(F.zip_with("upper1", "upper2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     open_ = ~((F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col("c1") == F.col("c2")))
-    sizes = (4 * F.col("low1") <= 5 * F.col("high2")) & (4 * F.col("low2") <= 5 * F.col("high1"))
-    todo = first.join(second, "fam").where((F.col("page1") < F.col("page2")) & open_ & sizes & _enough(reach, F.col("low1"), F.col("low2"))).select("page1", "page2")
+    todo = first.join(second, "fam").where((F.col("page1") < F.col("page2")) & open_ & _sizes_fit(1, 2))
+    todo = _pairs_within(todo, ["page1", "page2"], ("upper1", "upper2"), ("low1", "low2"))
     todo = materialise(todo, "page-pairs")
     if not todo.isEmpty():
         asked = todo.select(F.explode(F.array("page1", "page2")).alias("page")).distinct()
@@ -482,8 +612,9 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) per row of docs."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    comp = linked_sets(rows, "id", "text")
-    own = materialise(set_ids(rows), "set-ids").join(comp, "sid", "left").select("id", "n", "sid", F.coalesce("comp", "sid").alias("comp"))
+    own = materialise(set_ids(rows), "set-ids")
+    comp = linked_sets(rows, own, "id", "text")
+    own = own.join(comp, "sid", "left").select("id", "n", "sid", F.coalesce("comp", "sid").alias("comp"))
     least = own.where("sid is not null").groupBy("comp").agg(F.min("id").alias("least"))
     return own.join(least, "comp", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
@@ -496,8 +627,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Columns stay. Rows are told apart by id and text; rows that repeat both count as copies.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    comp = linked_sets(rows.select("id", "text"), "id", "text")
-    own = materialise(set_ids(rows), "set-ids").where("sid is not null").join(comp, "sid", "left")
+    own = materialise(set_ids(rows), "set-ids")
+    comp = linked_sets(rows.select("id", "text"), own, "id", "text")
+    own = own.where("sid is not null").join(comp, "sid", "left")
     own = own.groupBy(F.coalesce("comp", "sid").alias("comp"), "id", "th").agg(F.count("*").alias("copies"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("th"))
     best = own.groupBy("comp").agg(F.min(order).alias("best"))
