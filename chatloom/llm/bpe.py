@@ -94,7 +94,7 @@ def pretokenizer(pattern: str) -> Callable[[str], list[str]]:
 class Codec:
     """Encodes and decodes by ranks; keeps up to CACHE distinct pre-tokens."""
 
-    CACHE, LONG = 600_000, 256
+    CACHE, LONG = 200_000, 256
 
     def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)

@@ -27,7 +27,7 @@ from .words import slices, text_buffers
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 24_000
 #: Long texts are parsed in segments of so many bytes, each starting a new phrase.
 SEGMENT = 1024
-_BYTES_AT_ONCE = 4 << 20
+_BYTES_AT_ONCE = 2 << 20
 
 
 def training_sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> dict[str, str]:

@@ -58,7 +58,7 @@ HOT_SAMPLE, HOT = 8000, 8
 #: Set ids that are sent to all executors; more are joined by a shuffle.
 BROADCAST_SETS = 2_000_000
 #: Keys that a task gathers before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 500_000
 
 _U = np.uint64
 
