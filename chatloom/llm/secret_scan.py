@@ -6,7 +6,8 @@ ordinary writing made it: how the alphabet is used, the runs of the character cl
 serial dependence of the characters. They are log ratios of writing against the encoding and are
 added up (`p_value`), so that tokens of 16 characters can already be told. Power depends on
 length, so the discoveries are controlled (Benjamini-Hochberg) within each length class over the
-whole corpus.
+whole corpus. A run of more than BLOCK characters is tested in even blocks, each with a verdict and
+a span of its own, to its end.
 
 Defined results: null text is empty; empty text has no spans. Repeated rows are scanned alike and
 each counts as a test. Other columns are not read by `scan`; `redact` keeps them.
@@ -38,6 +39,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_RANDOM = 6, 20, 24, 16
 _TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
 #: Upper ends of the length classes, and the false-discovery rate within each.
 LENGTH_CLASSES, FDR = (19, 23, 31, 47, 79, 1 << 30), 0.001
+#: Longer runs are cut into blocks of at most so many characters (and at least half as many).
+BLOCK = 256
 #: -log10 p is counted in bins of 1/BIN up to BINS.
 BIN, BINS = 4, 160
 
@@ -135,14 +138,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def blocks(start: int, end: int) -> list[tuple[int, int]]:
+    """The even blocks of a run; one if it is short."""
+    n = -(-(end - start) // BLOCK)
+    cuts = [start + i * (end - start) // n for i in range(n + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, bin of -log10 p) of the tokens outside the base spans."""
+    """(start, end, length class, bin of -log10 p) of the tokens' blocks outside the base spans."""
     out = []
     for m in _TOKEN.finditer(text):
-        t = m[0]
-        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and not any(b < m.end() and m.start() < e for b, _, e in base):
-            length = next(i for i, most in enumerate(LENGTH_CLASSES) if len(t) <= most)
-            out.append((m.start(), m.end(), length, min(BINS, int(-log10(max(p_value(t), 1e-300)) * BIN))))
+        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+            for start, end in blocks(m.start(), m.end()):
+                if not any(b < end and start < e for b, _, e in base):
+                    length = next(i for i, most in enumerate(LENGTH_CLASSES) if end - start <= most)
+                    out.append((start, end, length, min(BINS, int(-log10(max(p_value(text[start:end]), 1e-300)) * BIN))))
     return out
 
 
@@ -249,11 +260,13 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", fdr:
             base, cand = _scan_column(col)
             changed = {}
             for i, (xs, ys) in enumerate(zip(base.to_pylist(), cand.to_pylist(), strict=True)):
-                spans = sorted([(x["s"], x["e"]) for x in xs] + [(y["s"], y["e"]) for y in ys if y["bin"] >= least[y["len"]]])
+                found = [(y["s"], y["e"]) for y in ys if y["bin"] >= least[y["len"]]]
+                spans = sorted([(x["s"], x["e"]) for x in xs] + found)
                 if spans:
-                    text, out, end = col[i].as_py(), [], 0
-                    for s, e in spans:
-                        if s >= end:
+                    text, out, end, random = col[i].as_py(), [], 0, set(found)
+                    for k, (s, e) in enumerate(spans):
+                        # touching blocks of a run get one mask
+                        if s > end or (s == end and not (k and {spans[k - 1], (s, e)} <= random)):
                             out += [text[end:s], mask]
                         end = max(end, e)
                     changed[i] = "".join(out) + text[end:]

@@ -56,3 +56,22 @@ def test_short_random_tokens(spark, length, least):
 @pytest.mark.parametrize("plain", ["abcdefghijklm0123456789nopq", "a1b2c3d4e5f6g7h8i9", "Zq8Xv2Lm" * 3, "aaaa1111" * 2, "a1" * 20, "A" * 60 + "1", string.ascii_letters + string.digits, "2024-01-15T12-30-55Z", "the-old-man-and-the-sea-2"])
 def test_plain_tokens(plain):
     assert secret_scan.p_value(plain) > 0.1
+
+
+def test_runs_beyond_a_block(spark):
+    """Plain and random parts of a long run have verdicts of their own, to its end."""
+    rng = random.Random(1)
+    blob = "".join(rng.choice(ALPHABETS["base64"]) for _ in range(6000))
+    plain = "the-old-man-and-the-sea-2/" * 240
+    texts = [f"x {plain}{blob} y", f"x {blob}{plain} y", f"x {plain} y", f"x {blob} y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    secret = [(2 + len(plain), 2 + len(plain) + len(blob)), (2, 2 + len(blob)), (0, 0), (2, 2 + len(blob))]
+    for r in secret_scan.span_digest(secret_scan.scan(docs)).collect():
+        start, end = secret[r.doc_id]
+        found = {i for s, e in random_spans(r.spans) for i in range(s, e)}
+        # the parts meet within one block
+        assert len(found ^ set(range(start, end))) < 256
+    masked = [r.text for r in secret_scan.redact(docs).orderBy("doc_id").collect()]
+    assert [t.count("[SECRET]") for t in masked] == [1, 1, 0, 1]
+    assert masked[2] == texts[2] and masked[3] == "x [SECRET] y"
+    assert all(plain[:5900] in t for t in (masked[0], masked[2])) and plain[-5900:] in masked[1]
