@@ -16,6 +16,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A fixed rule: (host, path prefix, verdict). Its printed form is host + path.
@@ -60,15 +62,12 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, segments)))
 
 
-def mine_rules(
-    labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.2, min_lift: float = 1.2, max_tokens: int = 2
-) -> DataFrame:
-    """Rules (tokens, confidence, n) that predict blocking, from labelled (tokens, blocked boolean).
+def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.2, min_lift: float = 1.2) -> DataFrame:
+    """Rules (tokens, confidence) that predict blocking, from labelled (tokens, blocked boolean).
 
     Kept: support >= min_support of all labelled urls, confidence >= min_confidence and at least
-    min_lift times the share of blocked urls, at most max_tokens tokens. Support bounds the rules:
-    a url of m tokens has at most m (m + 1) / 2 combinations of two, so there are at most
-    that many / min_support of them.
+    min_lift times the share of blocked urls, whatever the number of tokens. Support bounds the
+    rules: a url of m tokens has at most 2^m combinations, so there are at most that many / min_support.
     """
     rows = labelled.where(F.col("blocked").isNotNull() & F.col("tokens").isNotNull())
     # the label is an item like the rest
@@ -77,13 +76,27 @@ def mine_rules(
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     base = rows.agg(F.avg(F.col("blocked").cast("double")).alias("base"))
     return (
-        model.associationRules.where((F.col("consequent") == F.array(F.lit("=block"))) & (F.size("antecedent") <= max_tokens))
+        model.associationRules.where(F.col("consequent") == F.array(F.lit("=block")))
         .crossJoin(F.broadcast(base))  # one row
         .where(F.col("confidence") >= min_lift * F.col("base"))
         .select(F.array_sort("antecedent").alias("tokens"), "confidence")
     )
 
 
+def drop_dominated(rules: DataFrame) -> DataFrame:
+    """rules without those of which fewer tokens have at least the confidence.
+
+    The shorter rule fits wherever the longer one does, so no url's best confidence changes.
+    Pairs meet by the shorter rule's first token.
+    """
+    longer = rules.select(F.col("tokens").alias("long_tokens"), F.col("confidence").alias("long_confidence"), F.explode("tokens").alias("token"))
+    shorter = rules.withColumn("token", F.get("tokens", F.lit(0)))
+    dominated = longer.join(shorter, "token").where(
+        (F.size("tokens") < F.size("long_tokens")) & (F.col("confidence") >= F.col("long_confidence")) & (F.size(F.array_except("tokens", "long_tokens")) == 0)
+    )
+    return rules.join(dominated.select(F.col("long_tokens").alias("tokens")).distinct(), "tokens", "left_anti")
+
+
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Best confidence of a mined rule for each distinct token set of urls (columns set_key, tokens).
 
@@ -110,18 +123,22 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", **mining) -> DataFrame:
-    """(id, host, path, rule, verdict, confidence) for each row of pages.
+def judge_urls(
+    pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", block_confidence: float = 0.5, **mining
+) -> DataFrame:
+    """(id, host, path, rule, verdict) for each row of pages.
 
     labels: (id, blocked boolean), joined by id to learn which urls to block; null ids or labels
-    teach nothing. verdict: the fixed rule's, else block if a mined rule matches, else allow.
+    teach nothing. verdict: the fixed rule's, else block if a mined rule of at least
+    block_confidence matches (half its labelled urls or more are blocked), else allow.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_key"), host.alias("host"), path.alias("path")).withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
     known = urls.join(labels.select(F.col("id").alias("page_key"), "blocked"), "page_key")
-    mined = mine_rules(known, **mining)
+    # mined once, read several times
+    mined = materialise(mine_rules(known, **mining).where(F.col("confidence") >= block_confidence), "url-rules")
     keyed = urls.withColumn("set_key", F.md5(F.array_join(F.array_sort("tokens"), " ")))
-    best = match_rules(keyed, mined)
+    best = match_rules(keyed, drop_dominated(mined))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     return keyed.join(best, "set_key", "left").select(
         F.col("page_key").alias(id_col),
