@@ -13,6 +13,7 @@ judged alike. Columns named like the outputs are replaced; other columns stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,33 +26,72 @@ from .words import slices, text_buffers
 
 #: Bounds of the training sample: documents and characters for each label.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 24_000
+#: A document's share of the sample is taken in windows of about so many characters.
+WINDOW = 128
 #: Long texts are parsed in segments of so many bytes, each starting a new phrase.
 SEGMENT = 1024
 _BYTES_AT_ONCE = 2 << 20
 
 
+def _shares(lengths: list[int]) -> list[int]:
+    """Characters to take from each text: alike, what short texts leave goes to the longer ones."""
+    out, left = [0] * len(lengths), SAMPLE_CHARS
+    for done, i in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
+        out[i] = min(lengths[i], left // (len(lengths) - done))
+        left -= out[i]
+    return out
+
+
+def _windows(length: int, share: int, seed: int) -> list[tuple[int, int]]:
+    """(start from 1, characters) of windows of share characters in all, one at a hashed place of each even part of the text."""
+    if share <= 0:
+        return []
+    n = -(-share // WINDOW)
+    out = []
+    for k in range(n):
+        lo, hi = k * length // n, (k + 1) * length // n
+        size = min(hi - lo, (k + 1) * share // n - k * share // n)
+        place = int.from_bytes(blake2b(f"{seed},{k}".encode(), digest_size=8).digest(), "big") % (hi - lo - size + 1)
+        out.append((lo + place + 1, size))
+    return out
+
+
 def training_sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> dict[str, str]:
-    """Label -> text: from each label's SAMPLE_DOCS documents of least hashed id, SAMPLE_CHARS in all.
+    """Label -> text: SAMPLE_CHARS (and blanks between windows) from each label's SAMPLE_DOCS different texts of least hashed id.
 
-    usable: condition on the rows that may teach. The ids are picked without reading texts.
+    usable: condition on the rows that may teach. Texts without a letter teach nothing, and copies
+    count once (compared by 64-bit hashes). Each text gives an even share, spread over its whole length.
     """
-    share = SAMPLE_CHARS // SAMPLE_DOCS
-    rows = docs.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    w = Window.partitionBy("label").orderBy("h", "id")
+    rows = docs.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.col(label_col).alias("label"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("th"))
+    w = Window.partitionBy("label").orderBy("h", "id", "th")
     picked = (
-        rows.select(F.col(label_col).alias("label"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"))
+        rows.groupBy("label", "th")
+        .agg(F.min("id").alias("id"), F.min(F.length("t")).alias("length"))
+        .withColumn("h", F.xxhash64("id"))
         .withColumn("n", F.row_number().over(w))
         .where(F.col("n") <= SAMPLE_DOCS)
-        .select("label", "id")
-        .distinct()
+        .select("label", "id", "th", "length")
     )
-    texts = rows.select(F.col(label_col).alias("label"), F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), ["label", "id"])
-    found = sorted((r.label, r.id, r.t) for r in texts.select("label", "id", F.substring("t", 1, 4 * share).alias("t")).collect() if r.t)
-    out: dict[str, str] = {}
-    for label, _, t in found:
-        if len(out.get(label, "")) < SAMPLE_CHARS:
-            out[label] = out.get(label, "") + " " + t
-    return {k: v[: SAMPLE_CHARS] for k, v in out.items()}
+    by_label: dict[str, list] = {}
+    for r in sorted(picked.collect(), key=lambda r: (r.label, r.id, r.th)):
+        by_label.setdefault(r.label, []).append(r)
+    wanted = []
+    for mine in by_label.values():
+        for r, share in zip(mine, _shares([r.length for r in mine]), strict=True):
+            wanted.append((r.label, r.id, r.th, _windows(r.length, share, r.th)))
+    if not wanted:
+        return {}
+    fields = [rows.schema[c] for c in ("label", "id", "th")]
+    part = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("size", T.IntegerType())])
+    wanted = docs.sparkSession.createDataFrame(wanted, T.StructType([*fields, T.StructField("parts", T.ArrayType(part))]))
+    texts = rows.join(F.broadcast(wanted), ["label", "id", "th"])
+    cut = F.array_join(F.transform("parts", lambda x: F.substring(F.col("t"), x["at"], x["size"])), " ")
+    found = {(r.label, r.id, r.th): r.t for r in texts.select("label", "id", "th", cut.alias("t")).collect()}
+    out: dict[str, list[str]] = {}
+    for key in sorted(found):
+        out.setdefault(key[0], []).append(found[key])
+    return {k: " ".join(v) for k, v in out.items()}
 
 
 def _byte_codes() -> np.ndarray:

@@ -15,8 +15,10 @@ from chatloom.llm.shared import crc_mod, materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (no letters at all, or null) go."""
+    """Documents in no language (no letters at all, or null) go, whether or not a language was learned."""
     sample = langid.training_sample(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    if not sample:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = langid.identify(docs, sample, label_out="lid__label", score_out="lid__score")
     return judged.where(F.col("lid__label") != "und").select(*docs.columns)
 
