@@ -3,10 +3,13 @@
 Each byte is mapped to one printable character, so the vocabulary's byte strings become pieces.
 A piece's score is its negative rank: sentencepiece merges the best-scored neighbours first, as
 rank-ordered BPE does. Texts are cut into pre-tokens by the vocabulary's pattern; each distinct
-pre-token is encoded once per batch and looked up after that.
+pre-token is encoded once and looked up after that. Decoding starts from the ids alone.
 
 Defined results: null text is empty: no ids, an empty byte string. Repeated rows are encoded
-alike. Very long texts are cut by the pattern like others; only ids of one batch are held.
+alike. Very long texts are cut by the pattern like others; only the ids of about SLICE bytes of
+text (or of one longer text) are held. An empty table gives no rows. `encode_documents` and
+`decode_documents` replace a column named like their output; `token_digests` keeps the id only,
+so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import clear_after_task, tidy
+from .words import slices, text_buffers
+
 
 def byte_chars() -> list[str]:
     """One character for each byte: printable Latin-1 as itself, the rest from U+0100 on."""
@@ -92,9 +98,9 @@ def pretokenizer(pattern: str) -> Callable[[str], list[str]]:
 
 
 class Codec:
-    """Encodes and decodes by ranks; keeps up to CACHE distinct pre-tokens."""
+    """Encodes and decodes by ranks; keeps up to CACHE bytes of distinct pre-tokens and their ids."""
 
-    CACHE, LONG = 200_000, 256
+    CACHE, LONG = 12 << 20, 256
 
     def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)
@@ -103,11 +109,15 @@ class Codec:
         # by piece number; 0 is <unk>
         self.ids = [-1, *(ranks[t] for t in order)]
         self.digits = [b"%d" % i for i in self.ids]
-        self.pieces = [b"", *order]
         self.bytes_of = {r: t for t, r in ranks.items()}
+        self.bytes_of_digits = {b"%d" % r: t for t, r in ranks.items()}
         self.find = pretokenizer(pattern)
-        self.known_ids: dict[str, bytes] = {}
-        self.known_bytes: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -124,34 +134,37 @@ class Codec:
         return [self.ids[p] for row in self.pieces_of(self.find(text)) for p in row]
 
     def _learn(self, tokens: set[str]) -> None:
+        """Pre-tokens with their ids as decimal digits between blanks."""
         new = list(tokens)
         for t, row in zip(new, self.pieces_of(new), strict=True):
-            self.known_ids[t] = b" ".join(map(self.digits.__getitem__, row))
-            self.known_bytes[t] = b"".join(map(self.pieces.__getitem__, row))
+            self.known[t] = ids = b" ".join(map(self.digits.__getitem__, row))
+            self.held += len(t) + len(ids)
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """(number of ids, sha256 of the ids, sha256 of the decoded bytes) of each text."""
+        """(number of ids, sha256 of the ids, sha256 of the bytes that the ids stand for) of each text."""
         found = [self.find(t or "") for t in texts]
-        if len(self.known_ids) > self.CACHE:
-            self.known_ids.clear()
-            self.known_bytes.clear()
-        new = set().union(*found).difference(self.known_ids)
+        if self.held > self.CACHE:
+            self.forget()
+        new = set().union(*found).difference(self.known)
         self._learn(new)
         for tokens in found:
-            ids = b" ".join(map(self.known_ids.__getitem__, tokens))
-            back = hashlib.sha256()
-            back.update(b"".join(map(self.known_bytes.__getitem__, tokens)))
-            yield ids.count(b" ") + 1 if tokens else 0, hashlib.sha256(ids).hexdigest(), back.hexdigest()
+            ids = b" ".join(map(self.known.__getitem__, tokens))
+            each = ids.split()
+            decoded = b"".join(map(self.bytes_of_digits.__getitem__, each))
+            yield len(each), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
         for t in new:
             if len(t) > self.LONG:
-                del self.known_ids[t], self.known_bytes[t]
+                self.held -= len(t) + len(self.known.pop(t))
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
+clear_after_task(_codecs.clear)
+
+
 def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec: built once per Python worker."""
+    """The task's codec."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
@@ -164,12 +177,12 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for i, j in slices(text_buffers(b.column(1))[1]):
+                part = b.slice(i, j - i)
                 out = [*zip(*c.digests(part.column(1).to_pylist()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_out: str = "ids") -> DataFrame:
@@ -183,7 +196,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
             ids = [c.encode(t or "") for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, ids_out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(ids_out, T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField(ids_out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_documents(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_out: str = "decoded") -> DataFrame:
@@ -197,4 +210,4 @@ def decode_documents(rows: DataFrame, path: str, pattern: str, ids_col: str = "i
             out = [c.decode(ids or []) for ids in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, bytes_out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(bytes_out, T.BinaryType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField(bytes_out, T.BinaryType())]))

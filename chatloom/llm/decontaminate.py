@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, tidy
 from .words import ALNUM_WORDS, slices, text_buffers, window_hashes, word_hashes
 
 WINDOW, SHINGLE = 13, 3
@@ -46,7 +46,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
                         part = w[at : at + 10_000]
                         yield pa.RecordBatch.from_arrays([pa.array([item] * len(part)), pa.array(part.tolist(), pa.list_(pa.int64()))], ["item", "words"])
 
-    return rows.mapInArrow(run, "item string, words array<bigint>").distinct()
+    return rows.mapInArrow(tidy(run), "item string, words array<bigint>").distinct()
 
 
 class Windows:
@@ -150,7 +150,7 @@ def _prepared(docs: DataFrame, text_col: str, block: list) -> Windows:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["i", "n"])
 
     counts = np.zeros(len(windows.shingles), np.int64)
-    for r in docs.select(text_col).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(text_col).mapInArrow(tidy(run), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         counts[r.i] = r.n
     windows.order(counts)
     return windows
@@ -202,7 +202,7 @@ def _matched(rows: DataFrame, windows: Windows) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words), pa.array(runs, _RUNS), pa.array(items, pa.list_(pa.string()))], ["id", "text", "n_words", "runs", "items"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text string, n_words long, runs array<struct<s:bigint,e:bigint>>, items array<string>")
+    return rows.mapInArrow(tidy(run), f"id {kind}, text string, n_words long, runs array<struct<s:bigint,e:bigint>>, items array<string>")
 
 
 def _runs_of(hit: np.ndarray) -> list[dict]:
@@ -253,4 +253,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text")
                 keep[i:j] = (n_hit == 0) | (20 * n_hit < np.diff(woffs))
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

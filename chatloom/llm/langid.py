@@ -7,7 +7,8 @@ segments advance together, one numpy step for each character.
 
 Defined results: null text, empty text and text without a letter is `und` with score 0, as is
 every text when nothing was learned. Ties go to the label that sorts first. Repeated rows are
-judged alike. Columns named like the outputs are replaced; other columns stay.
+judged alike. Very long texts are parsed whole, in segments; an empty table gives no rows. Columns
+named like the outputs are replaced; other columns stay.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import clear_after_task, tidy
 from .words import slices, text_buffers
 
 #: Bounds of the training sample: documents and characters for each label.
@@ -33,9 +35,9 @@ SEGMENT = 1024
 _BYTES_AT_ONCE = 2 << 20
 
 
-def _shares(lengths: list[int]) -> list[int]:
+def _shares(lengths: list[int], chars: int) -> list[int]:
     """Characters to take from each text: alike, what short texts leave goes to the longer ones."""
-    out, left = [0] * len(lengths), SAMPLE_CHARS
+    out, left = [0] * len(lengths), chars
     for done, i in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
         out[i] = min(lengths[i], left // (len(lengths) - done))
         left -= out[i]
@@ -56,8 +58,8 @@ def _windows(length: int, share: int, seed: int) -> list[tuple[int, int]]:
     return out
 
 
-def training_sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> dict[str, str]:
-    """Label -> text: SAMPLE_CHARS (and blanks between windows) from each label's SAMPLE_DOCS different texts of least hashed id.
+def training_sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """Label -> text: sample_chars (and blanks between windows) from each label's sample_docs different texts of least hashed id.
 
     usable: condition on the rows that may teach. Texts without a letter teach nothing, and copies
     count once (compared by 64-bit hashes). Each text gives an even share, spread over its whole length.
@@ -70,7 +72,7 @@ def training_sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", tex
         .agg(F.min("id").alias("id"), F.min(F.length("t")).alias("length"))
         .withColumn("h", F.xxhash64("id"))
         .withColumn("n", F.row_number().over(w))
-        .where(F.col("n") <= SAMPLE_DOCS)
+        .where(F.col("n") <= sample_docs)
         .select("label", "id", "th", "length")
     )
     by_label: dict[str, list] = {}
@@ -78,7 +80,7 @@ def training_sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", tex
         by_label.setdefault(r.label, []).append(r)
     wanted = []
     for mine in by_label.values():
-        for r, share in zip(mine, _shares([r.length for r in mine]), strict=True):
+        for r, share in zip(mine, _shares([r.length for r in mine], sample_chars), strict=True):
             wanted.append((r.label, r.id, r.th, _windows(r.length, share, r.th)))
     if not wanted:
         return {}
@@ -197,6 +199,7 @@ class CrossParser:
 
 
 _cached: dict[int, CrossParser] = {}
+clear_after_task(_cached.clear)
 
 
 def _judge(sample: dict[str, str], texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -240,4 +243,4 @@ def identify(docs: DataFrame, sample: dict[str, str], text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, label_out, score_out])
 
     schema = T.StructType([*rows.schema.fields, T.StructField(label_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .shared import materialise, shuffle_width
+from .shared import materialise, shuffle_width, tidy
 from .words import SPACE_WORDS, mix, shingle_sets, slices, text_buffers, word_hashes
 
 #: Fewest and most groups of a point.
@@ -116,7 +116,7 @@ def set_ids(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     kept = [f for f in docs.schema.fields if f.name != text_col]
     added = [T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("point", T.ArrayType(T.IntegerType()))]
-    return docs.mapInArrow(run, T.StructType([*kept, *added]))
+    return docs.mapInArrow(tidy(run), T.StructType([*kept, *added]))
 
 
 def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
@@ -130,7 +130,7 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
                 v, n = np.unique(vals.view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], ["s", "n"])
 
-    rows = sample.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).select("s").toArrow()
+    rows = sample.mapInArrow(tidy(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).select("s").toArrow()
     return np.sort(rows.column(0).to_numpy()).view(np.uint64) if rows.num_rows else np.empty(0, np.uint64)
 
 
@@ -231,8 +231,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             s = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(many[s])], ["a", "b", "many"])
 
-    blobs = docs.select(text_col).mapInArrow(key_rows, "part int, keys binary, sids binary, counts binary")
-    found = blobs.repartition(shuffle_width(spark), "part").mapInArrow(found_rows, "a long, b long, many boolean")
+    blobs = docs.select(text_col).mapInArrow(tidy(key_rows), "part int, keys binary, sids binary, counts binary")
+    found = blobs.repartition(shuffle_width(spark), "part").mapInArrow(tidy(found_rows), "a long, b long, many boolean")
     return found.distinct()
 
 
@@ -285,7 +285,7 @@ def chosen_sets(docs: DataFrame, sids: DataFrame, text_col: str) -> DataFrame:
                     raw = [vals[offs[d] : offs[d + 1]].tobytes() for d in pick]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array(np.diff(offs)[pick]), _point_column([points[d] for d in pick]), pa.array(raw, pa.binary())], ["sid", "n", "point", "shingles"])
 
-    rows = docs.select(text_col).mapInArrow(run, "sid long, n long, point array<int>, shingles binary")
+    rows = docs.select(text_col).mapInArrow(tidy(run), "sid long, n long, point array<int>, shingles binary")
     return rows if few is not None else rows.join(sids, "sid", "left_semi")
 
 
@@ -363,7 +363,7 @@ def _pages(family_points: DataFrame) -> DataFrame:
     rows = family_points.select("fam", "sid", "n", *(F.get("point", F.lit(i)).alias(f"c{i}") for i in range(3)))
     order = ["fam", "n", "c0", "c1", "c2", "sid"]
     width = shuffle_width(family_points.sparkSession)
-    return rows.repartitionByRange(width, *order).sortWithinPartitions(*order).select("fam", "sid").mapInArrow(run, "sid long, fam long, page long")
+    return rows.repartitionByRange(width, *order).sortWithinPartitions(*order).select("fam", "sid").mapInArrow(tidy(run), "sid long, fam long, page long")
 
 
 def _join_within(rows: DataFrame) -> DataFrame:
@@ -386,7 +386,7 @@ def _join_within(rows: DataFrame) -> DataFrame:
                 ["sid", "fam", "page", "local"],
             )
 
-    return rows.mapInArrow(run, "sid long, fam long, page long, local long")
+    return rows.mapInArrow(tidy(run), "sid long, fam long, page long, local long")
 
 
 def _verify_rows(pairs: DataFrame) -> DataFrame:
@@ -400,7 +400,7 @@ def _verify_rows(pairs: DataFrame) -> DataFrame:
                 keep.append(_enough(_shared(x, y), len(x), len(y)))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _page_blobs(rows: DataFrame) -> DataFrame:
@@ -418,7 +418,7 @@ def _page_blobs(rows: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(cols, ["page", "n", "comp", "point", "shingles"])
 
-    return rows.mapInArrow(run, "page long, n binary, comp binary, point binary, shingles binary")
+    return rows.mapInArrow(tidy(run), "page long, n binary, comp binary, point binary, shingles binary")
 
 
 def _page_boxes(rows: DataFrame) -> DataFrame:
@@ -431,7 +431,7 @@ def _page_boxes(rows: DataFrame) -> DataFrame:
             row = (group[0]["fam"], group[0]["page"], min(n), max(n), min(comp), max(comp))
             yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row), pa.array([point.max(0).tolist()], pa.list_(pa.int32()))], ["fam", "page", "low", "high", "c", "d", "upper"])
 
-    return rows.mapInArrow(run, "fam long, page long, low long, high long, c long, d long, upper array<int>")
+    return rows.mapInArrow(tidy(run), "fam long, page long, low long, high long, c long, d long, upper array<int>")
 
 
 def _join_pages(pairs: DataFrame) -> DataFrame:
@@ -459,7 +459,7 @@ def _join_pages(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
     names = [f"{c}{k}" for k in (1, 2) for c in ("n", "comp", "point", "shingles")]
-    return pairs.select(*names).mapInArrow(run, "a long, b long")
+    return pairs.select(*names).mapInArrow(tidy(run), "a long, b long")
 
 
 def _joined(u: _Union, p: list, n: np.ndarray, q: list, m: np.ndarray, left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
@@ -502,7 +502,7 @@ def _point_pages(members: DataFrame) -> DataFrame:
     order = ["key", "n", "c0", "c1", "c2", "sid"]
     rows = members.select("key", "sid", "n", "point", *(F.get("point", F.lit(i)).alias(f"c{i}") for i in range(3)))
     rows = rows.repartitionByRange(shuffle_width(members.sparkSession), *order).sortWithinPartitions(*order).select("key", "sid", "n", "point")
-    return rows.mapInArrow(run, "key long, page long, low long, high long, upper array<int>, sids binary, heads binary, ns binary, points binary")
+    return rows.mapInArrow(tidy(run), "key long, page long, low long, high long, upper array<int>, sids binary, heads binary, ns binary, points binary")
 
 
 def _sizes_fit(k: int, j: int):
@@ -522,7 +522,7 @@ def _pairs_within(rows: DataFrame, keep: list[str], points: tuple[str, str], siz
                     ok[at + i] = _enough(int(np.minimum(p, q).sum()), m, n)
             yield b.select(range(len(keep))).filter(pa.array(ok))
 
-    return rows.select(*keep, *points, *sizes).mapInArrow(run, rows.select(*keep).schema)
+    return rows.select(*keep, *points, *sizes).mapInArrow(tidy(run), rows.select(*keep).schema)
 
 
 def bounded_forest(members: DataFrame) -> DataFrame:
@@ -552,8 +552,8 @@ def bounded_forest(members: DataFrame) -> DataFrame:
             cols = [*zip(*out, strict=True)] if out else [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
-    near = pages.select("sids", "heads").mapInArrow(stars, "a long, b long")
-    return near.union(pairs.select(*keep).mapInArrow(bridges, "a long, b long")).distinct()
+    near = pages.select("sids", "heads").mapInArrow(tidy(stars), "a long, b long")
+    return near.union(pairs.select(*keep).mapInArrow(tidy(bridges), "a long, b long")).distinct()
 
 
 def _by_page(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
 from .words import SLICE, mix, slices, text_buffers
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 3, 2
@@ -111,7 +112,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used]), *(pa.array(rows[:, d]) for d in range(DIMS))], names)
 
     names = ["bucket", "n", *(f"d{d}" for d in range(DIMS))]
-    tables = docs.select(text_col).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    tables = docs.select(text_col).mapInArrow(tidy(run), ", ".join(f"{x} long" for x in names))
     out = np.zeros((BUCKETS, DIMS), np.float32)
     for r in tables.groupBy("bucket").agg(*(F.sum(x).alias(x) for x in names[1:])).collect():
         out[r[0]] = np.array(r[2:], float) / r[1]
@@ -189,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, usable: Colum
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(x), pa.list_(pa.float32()))], ["h", "label", "x"])
 
-    rows = texts.mapInArrow(run, "h long, label int, x array<float>").limit(2 * SAMPLE).collect()
+    rows = texts.mapInArrow(tidy(run), "h long, label int, x array<float>").limit(2 * SAMPLE).collect()
     rows.sort(key=lambda r: (r.h, r.label, r.x))
     x = np.array([r.x for r in rows], np.float64).reshape(len(rows), FEATURES)
     return Network(x, np.array([r.label for r in rows], float), np.array([r.h % 5 == 0 for r in rows], bool))
@@ -206,4 +207,4 @@ def score_documents(docs: DataFrame, vectors: np.ndarray, network: Network, id_c
                 scores[i:j] = shared.value[1].score(pool(t, offs, shared.value[0]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], [b.schema.names[0], "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")

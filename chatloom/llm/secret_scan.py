@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, tidy
 from .words import slices, text_buffers
 
 # The patterns that the scan must agree with.
@@ -190,7 +190,7 @@ def _with_spans(rows: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
             base, cand = _scan_column(b.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], base, cand], [*b.schema.names[: len(keep)], "base", "cand"])
 
-    return cols.mapInArrow(run, ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), _FOUND]))
+    return cols.mapInArrow(tidy(run), ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), _FOUND]))
 
 
 def thresholds(found: DataFrame, fdr: float = FDR) -> list[int]:
@@ -274,4 +274,4 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", fdr:
                 col = pa.array([changed.get(i, v) for i, v in enumerate(col.to_pylist())], col.type)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], col, *b.columns[at + 1 :]], b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

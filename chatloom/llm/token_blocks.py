@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .shared import id_shards, materialise, open_fs, shared_dir, shuffle_width
+from .shared import id_shards, materialise, open_fs, shared_dir, shuffle_width, tidy
 from .words import slices, text_buffers
 
 MAGIC = b"PFR1"
@@ -259,7 +259,7 @@ def write_tokens(docs: DataFrame, folder: str, encoder: Callable, end_id: int, i
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "path", "n_docs", "n_ids"])
 
-    manifest = materialise(rows.mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), "token-manifest")
+    manifest = materialise(rows.mapInArrow(tidy(run), "shard int, path string, n_docs long, n_ids long"), "token-manifest")
     # one row per file: small enough for the running sum
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -274,7 +274,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 raw = [p.astype("<u4").tobytes() for p in parts(i, i + 256)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i : i + 256], pa.int64()), pa.array(starts[i : i + 256], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "start", "ids"])
 
-    return _by_file(manifest).mapInArrow(run, "doc_id long, start long, ids binary")
+    return _by_file(manifest).mapInArrow(tidy(run), "doc_id long, start long, ids binary")
 
 
 def token_checksums(manifest: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def token_checksums(manifest: DataFrame) -> DataFrame:
             n, crc = zip(*got, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_ids, starts, n, crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _by_file(manifest).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _by_file(manifest).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _by_file(manifest: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_shards, materialise, open_fs, shared_dir, shuffle_width
+from .shared import id_shards, materialise, open_fs, shared_dir, shuffle_width, tidy
 
 ROWS_PER_SHARD, FILE_BYTES = 2048, 64 << 20
 #: The archive's date is part of the input, not of the run.
@@ -149,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "records", "bytes", "crc32"])
 
-    return materialise(rows.mapInArrow(run, "path string, records long, bytes long, crc32 long"), "warc-manifest")
+    return materialise(rows.mapInArrow(tidy(run), "path string, records long, bytes long, crc32 long"), "warc-manifest")
 
 
 _READ = "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -172,7 +172,7 @@ def read_archives(manifest: DataFrame, with_html: bool = True) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return manifest.select("path").repartition(shuffle_width(manifest.sparkSession), "path").mapInArrow(run, _READ)
+    return manifest.select("path").repartition(shuffle_width(manifest.sparkSession), "path").mapInArrow(tidy(run), _READ)
 
 
 def _row(headers: dict[str, str], block: bytes, with_html: bool) -> tuple:

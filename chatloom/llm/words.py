@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .shared import clear_after_task
+
 SLICE = 1 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -38,6 +40,7 @@ SPACE_WORDS = byte_values(bytes([32, *range(9, 14)]))
 ALNUM_WORDS = byte_values(bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)))
 
 _powers: list[np.ndarray] = []
+clear_after_task(_powers.clear)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
