@@ -41,6 +41,10 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+#: Bytes of an Arrow batch.
+BATCH = "4m"
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 #: What modules keep in a Python worker during a task, as functions that clear it.
 _kept: list[Callable[[], None]] = []
 
@@ -53,8 +57,13 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, a mapInArrow function, giving its worker's memory back when the task ends.
 
     Workers live on from task to task and from stage to stage, so what one task has learned must
-    not stay beside what the next one needs. Freed pages go back to the system.
+    not stay beside what the next one needs. Freed pages go back to the system. The session's Arrow
+    batches are set to BATCH unless they have another size than Spark's own: every task holds a
+    batch several times over, on both sides of the pipe and outside the JVM's heap.
     """
+    spark = SparkSession.getActiveSession()
+    if spark and spark.conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, BATCH)
 
     def tidied(batches: Iterator) -> Iterator:
         try:
