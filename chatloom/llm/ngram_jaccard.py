@@ -11,10 +11,13 @@ A corpus-wide tree would compare far too much: unrelated texts have near-equal c
 are few, and bounding boxes of unrelated texts cover everything when groups are many. The points
 are therefore first dealt into families that no link can leave:
 
-1. The shingles are hashed once more, into many small cells. Linked sets of sizes a and b differ in
-   at most (a + b) / 9 <= a / 4 shingles, so among the first a / 4 + 1 filled cells of either at
-   least one is the same in both. Those cells' contents are the document's keys; documents that
-   share no key are not linked. Cells of very common shingles come last in the order.
+1. A set's shingles are put in one order for all sets: those that are common in a bounded sample
+   last, by how common, the rest by hash. A link of sizes a >= b has at least 4 (a + b) / 9 common
+   shingles, so 4 a / 5 and 8 b / 9; the first of these in the order is therefore among the larger
+   set's first a - 4 a / 5 + 1 and the smaller one's first b - 8 b / 9 + 1. These are the keys, and
+   pairs that share none in these roles are not linked. Texts of one template that are alike in
+   less than 80 % have more shingles of their own than the second number, so the template's
+   shingles pair nobody.
 2. Documents under one key are paired, and pairs within the bound make families. Where many share a
    key (a passage, or a large group of copies), their points are packed into pages, pages whose
    corners leave a link possible are met, and only a spanning forest of the bounded pairs is kept.
@@ -58,7 +61,7 @@ HOT_SAMPLE, HOT = 8000, 8
 #: Set ids that are sent to all executors; more are joined by a shuffle.
 BROADCAST_SETS = 2_000_000
 #: Keys that a task gathers before it hands them on.
-FLUSH = 500_000
+FLUSH = 250_000
 
 _U = np.uint64
 
@@ -119,8 +122,8 @@ def set_ids(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(tidy(run), T.StructType([*kept, *added]))
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Shingles that many documents of a bounded sample hold. They only order the keys."""
+def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, level) of those that many documents of a bounded sample hold: they come last, by doublings of their number."""
     every = max(1, docs.count() // HOT_SAMPLE)
     sample = docs.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)).select(text_col)
 
@@ -130,70 +133,54 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
                 v, n = np.unique(vals.view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], ["s", "n"])
 
-    rows = sample.mapInArrow(tidy(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).select("s").toArrow()
-    return np.sort(rows.column(0).to_numpy()).view(np.uint64) if rows.num_rows else np.empty(0, np.uint64)
+    rows = sample.mapInArrow(tidy(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).toArrow()
+    if not rows.num_rows:
+        return np.empty(0, np.uint64), np.empty(0, np.uint8)
+    s, n = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+    order = np.argsort(s)
+    return s[order], np.frexp(n[order].astype(float))[1].astype(np.uint8)
 
 
-def _grid_cells(band: np.ndarray) -> np.ndarray:
-    """Cells of a size band [2^band, 2^(band + 1)): three quarters of its least size, so that even
-    the largest sets fill more than a quarter of their size; small sets are spread far apart."""
-    return np.where(band < 6, 1 << 20, (3 << band) >> 2).astype(np.uint64)
-
-
-def keys_of(vals: np.ndarray, offs: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, set numbers): the contents of each set's first size / 4 + 1 filled cells.
-
-    A set whose larger partners reach the next size band is keyed in both bands' cells.
-    """
+def keys_of(vals: np.ndarray, offs: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, set numbers): each set's first shingles, enough to meet all smaller partners. A key's last
+    bit is set if it is also among those that meet all larger ones."""
     n = np.diff(offs)
-    some = np.flatnonzero(n)
-    band = np.frexp(n[some].astype(float))[1] - 1
-    up = n[some] * 5 // 4 >= 2 << band
-    entry, band = np.concatenate([some, some[up]]), np.concatenate([band, band[up] + 1])
-    size = n[entry]
-    at = np.repeat(np.arange(len(entry)), size)
-    v = vals[np.repeat(offs[entry], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-    cell = mix(v ^ _U(0xC0FFEE)) % _grid_cells(band)[at]
-    if len(common):
-        i = np.minimum(np.searchsorted(common, v), len(common) - 1)
-        cell += (common[i] == v).astype(np.uint64) << _U(39)
-    place = (at.astype(np.uint64) << _U(40)) | cell
-    order = np.argsort(place, kind="stable")
-    place, v = place[order], v[order]
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.empty(0, np.int64)
-    if not len(first):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    content = np.add.reduceat(mix(v), first)
-    at = (place[first] >> _U(40)).astype(np.int64)
-    rank = np.arange(len(first)) - np.searchsorted(at, at)
-    keep = rank <= size[at] // 4
-    key = mix(content + mix((place[first] & _U((1 << 40) - 1)) + (band[at].astype(np.uint64) << _U(48))))
-    return key[keep], entry[at[keep]]
+    at = np.repeat(np.arange(len(n)), n)
+    if len(common[0]) and len(vals):
+        i = np.minimum(np.searchsorted(common[0], vals), len(common[0]) - 1)
+        level = np.where(common[0][i] == vals, common[1][i], 0).astype(np.int64)
+        vals = vals[np.argsort((at << 8) | level, kind="stable")]  # by hash within a level, as they were
+    rank = np.arange(len(vals)) - np.repeat(offs[:-1], n)
+    size = n[at]
+    keep = rank <= size - (4 * size + 4) // 5
+    short = rank <= size - (8 * size + 8) // 9
+    return (vals[keep] & ~_U(1)) | short[keep].astype(np.uint64), at[keep]
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, many): pairs of set ids a < b that share a key; with many set, a key and one of the many set ids under it."""
+    """(a, b, many, short): pairs of set ids a < b that share a key; with many set, a key and one of the
+    many set ids under it, and whether it is among that set's short keys."""
     spark = docs.sparkSession
     parts = 2 * shuffle_width(spark)
     shared = spark.sparkContext.broadcast(common_shingles(docs, id_col, text_col))
 
-    def flush(keys: list[np.ndarray], sids: list[np.ndarray]) -> pa.RecordBatch:
-        k, s = np.concatenate(keys), np.concatenate(sids)
-        part = (k % _U(parts)).astype(np.int64)
+    def flush(keys: list[np.ndarray], sids: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        k, s, n = np.concatenate(keys), np.concatenate(sids), np.concatenate(sizes)
+        part = (mix(k >> _U(1)) % _U(parts)).astype(np.int64)
         order = np.lexsort((s, part))
-        k, s, part = k[order], s[order], part[order]
+        k, s, n, part = k[order], s[order], n[order], part[order]
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         ends = np.append(edge[1:], len(k))
         rows = []
         for i, j in zip(edge, ends, strict=True):
-            u, c = np.unique(s[i:j], return_counts=True)
-            rows.append((int(part[i]), k[i:j].tobytes(), u.tobytes(), c.astype(np.uint32).tobytes()))
-        p, kb, ub, cb = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kb, pa.binary()), pa.array(ub, pa.binary()), pa.array(cb, pa.binary())], ["part", "keys", "sids", "counts"])
+            u, first, c = np.unique(s[i:j], return_index=True, return_counts=True)
+            rows.append((int(part[i]), k[i:j].tobytes(), u.tobytes(), c.astype(np.uint32).tobytes(), n[i:j][first].astype(np.uint32).tobytes()))
+        cols = [*zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "keys", "sids", "counts", "sizes"])
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task hands each set on once: copies collapse before the shuffle
-        keys, sids, held = [], [], 0
+        held = [[], [], []]
         for b in batches:
             for _, _, vals, offs, ids in _sets(b.column(0)):
                 n = np.diff(offs)
@@ -209,57 +196,62 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     offs, ids = np.concatenate([[0], np.cumsum(n)]), ids[fresh]
                 k, at = keys_of(vals, offs, shared.value)
                 if len(k):
-                    keys.append(k)
-                    sids.append(ids[at])
-                    held += len(k)
-                if held >= FLUSH:
-                    yield flush(keys, sids)
-                    keys, sids, held = [], [], 0
-        if held:
-            yield flush(keys, sids)
+                    for to, x in zip(held, (k, ids[at], n[at]), strict=True):
+                        to.append(x)
+                if sum(map(len, held[0])) >= FLUSH:
+                    yield flush(*held)
+                    held = [[], [], []]
+        if held[0]:
+            yield flush(*held)
 
     def found_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sids = [], []
-        for b in batches:
-            for _, k, u, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                keys.append(np.frombuffer(k, np.uint64))
-                sids.append(np.repeat(np.frombuffer(u, np.int64), np.frombuffer(c, np.uint32)))
-        if not keys:
-            return
-        a, b, many = sharing(np.concatenate(keys), np.concatenate(sids))
-        for at in range(0, len(a), 100_000):
-            s = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(many[s])], ["a", "b", "many"])
-
-    blobs = docs.select(text_col).mapInArrow(tidy(key_rows), "part int, keys binary, sids binary, counts binary")
-    found = blobs.repartition(shuffle_width(spark), "part").mapInArrow(tidy(found_rows), "a long, b long, many boolean")
-    return found.distinct()
-
-
-def sharing(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (a, b, many) of the set ids under each key."""
-    order = np.lexsort((sids, keys))
-    keys, sids = keys[order], sids[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])
-    keys, sids = keys[fresh], sids[fresh]
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(begin, len(keys)))
+        for rows in _groups(batches, "part"):
+            counts = [np.frombuffer(r["counts"], np.uint32) for r in rows]
+            many = lambda c, kind: np.concatenate([np.repeat(np.frombuffer(r[c], kind), n) for r, n in zip(rows, counts, strict=True)])
+            found = sharing(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]), many("sids", np.int64), many("sizes", np.uint32).astype(np.int64))
+            for at in range(0, len(found[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in found], ["a", "b", "many", "short"])
+
+    blobs = docs.select(text_col).mapInArrow(tidy(key_rows), "part int, keys binary, sids binary, counts binary, sizes binary")
+    by_part = blobs.repartition(shuffle_width(spark), "part").sortWithinPartitions("part")
+    return by_part.mapInArrow(tidy(found_rows), "a long, b long, many boolean, short boolean").distinct()
+
+
+def _roles_fit(n, short, m, other):
+    """Whether the smaller set's key is a short one."""
+    return np.where(n < m, short, np.where(n > m, other, short | other))
+
+
+def sharing(keys: np.ndarray, sids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (a, b, many, short) of the set ids under each key."""
+    key, short = keys >> _U(1), (keys & _U(1)).astype(bool)
+    order = np.lexsort((sids, key))
+    key, sids, sizes, short = key[order], sids[order], sizes[order], short[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (sids[1:] != sids[:-1])
+    key, sids, sizes, short = key[fresh], sids[fresh], sizes[fresh], short[fresh]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(begin, len(key)))
+    count = np.where(np.logical_or.reduceat(short, begin), count, 1)  # nobody's short key pairs nobody
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for m in np.unique(size[(size > 1) & (size <= SMALL)]):
+    for m in np.unique(count[(count > 1) & (count <= SMALL)]):
         i, j = np.triu_indices(int(m), 1)
-        at = begin[size == m][:, None]
-        a.append(sids[at + i].ravel())
-        b.append(sids[at + j].ravel())
+        at = begin[count == m][:, None]
+        i, j = (at + i).ravel(), (at + j).ravel()
+        n, o = sizes[i], sizes[j]
+        ok = (4 * np.maximum(n, o) <= 5 * np.minimum(n, o)) & _roles_fit(n, short[i], o, short[j])
+        a.append(sids[i[ok]])
+        b.append(sids[j[ok]])
     a, b = np.concatenate(a), np.concatenate(b)
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     first = np.ones(len(a), bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     a, b = a[first], b[first]
-    rest = np.repeat(size > SMALL, size)
-    a, b = np.concatenate([a, keys[rest].view(np.int64)]), np.concatenate([b, sids[rest]])
-    return a, b, np.arange(len(a)) >= first.sum()
+    rest = np.repeat(count > SMALL, np.diff(np.append(begin, len(key))))
+    pairs = len(a)
+    a, b = np.concatenate([a, key[rest].view(np.int64)]), np.concatenate([b, sids[rest]])
+    return a, b, np.arange(len(a)) >= pairs, np.concatenate([np.zeros(pairs, bool), short[rest]])
 
 
 def chosen_sets(docs: DataFrame, sids: DataFrame, text_col: str) -> DataFrame:
@@ -462,8 +454,8 @@ def _join_pages(pairs: DataFrame) -> DataFrame:
     return pairs.select(*names).mapInArrow(tidy(run), "a long, b long")
 
 
-def _joined(u: _Union, p: list, n: np.ndarray, q: list, m: np.ndarray, left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
-    """Joins the nodes of all pairs within the bound; yields the nodes of those that were apart. Ends when all are one."""
+def _joined(u: _Union, p: list, n: np.ndarray, short: np.ndarray, q: list, m: np.ndarray, other: np.ndarray, left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
+    """Joins the nodes of all pairs within the bound and their roles; yields the nodes of those that were apart. Ends when all are one."""
     p, q = _same_width(p, q)
     apart = len({u.find(x) for x in [*left, *right]}) - 1
     rows = max(1, (1 << 20) // q.size)
@@ -471,7 +463,9 @@ def _joined(u: _Union, p: list, n: np.ndarray, q: list, m: np.ndarray, left: lis
         if not apart:
             return
         overlap = np.minimum(p[at : at + rows, None], q[None]).sum(2)
-        for i, j in np.argwhere(_enough(overlap, n[at : at + rows, None], m[None])):
+        some = slice(at, at + rows)
+        ok = _enough(overlap, n[some, None], m[None]) & _roles_fit(n[some, None], short[some, None], m[None], other[None])
+        for i, j in np.argwhere(ok):
             x, y = left[at + i], right[j]
             if u.find(x) != u.find(y):
                 u.join(x, y)
@@ -480,7 +474,7 @@ def _joined(u: _Union, p: list, n: np.ndarray, q: list, m: np.ndarray, left: lis
 
 
 def _point_pages(members: DataFrame) -> DataFrame:
-    """A row for each page of rows (key, sid, n, point): KEY_PAGE points of a key, in order of size and
+    """A row for each page of rows (key, sid, n, short, point): KEY_PAGE points of a key, in order of size and
     coordinates. heads has, for each point, the smallest set id that pairs within the bound join it to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,19 +484,20 @@ def _point_pages(members: DataFrame) -> DataFrame:
                 part.sort(key=lambda r: r["sid"])  # the smallest id of a component is its root
                 (point,) = _same_width([r["point"] for r in part])
                 n, sids, u = np.array([r["n"] for r in part]), np.array([r["sid"] for r in part]), _Union(len(part))
-                own = [*range(len(part))]
-                for _ in _joined(u, point, n, point, n, own, own):
+                short, own = np.array([r["short"] for r in part], bool), [*range(len(part))]
+                for _ in _joined(u, point, n, short, point, n, short, own, own):
                     pass
                 cols = [
                     pa.array([part[0]["key"]], pa.int64()), pa.array([part[0]["sid"]], pa.int64()), pa.array([int(n.min())], pa.int64()), pa.array([int(n.max())], pa.int64()), pa.array([point.max(0).tolist()], pa.list_(pa.int32())),
                     *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (sids, sids[[u.find(i) for i in own]], n)), pa.array([point.tobytes()], pa.binary()),
+                    pa.array([short.tobytes()], pa.binary()), pa.array([bool(short.any())]),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "page", "low", "high", "upper", "sids", "heads", "ns", "points"])
+                yield pa.RecordBatch.from_arrays(cols, ["key", "page", "low", "high", "upper", "sids", "heads", "ns", "points", "shorts", "some"])
 
     order = ["key", "n", "c0", "c1", "c2", "sid"]
-    rows = members.select("key", "sid", "n", "point", *(F.get("point", F.lit(i)).alias(f"c{i}") for i in range(3)))
-    rows = rows.repartitionByRange(shuffle_width(members.sparkSession), *order).sortWithinPartitions(*order).select("key", "sid", "n", "point")
-    return rows.mapInArrow(tidy(run), "key long, page long, low long, high long, upper array<int>, sids binary, heads binary, ns binary, points binary")
+    rows = members.select("key", "sid", "n", "short", "point", *(F.get("point", F.lit(i)).alias(f"c{i}") for i in range(3)))
+    rows = rows.repartitionByRange(shuffle_width(members.sparkSession), *order).sortWithinPartitions(*order).select("key", "sid", "n", "short", "point")
+    return rows.mapInArrow(tidy(run), "key long, page long, low long, high long, upper array<int>, sids binary, heads binary, ns binary, points binary, shorts binary, some boolean")
 
 
 def _sizes_fit(k: int, j: int):
@@ -528,10 +523,10 @@ def _pairs_within(rows: DataFrame, keep: list[str], points: tuple[str, str], siz
 def bounded_forest(members: DataFrame) -> DataFrame:
     """(a, b): edges that join, for each key, what its points' pairs within the bound join."""
     pages = materialise(_point_pages(members), "key-pages")
-    cols = ("heads", "ns", "points")
-    one, two = (pages.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("page", "low", "high", "upper", *cols))) for k in (1, 2))
+    cols = ("heads", "ns", "points", "shorts")
+    one, two = (pages.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("page", "low", "high", "upper", "some", *cols))) for k in (1, 2))
     keep = [f"{c}{k}" for k in (1, 2) for c in cols]
-    pairs = _pairs_within(one.join(two, "key").where((F.col("page1") < F.col("page2")) & _sizes_fit(1, 2)), keep, ("upper1", "upper2"), ("low1", "low2"))
+    pairs = _pairs_within(one.join(two, "key").where((F.col("page1") < F.col("page2")) & (F.col("some1") | F.col("some2")) & _sizes_fit(1, 2)), keep, ("upper1", "upper2"), ("low1", "low2"))
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -543,11 +538,11 @@ def bounded_forest(members: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for row in zip(*b.columns, strict=True):
-                h1, n1, p1, h2, n2, p2 = (np.frombuffer(x.as_py(), np.int32 if c % 3 == 2 else np.int64) for c, x in enumerate(row))
+                h1, n1, p1, s1, h2, n2, p2, s2 = (np.frombuffer(x.as_py(), (np.int64, np.int64, np.int32, bool)[c % 4]) for c, x in enumerate(row))
                 heads = [*dict.fromkeys([*h1.tolist(), *h2.tolist()])]
                 number = {x: i for i, x in enumerate(heads)}
                 left, right = [number[x] for x in h1.tolist()], [number[x] for x in h2.tolist()]
-                for x, y in _joined(_Union(len(heads)), p1.reshape(len(h1), -1), n1, p2.reshape(len(h2), -1), n2, left, right):
+                for x, y in _joined(_Union(len(heads)), p1.reshape(len(h1), -1), n1, s1, p2.reshape(len(h2), -1), n2, s2, left, right):
                     out.append(sorted((heads[x], heads[y])))
             cols = [*zip(*out, strict=True)] if out else [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
@@ -571,7 +566,7 @@ def linked_sets(docs: DataFrame, own: DataFrame, id_col: str = "doc_id", text_co
     side = lambda c: points.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
     pairs = found.where("not many").select("a", "b").join(side("a"), "a").join(side("b"), "b")
     near = _pairs_within(pairs, ["a", "b"], ("p_a", "p_b"), ("n_a", "n_b"))
-    many = found.where("many").select(F.col("a").alias("key"), F.col("b").alias("sid")).join(points, "sid")
+    many = found.where("many").select(F.col("a").alias("key"), F.col("b").alias("sid"), "short").join(points, "sid")
     family = components(near.union(bounded_forest(many))).select(F.col("node").alias("sid"), F.col("comp").alias("fam"))
     pages = materialise(_pages(points.join(family, "sid")), "pages")
     sets = materialise(chosen_sets(docs, pages, text_col), "family-sets")
@@ -615,7 +610,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = materialise(set_ids(rows), "set-ids")
     comp = linked_sets(rows, own, "id", "text")
     own = own.join(comp, "sid", "left").select("id", "n", "sid", F.coalesce("comp", "sid").alias("comp"))
-    least = own.where("sid is not null").groupBy("comp").agg(F.min("id").alias("least"))
+    # written first, so that a large component's rows are split when AQE joins them
+    least = materialise(own.where("sid is not null").groupBy("comp").agg(F.min("id").alias("least")), "least-ids")
     return own.join(least, "comp", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
     )
@@ -630,9 +626,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = materialise(set_ids(rows), "set-ids")
     comp = linked_sets(rows.select("id", "text"), own, "id", "text")
     own = own.where("sid is not null").join(comp, "sid", "left")
-    own = own.groupBy(F.coalesce("comp", "sid").alias("comp"), "id", "th").agg(F.count("*").alias("copies"))
+    own = materialise(own.groupBy(F.coalesce("comp", "sid").alias("comp"), "id", "th").agg(F.count("*").alias("copies")), "copies")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("th"))
-    best = own.groupBy("comp").agg(F.min(order).alias("best"))
+    best = materialise(own.groupBy("comp").agg(F.min(order).alias("best")), "first-ids")
     judged = own.join(best, "comp").withColumn("stays", order == F.col("best"))
     judged = materialise(judged.where("not stays or copies > 1").select(F.col("id").alias("ng__id"), F.col("th").alias("ng__th"), "stays"), "dropped-ids")
     same = docs[id_col].eqNullSafe(F.col("ng__id")) & (F.xxhash64(docs[text_col]) == F.col("ng__th"))
