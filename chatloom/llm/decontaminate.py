@@ -9,7 +9,9 @@ then compared word for word over its own length.
 
 Defined results: null text and text without words has no words and is never contaminated. Items
 without words have no windows; a null item id counts as the text `null`. Repeated documents are
-judged alike; items that repeat an id count once. Words are compared as 64-bit hashes.
+judged alike; items that repeat an id count once. Words are compared as 64-bit hashes. A very long
+text is hashed in pieces and matched whole. Without documents there are no rows, without items
+no hits. `drop_contaminated` keeps all columns, `find_passages` the id only, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import materialise, tidy
 from .words import ALNUM_WORDS, slices, text_buffers, window_hashes, word_hashes
@@ -167,42 +170,69 @@ def _blocks(windows: DataFrame) -> Iterator[list]:
 def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, items array<string>) per row of docs.
 
-    One pass over the texts for rarity and one for matching, for each block of windows. With
-    several blocks the covered words are kept as runs and united.
+    One pass over the texts for rarity and one for matching, for each block of windows. Blocks after
+    the first give the texts that they hit only, by digest; their covered words are united.
     """
     blocks = _blocks(benchmark_windows(items))
-    out = _matched(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), _prepared(docs, text_col, next(blocks)))
-    for block in blocks:
-        out = _matched(materialise(out, "passages"), _prepared(docs, text_col, block))
-    return out.select(F.col("id").alias(id_col), "n_words", F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r["e"] - r["s"]).alias("n_hit"), F.array_sort("items").alias("items"))
+    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    out = _matched(rows, _prepared(docs, text_col, next(blocks)))
+    more = [_hits(docs, text_col, block) for block in blocks]
+    if more:
+        also = _by_text(more).select("key", F.col("runs").alias("more_runs"), F.col("items").alias("more_items"))
+        out = materialise(out, "passages").join(also, "key", "left")
+        none = F.array()
+        out = out.withColumns({"runs": F.concat("runs", F.coalesce("more_runs", none)), "items": F.concat("items", F.coalesce("more_items", none))})
+    return out.select(F.col("id").alias(id_col), "n_words", _covered("runs").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"))
+
+
+def _hits(docs: DataFrame, text_col: str, block: list) -> DataFrame:
+    """(key, n_words, runs, items) of the different texts that a block of windows hits."""
+    rows = docs.select(F.md5(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    found = _matched(rows, _prepared(docs, text_col, block)).where(F.size("runs") > 0)
+    return materialise(found.dropDuplicates(["key"]), "block-hits")
+
+
+def _by_text(hits: list[DataFrame]) -> DataFrame:
+    """(key, n_words, runs, items) of each text over all blocks; a text has at most one row of each block."""
+    every = hits[0]
+    for h in hits[1:]:
+        every = every.unionByName(h)
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    return every.groupBy("key").agg(F.first("n_words").alias("n_words"), flat("runs"), flat("items"))
+
+
+def _covered(runs: str):
+    """Words in the union of the runs: sorted by start, each adds what lies beyond the furthest end so far."""
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("n"), zero.alias("far"))
+    step = lambda a, r: F.struct((a["n"] + F.greatest(zero, r["e"] - F.greatest(r["s"], a["far"]))).alias("n"), F.greatest(a["far"], r["e"]).alias("far"))
+    return F.aggregate(F.array_sort(runs), start, step, lambda a: a["n"])
 
 
 _RUNS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
 def _matched(rows: DataFrame, windows: Windows) -> DataFrame:
-    """rows (id, text and earlier findings) with n_words, runs of covered words and items."""
+    """rows (..., text) without the text but with n_words, runs of covered words and items."""
     shared = rows.sparkSession.sparkContext.broadcast(windows)
-    before = "runs" in rows.columns
+    kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words = np.zeros(b.num_rows, np.int64)
-            runs = b.column(3).to_pylist() if before else [[] for _ in range(b.num_rows)]
-            items = b.column(4).to_pylist() if before else [[] for _ in range(b.num_rows)]
-            for i, j, h, woffs in _texts(b.column(1)):
+            runs, items = [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
+            for i, j, h, woffs in _texts(b.column(len(kept))):
                 n_words[i:j] = np.diff(woffs)
                 hit, doc, item = shared.value.find(h, woffs)
                 for d, it in zip(doc, item, strict=True):
                     items[i + d].append(shared.value.names[it])
                 for d in np.unique(doc):
                     runs[i + d] += _runs_of(hit[woffs[d] : woffs[d + 1]])
-            runs = [_united(r) if r else [] for r in runs]
-            items = [sorted(set(x)) for x in items]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words), pa.array(runs, _RUNS), pa.array(items, pa.list_(pa.string()))], ["id", "text", "n_words", "runs", "items"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(n_words), pa.array(runs, _RUNS), pa.array(items, pa.list_(pa.string()))], [*b.schema.names[: len(kept)], "n_words", "runs", "items"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(tidy(run), f"id {kind}, text string, n_words long, runs array<struct<s:bigint,e:bigint>>, items array<string>")
+    run_ = T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
+    added = [T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(run_)), T.StructField("items", T.ArrayType(T.StringType()))]
+    return rows.select(*(f.name for f in kept), "text").mapInArrow(tidy(run), T.StructType([*kept, *added]))
 
 
 def _runs_of(hit: np.ndarray) -> list[dict]:
@@ -210,16 +240,6 @@ def _runs_of(hit: np.ndarray) -> list[dict]:
     return [dict(s=int(s), e=int(e)) for s, e in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _united(runs: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for r in sorted(runs, key=lambda r: r["s"]):
-        if out and r["s"] <= out[-1]["e"]:
-            out[-1]["e"] = max(out[-1]["e"], r["e"])
-        else:
-            out.append(dict(r))
-    return out
-
-
 def passage_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_words, n_hit, n_items, digest of the items and the contamination rule per document."""
     return found.select(
@@ -238,18 +258,25 @@ def is_contaminated():
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones; columns stay. A benchmark over one block is matched in several passes."""
-    blocks = [*_blocks(benchmark_windows(items))]
-    prepared = [_prepared(docs, text_col, b) for b in blocks]
-    shared = docs.sparkSession.sparkContext.broadcast(prepared)
+    """docs without the contaminated ones; columns stay.
+
+    One block of windows is judged in the pass that filters. Several are matched one after the other,
+    so what is broadcast stays within WINDOWS_AT_ONCE, and the texts found are joined by digest.
+    """
+    blocks = _blocks(benchmark_windows(items))
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        hits = [_hits(docs, text_col, block) for block in (first, second, *blocks)]
+        bad = _by_text(hits).withColumn("n_hit", _covered("runs")).where(is_contaminated()).select(F.col("key").alias("dec__key"))
+        return docs.join(materialise(bad, "contaminated-texts"), F.md5(docs[text_col]) == F.col("dec__key"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(_prepared(docs, text_col, first))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.ones(b.num_rows, bool)
             for i, j, h, woffs in _texts(b.column(at)):
-                hit = np.logical_or.reduce([w.find(h, woffs)[0] for w in shared.value])
-                n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[woffs])
+                n_hit = np.diff(np.concatenate([[0], np.cumsum(shared.value.find(h, woffs)[0])])[woffs])
                 keep[i:j] = (n_hit == 0) | (20 * n_hit < np.diff(woffs))
             yield b.filter(pa.array(keep))
 

@@ -190,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, usable: Colum
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(x), pa.list_(pa.float32()))], ["h", "label", "x"])
 
-    rows = texts.mapInArrow(tidy(run), "h long, label int, x array<float>").limit(2 * SAMPLE).collect()
+    # repeated ids may give more rows than the sample has: the first by hash, label and features
+    rows = texts.mapInArrow(tidy(run), "h long, label int, x array<float>").sort("h", "label", "x").limit(2 * SAMPLE).collect()
     rows.sort(key=lambda r: (r.h, r.label, r.x))
     x = np.array([r.x for r in rows], np.float64).reshape(len(rows), FEATURES)
     return Network(x, np.array([r.label for r in rows], float), np.array([r.h % 5 == 0 for r in rows], bool))

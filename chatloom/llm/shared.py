@@ -1,4 +1,4 @@
-"""Small helpers that the operators share: scratch tables, file access, id-range shards."""
+"""Small helpers that the operators share: scratch tables, file access, id ranges, worker memory."""
 
 from __future__ import annotations
 
@@ -96,32 +96,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Bins of the id range that id_shards counts; also the most shards it makes.
-ID_BINS = 16_384
+def range_sorted(df: DataFrame, key: list[str], rest: list[str]) -> DataFrame:
+    """df in range partitions by the key columns, nulls first, sorted by the key and then the rest.
 
-
-def id_shards(df: DataFrame, id_col: str, rows_per_shard: int, out: str) -> DataFrame:
-    """Add column `out`: the number of a contiguous id range of about rows_per_shard rows.
-
-    The range between the least and the greatest id is cut into ID_BINS equal bins, whose row
-    counts (at most ID_BINS rows on the driver) are merged in order until a shard is full. The
-    result depends on the ids alone, so a rerun makes the same shards. Null ids come first.
+    The bounds come from Spark's sample of the keys themselves, so outlying ids cost nothing; with a hash of
+    the content as the key's second column, rows that share an id (or have none) are spread. A
+    partition is sorted with spilling.
     """
-    spark = df.sparkSession
-    lo, hi = df.select(F.min(id_col), F.max(id_col)).first()
-    lo, hi = (0, 0) if lo is None else (int(lo), int(hi))
-    width = (hi - lo) // ID_BINS + 1
-    # decimal: the distance between two longs may exceed a long
-    at = F.col(id_col).cast("decimal(20,0)") - F.lit(str(lo)).cast("decimal(20,0)")
-    bin_no = F.coalesce(F.floor(at / F.lit(str(width)).cast("decimal(20,0)")).cast("int"), F.lit(-1))
-    if hi - lo < 2**53 and abs(lo) < 2**53:
-        bin_no = F.coalesce(F.floor((F.col(id_col) - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(-1))
-    counts = dict(df.groupBy(bin_no.alias("b")).count().collect())
-    rows, shard, filled = [], 0, 0
-    for b in sorted(counts):
-        if filled and filled + counts[b] > rows_per_shard:
-            shard, filled = shard + 1, 0
-        filled += counts[b]
-        rows.append((b, shard))
-    bins = spark.createDataFrame(rows, f"`{out}__bin` int, `{out}` int")
-    return df.withColumn(f"{out}__bin", bin_no).join(F.broadcast(bins), f"{out}__bin").drop(f"{out}__bin")
+    order = [F.col(c).asc_nulls_first() for c in key]
+    return df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order, *rest)

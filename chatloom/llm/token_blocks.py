@@ -1,21 +1,26 @@
 """Token ids in binary files: patched frame-of-reference blocks with an index of block starts.
 
-Documents are sorted by id into shards of contiguous id ranges, a file each. A file is
+Documents are range-partitioned and sorted by id; each partition is written as files of up to
+FILE_IDS ids or FILE_DOCS documents. A file is
 
     magic | blocks | block starts | document ids, null flags, token counts | lengths | magic
 
 A block holds up to BLOCK ids: the block's minimum is subtracted, the differences are packed at a
 width that WIDTH_PERCENTILE of them fit in, and the outliers' high bits follow as an exception
-list (positions, then values). Files are written under a temporary name and renamed; the table of
-rows that the writers return is the manifest. A task that is run again writes the same bytes.
+list (positions, then values). Blocks go out as they fill and are read one run at a time, so a
+task holds a file's index and one document. Files are written under a temporary name and
+renamed; the table of rows that the writers return is the manifest. A task that is run again
+writes the same bytes.
 
 Defined results: null text is empty and has the end id alone. Null ids sort first. Rows that
-repeat an id follow each other in the order of their texts. An empty table gives no file.
+repeat an id (or have none) follow each other in the order of their texts' hashes and may fall into
+several files. A very long text is one document of one file. An empty table gives no file.
+Columns other than the id and the text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-import io
+import json
 import os
 import re
 import struct
@@ -25,16 +30,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .shared import id_shards, materialise, open_fs, shared_dir, shuffle_width, tidy
+from .shared import materialise, open_fs, range_sorted, shared_dir, shuffle_width, tidy
 from .words import slices, text_buffers
 
 MAGIC = b"PFR1"
 BLOCK, WIDTH_PERCENTILE = 1024, 95
-ROWS_PER_SHARD = 4096
+#: A file ends after so many ids or documents.
+FILE_IDS, FILE_DOCS = 1 << 22, 1 << 14
 _HEAD = struct.Struct("<IIBH")  # values, minimum, width, exceptions
 _FOOT = struct.Struct("<QQQ")  # blocks, documents, ids
 
@@ -78,47 +85,79 @@ def decode_block(raw: bytes, at: int) -> np.ndarray:
     return rest + np.uint32(low)
 
 
-def encode_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    out.write(MAGIC)
-    starts = []
-    for i in range(0, len(ids), BLOCK):
-        starts.append(out.tell())
-        out.write(encode_block(ids[i : i + BLOCK]))
-    out.write(np.array(starts, "<u8").tobytes())
-    out.write(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
-    out.write(np.array([d is None for d in doc_ids], np.uint8).tobytes())
-    out.write(counts.astype("<u8").tobytes())
-    out.write(_FOOT.pack(len(starts), len(doc_ids), len(ids)))
-    out.write(MAGIC)
-    return out.getvalue()
-
-
-def read_index(raw: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray, int]:
-    """(block starts, document ids, token counts, ids in the file)."""
-    if raw[:4] != MAGIC or raw[-4:] != MAGIC:
-        raise ValueError("not a token-block file")
-    blocks, docs, ids = _FOOT.unpack_from(raw, len(raw) - 4 - _FOOT.size)
-    at = len(raw) - 4 - _FOOT.size - 8 * docs
-    counts = np.frombuffer(raw, "<u8", docs, at).astype(np.int64)
-    nulls = np.frombuffer(raw, np.uint8, docs, at := at - docs)
-    doc_ids = np.frombuffer(raw, "<i8", docs, at := at - 8 * docs)
-    starts = np.frombuffer(raw, "<u8", blocks, at - 8 * blocks)
-    return starts, [None if z else int(d) for d, z in zip(doc_ids, nulls, strict=True)], counts, ids
-
-
-def decode_slice(raw: bytes, first: int, end: int) -> np.ndarray:
-    """Ids [first, end) of a file, from the blocks that hold them."""
-    starts = read_index(raw)[0]
-    return decode_slice_at(raw, starts, first, end)
-
-
-def decode_slice_at(raw: bytes, starts: np.ndarray, first: int, end: int) -> np.ndarray:
-    if end <= first:
-        return np.empty(0, np.uint32)
-    a, b = first // BLOCK, (end - 1) // BLOCK
-    ids = np.concatenate([decode_block(raw, int(starts[i])) for i in range(a, b + 1)])
-    return ids[first - a * BLOCK : end - a * BLOCK]
+class TokenFile:
+    """Writes one file block by block to an open stream."""
+
+    def __init__(self, out):
+        self.out, self.at = out, 0
+        self.starts: list[int] = []
+        self.doc_ids: list[int | None] = []
+        self.counts: list[int] = []
+        self.pending: list[np.ndarray] = []
+        self.n_pending = self.n_ids = 0
+        self._write(MAGIC)
+
+    def _write(self, raw: bytes) -> None:
+        self.out.write(raw)
+        self.at += len(raw)
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_id)
+        self.counts.append(len(ids))
+        self.pending.append(ids)
+        self.n_pending += len(ids)
+        self.n_ids += len(ids)
+        if self.n_pending >= 64 * BLOCK:
+            self._blocks(self.n_pending // BLOCK * BLOCK)
+
+    def _blocks(self, end: int) -> None:
+        ids = np.concatenate(self.pending).astype(np.uint32) if self.pending else np.empty(0, np.uint32)
+        for i in range(0, end, BLOCK):
+            self.starts.append(self.at)
+            self._write(encode_block(ids[i : min(end, i + BLOCK)]))
+        self.pending, self.n_pending = [ids[end:]], len(ids) - end
+
+    def close(self) -> None:
+        self._blocks(self.n_pending)
+        self._write(np.array(self.starts, "<u8").tobytes())
+        self._write(np.array([d or 0 for d in self.doc_ids], "<i8").tobytes())
+        self._write(np.array([d is None for d in self.doc_ids], np.uint8).tobytes())
+        self._write(np.array(self.counts, "<u8").tobytes())
+        self._write(_FOOT.pack(len(self.starts), len(self.doc_ids), self.n_ids))
+        self._write(MAGIC)
+        self.out.close()
+
+
+class TokenReader:
+    """Reads parts of a file that is open for random access."""
+
+    def __init__(self, file, size: int):
+        self.file = file
+        tail = self._bytes(size - 4 - _FOOT.size, _FOOT.size + 4)
+        if self._bytes(0, 4) != MAGIC or tail[-4:] != MAGIC:
+            raise ValueError("not a token-block file")
+        blocks, docs, self.n_ids = _FOOT.unpack_from(tail)
+        index = size - 4 - _FOOT.size - 17 * docs - 8 * blocks
+        raw = self._bytes(index, 8 * blocks + 17 * docs)
+        starts = np.frombuffer(raw, "<u8", blocks).astype(np.int64)
+        self.starts = np.append(starts, index)
+        ids, nulls = np.frombuffer(raw, "<i8", docs, 8 * blocks), np.frombuffer(raw, np.uint8, docs, 8 * (blocks + docs))
+        self.doc_ids = [None if z else int(d) for d, z in zip(ids, nulls, strict=True)]
+        self.counts = np.frombuffer(raw, "<u8", docs, 8 * blocks + 9 * docs).astype(np.int64)
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def ids(self, first: int, end: int) -> np.ndarray:
+        """Ids [first, end) of the file, from the blocks that hold them."""
+        if end <= first:
+            return np.empty(0, np.uint32)
+        a, b = first // BLOCK, (end - 1) // BLOCK
+        base = int(self.starts[a])
+        raw = self._bytes(base, int(self.starts[b + 1]) - base)
+        ids = np.concatenate([decode_block(raw, int(self.starts[i]) - base) for i in range(a, b + 1)])
+        return ids[first - a * BLOCK : end - a * BLOCK]
 
 
 #: Signs that end a chunk and are split off a letter or digit before them.
@@ -139,12 +178,20 @@ class ChunkTokenizer:
     """
 
     CHUNKS, PIECES, LONG = 900_000, 700_000, 128
+    # The normaliser and the splitter for which the shortcuts hold.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, exact: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.exact = Tokenizer.from_file(path), exact
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        split = ((parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        known = parts["normalizer"] == self.NORMALIZER and split.get("type") == "Split" and split["pattern"] == {"Regex": self.SPLIT} and split["invert"]
+        self.exact = exact or not known or parts["post_processor"] is not None
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.model = self.tokenizer.model
@@ -216,53 +263,53 @@ def chunk_encoder(path: str) -> Callable[[], Callable[[list[str]], list[np.ndarr
 _TEXT_BYTES = 1 << 20
 
 
-def write_tokens(docs: DataFrame, folder: str, encoder: Callable, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files; returns the manifest: (shard, path, n_docs, n_ids, start).
+def write_tokens(docs: DataFrame, folder: str, encoder: Callable, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
+    """Write the files; returns the manifest: (part, roll, path, n_docs, n_ids, start), in order of part and roll.
 
-    start: ids of all shards before. The encoder's ids must be below 2^32 and the end id closes
+    start: ids of all files before. The encoder's ids must be below 2^32 and the end id closes
     each document.
     """
-    spark = docs.sparkSession
-    rows = id_shards(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", ROWS_PER_SHARD, "shard")
-    rows = rows.select("shard", "id", "text").repartition(shuffle_width(spark), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = range_sorted(rows, ["id", "h"], ["text"]).select("id", "text")
 
-    def save(shard: int, ids: list, parts: list[np.ndarray]) -> tuple:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(), np.array([end_id], np.uint32)
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        counts = np.array([len(p) for p in parts], np.int64)
-        raw = encode_file(ids, counts, np.concatenate(parts).astype(np.uint32))
-        temporary, final = f"{root}/.{shard:08d}-{uuid.uuid4().hex}.tmp", f"{root}/{shard:08d}.tok"
-        with fs.open_output_stream(temporary) as f:
-            f.write(raw)
-        fs.move(temporary, final)
-        return shard, f"{folder}/{shard:08d}.tok", len(ids), int(counts.sum())
+        part, saved, now = TaskContext.get().partitionId(), [], None
+
+        def close() -> None:
+            file, temporary, name = now
+            file.close()
+            fs.move(temporary, f"{root}/{name}")
+            saved.append((part, len(saved), f"{folder}/{name}", len(file.doc_ids), file.n_ids))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()
-        end = np.array([end_id], np.uint32)
-        shard, ids, parts, saved = None, [], [], []
         for b in batches:
-            offsets = text_buffers(b.column(2))[1]
-            for i, j in slices(offsets, _TEXT_BYTES):
-                part = b.slice(i, j - i)
-                encoded = encode([t or "" for t in part.column(2).to_pylist()])
-                for s, d, e in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoded, strict=True):
-                    if s != shard and ids:
-                        saved.append(save(shard, ids, parts))
-                        ids, parts = [], []
-                    shard = s
-                    ids.append(d)
-                    parts.append(np.concatenate([e, end]))
-        if ids:
-            saved.append(save(shard, ids, parts))
-        cols = [*zip(*saved, strict=True)] if saved else [(), (), (), ()]
-        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "path", "n_docs", "n_ids"])
-
-    manifest = materialise(rows.mapInArrow(tidy(run), "shard int, path string, n_docs long, n_ids long"), "token-manifest")
-    # one row per file: small enough for the running sum
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+            for i, j in slices(text_buffers(b.column(1))[1], _TEXT_BYTES):
+                some = b.slice(i, j - i)
+                encoded = encode([t or "" for t in some.column(1).to_pylist()])
+                for d, e in zip(some.column(0).to_pylist(), encoded, strict=True):
+                    if now and (now[0].n_ids >= file_ids or len(now[0].doc_ids) >= file_docs):
+                        close()
+                        now = None
+                    if not now:
+                        name = f"{part:08d}-{len(saved):06d}.tok"
+                        temporary = f"{root}/.{name}-{uuid.uuid4().hex}.tmp"
+                        now = TokenFile(fs.open_output_stream(temporary)), temporary, name
+                    now[0].add(d, np.concatenate([e, end]))
+        if now:
+            close()
+        cols = [*zip(*saved, strict=True)] if saved else [()] * 5
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "roll", "path", "n_docs", "n_ids"])
+
+    manifest = materialise(rows.mapInArrow(tidy(run), "part int, roll int, path string, n_docs long, n_ids long"), "token-manifest")
+    # ids before each part, then within the part: no window holds more than a part's files or one row a part
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy("roll").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.join(parts, "part").withColumn("start", F.col("before") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).drop("before")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -270,9 +317,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, doc_ids, starts, parts in _files(batches):
-            for i in range(0, len(doc_ids), 256):
-                raw = [p.astype("<u4").tobytes() for p in parts(i, i + 256)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i : i + 256], pa.int64()), pa.array(starts[i : i + 256], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "start", "ids"])
+            for i in range(0, len(doc_ids), 64):
+                raw = [p.astype("<u4").tobytes() for p in parts(i, i + 64)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i : i + 64], pa.int64()), pa.array(starts[i : i + 64], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "start", "ids"])
 
     return _by_file(manifest).mapInArrow(tidy(run), "doc_id long, start long, ids binary")
 
@@ -282,7 +329,7 @@ def token_checksums(manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, doc_ids, starts, parts in _files(batches):
-            got = [(len(p), zlib.crc32(p.astype("<u4").tobytes())) for i in range(0, len(doc_ids), 256) for p in parts(i, i + 256)]
+            got = [(len(p), zlib.crc32(p.astype("<u4").tobytes())) for i in range(0, len(doc_ids), 64) for p in parts(i, i + 64)]
             n, crc = zip(*got, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_ids, starts, n, crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -290,25 +337,24 @@ def token_checksums(manifest: DataFrame) -> DataFrame:
 
 
 def _by_file(manifest: DataFrame) -> DataFrame:
-    return manifest.select("shard", "path", "start").repartition(shuffle_width(manifest.sparkSession), "shard")
+    return manifest.select("path", "start").repartition(shuffle_width(manifest.sparkSession), "path")
 
 
 def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(path, document ids, starts, function of a range of documents that gives their ids) of each file."""
     for b in batches:
-        for path, start in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             fs, at = open_fs(path)
-            with fs.open_input_stream(at) as f:
-                raw = f.read()
-            blocks, doc_ids, counts, _ = read_index(raw)
-            ends = np.cumsum(counts)
-
-            def parts(i: int, j: int, raw=raw, blocks=blocks, counts=counts, ends=ends) -> list[np.ndarray]:
-                j = min(j, len(counts))
-                first = int(ends[i] - counts[i])
-                ids = decode_slice_at(raw, blocks, first, int(ends[j - 1]))
-                return np.split(ids, ends[i : j - 1] - first)
-
-            yield path, doc_ids, (start + ends - counts).tolist(), parts
+            with fs.open_input_file(at) as f:
+                reader = TokenReader(f, f.size())
+                counts, ends = reader.counts, np.cumsum(reader.counts)
+
+                def parts(i: int, j: int, reader=reader, counts=counts, ends=ends) -> list[np.ndarray]:
+                    j = min(j, len(counts))
+                    first = int(ends[i] - counts[i])
+                    return np.split(reader.ids(first, int(ends[j - 1])), ends[i : j - 1] - first)
+
+                yield path, reader.doc_ids, (start + ends - counts).tolist(), parts
 
 
 def tokenize_to_files(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:

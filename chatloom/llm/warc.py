@@ -1,14 +1,16 @@
 """WARC archives from a table of pages, and back.
 
-Pages are put into shards of contiguous id ranges and sorted; a shard's records, each a gzip member
-of its own, go to files that are closed at a compressed size. Digests and headers are made anew
-from the payload. A payload that occurs again is a revisit record that names the response. Files
-are written under temporary names and renamed once whole; the writers' rows are the manifest.
-The bytes depend on the pages alone, so a task that is run again makes the same files.
+Pages are range-partitioned and sorted by id; a partition's records, each a gzip member of its own,
+go to files that are closed at a compressed size. Digests and headers are made anew from the
+payload. A payload that occurs again is a revisit record that names the response. Files are
+written under temporary names and renamed once whole; the writers' rows are the manifest. The
+bytes depend on the pages alone, so a task that is run again makes the same files.
 
 Defined results: null html is an empty payload, null url an empty target. Null page ids sort
 first and are never the response while an equal payload has an id; rows that repeat the largest
-page id of a payload are all responses, and so are all rows of a payload without any id.
+page id of a payload are all responses, and so are all rows of a payload without any id. Rows of
+one id follow each other in the order of their payloads' hashes. A very long payload is one record;
+one record is held at a time. An empty table gives no file. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_shards, materialise, open_fs, shared_dir, shuffle_width, tidy
+from .shared import materialise, open_fs, range_sorted, shared_dir, shuffle_width, tidy
 
-ROWS_PER_SHARD, FILE_BYTES = 2048, 64 << 20
+FILE_BYTES = 64 << 20
 #: The archive's date is part of the input, not of the run.
 DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,65 +89,63 @@ def read_records(raw) -> Iterator[tuple[dict[str, str], bytes]]:
             yield headers, f.read(int(headers["content-length"]))
 
 
-def revisit_marks(sharded: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(shard, digest, last): payloads of at least min_bytes that occur again, in each shard that holds
-    them, with the largest page id. Pages are looked at without their bodies after hashing."""
-    rows = sharded.where(F.octet_length("html") >= min_bytes).select("shard", "page_id", F.sha1(F.col("html").cast("binary")).alias("digest"))
+def revisit_marks(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, h, last) of pages (page_id, html) whose payload, of at least min_bytes, occurs again: h is
+    the payload's 64-bit hash, last the largest page id. Bodies are left behind after hashing."""
+    rows = pages.where(F.octet_length("html") >= min_bytes).select("page_id", F.xxhash64("html").alias("h"), F.sha1(F.col("html").cast("binary")).alias("digest"))
     last = rows.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1 and last is not null")
-    return rows.select("shard", "digest").distinct().join(last.select("digest", "last"), "digest")
+    # written first, so that the rows of a payload with many copies are split when AQE joins them
+    last = materialise(last.select("digest", "last"), "last-copies")
+    return rows.join(last, "digest").select("page_id", "h", "digest", "last").distinct()
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write page_id, url, html of pages; returns the manifest (path, records, bytes, crc32).
 
-    The bodies are shuffled once, to their shards; the shard's revisit marks come ahead of them.
+    The bodies are shuffled once, to their range; a page's revisit mark travels there beside it.
     """
-    spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = id_shards(rows, "page_id", rows_per_shard, "shard")
-    marks = revisit_marks(rows, min_bytes).select("shard", F.lit(0).alias("kind"), F.col("last").alias("page_id"), F.col("digest").alias("url"), F.lit("").alias("html"))
-    rows = marks.unionByName(rows.select("shard", F.lit(1).alias("kind"), "page_id", "url", "html"))
-    rows = rows.repartition(shuffle_width(spark), "shard").sortWithinPartitions("shard", "kind", F.col("page_id").asc_nulls_first(), "url", "html")
+    marks = revisit_marks(rows, min_bytes).select("page_id", "h", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.lit("").alias("html"), "last")
+    rows = marks.unionByName(rows.select("page_id", F.xxhash64("html").alias("h"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("last")))
+    rows = range_sorted(rows, ["page_id", "h"], ["kind", "url", "html"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        saved, open_file = [], None
+        part, saved, now = TaskContext.get().partitionId(), [], None
         last: dict[str, int] = {}
         marked = None
 
         def close() -> None:
-            nonlocal open_file
-            if open_file:
-                out, temporary, name, count, size, crc, _ = open_file
-                out.close()
-                fs.move(temporary, f"{root}/{name}")
-                saved.append((f"{folder}/{name}", count, size, crc))
-            open_file = None
+            out, temporary, name, count, size, crc = now
+            out.close()
+            fs.move(temporary, f"{root}/{name}")
+            saved.append((f"{folder}/{name}", count, size, crc))
 
         for b in batches:
-            for shard, kind, page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if shard != marked:
-                    last, marked = {}, shard
+            for row in range(b.num_rows):  # one body at a time
+                page_id, h, kind, url, html, copy_of = (c[row].as_py() for c in b.columns)
+                if (page_id, h) != marked:
+                    last, marked = {}, (page_id, h)
                 if kind == 0:
-                    last[url] = page_id
+                    last[url] = copy_of
                     continue
-                roll = 0
-                if open_file and (open_file[6][0] != shard or open_file[4] >= file_bytes):
-                    roll = open_file[6][1] + 1 if open_file[6][0] == shard else 0
+                if now and now[4] >= file_bytes:
                     close()
-                if not open_file:
-                    name = f"pages-{shard:08d}-{roll:04d}.warc.gz"
+                    now = None
+                if not now:
+                    name = f"pages-{part:08d}-{len(saved):06d}.warc.gz"
                     temporary = f"{root}/.{name}.{uuid.uuid4().hex}.tmp"
-                    open_file = [fs.open_output_stream(temporary, compression=None), temporary, name, 0, 0, 0, (shard, roll)]
+                    now = [fs.open_output_stream(temporary, compression=None), temporary, name, 0, 0, 0]
                 payload = html.encode()
-                refers = last.get(hashlib.sha1(payload).hexdigest()) if len(payload) >= min_bytes else None
+                refers = last.get(hashlib.sha1(payload).hexdigest()) if last else None
                 raw = record_bytes(page_id, url, payload, None if refers == page_id else refers)
-                open_file[0].write(raw)
-                open_file[3] += 1
-                open_file[4] += len(raw)
-                open_file[5] = zlib.crc32(raw, open_file[5])
-        close()
+                now[0].write(raw)
+                now[3] += 1
+                now[4] += len(raw)
+                now[5] = zlib.crc32(raw, now[5])
+        if now:
+            close()
         cols = [*zip(*saved, strict=True)] if saved else [(), (), (), ()]
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "records", "bytes", "crc32"])

@@ -41,7 +41,7 @@ def test_op2_chains_and_many_copies(spark):
 def test_op2_texts_of_one_template(spark):
     """Texts that share most of their words, but less than 80 %, pair nobody: the work does not grow with their square."""
     common = " ".join(f"t{j}" for j in range(64))
-    rows = [(i, common + " " + " ".join(f"o{i}w{j}" for j in range(12))) for i in range(1500)]
+    rows = [(i, common + " " + " ".join(f"o{i}w{j}" for j in range(16))) for i in range(1500)]
     rows += [(5000 + i, common + " " + " ".join(f"p{i}w{j}" for j in range(2))) for i in range(30)]  # these are linked
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = ngram_jaccard.candidates(df, "doc_id", "text").collect()
