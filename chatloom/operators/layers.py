@@ -52,7 +52,9 @@ def extract_signals(messages: DataFrame) -> DataFrame:
 
 def apply_transcripts(semantic: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Transcripts (message_id, transcript, done_at) put into rows not transcribed before; an empty one counts as done."""
-    t = transcripts.dropDuplicates(["message_id"]).select("message_id", F.coalesce("transcript", F.lit("")).alias("tr__text"), F.col("done_at").alias("tr__at"))
+    # of several transcripts the latest, of equal times the greatest text
+    latest = F.max(F.struct("done_at", F.coalesce("transcript", F.lit("")).alias("text"))).alias("t")
+    t = transcripts.groupBy("message_id").agg(latest).select("message_id", F.col("t.text").alias("tr__text"), F.col("t.done_at").alias("tr__at"))
     hit = F.col("transcribed_at").isNull() & F.col("tr__text").isNotNull()
     tokens = X.count_tokens(F.col("tr__text"))
     return (

@@ -137,7 +137,7 @@ def list_chats(v: ChatView) -> DataFrame:
 
 @query("SELECT message_id, normalized_text, language, token_count, media_kind IN ('sticker', 'voice', 'round') OR token_count < 3 AS skip_embedding FROM semantic")
 def build_semantic(v: ChatView) -> DataFrame:
-    return v.semantic
+    return layers.build_semantic(v.messages)
 
 
 @query("SELECT signal_type, item, count(*) AS n FROM items GROUP BY 1, 2")
@@ -372,8 +372,9 @@ def list_episodes(v: ChatView) -> DataFrame:
 
 # retrieval
 
-_QUERIES = ((1, "the of and"), (2, "la que los"), (3, "der und die the"))
-_Q_SQL = "q(query_id, query) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{q}')" for i, q in _QUERIES) + ")"
+#: Eight words for each document whose id is divisible by 100: the longest of its whole text.
+_Q_SQL = rf"""q(query_id, query) AS (SELECT doc_id, array_to_string(list_transform(list_slice(list_sort(list_transform(list_distinct({_TOKENS}), lambda w: concat(lpad(CAST(100000 - length(w) AS VARCHAR), 6, '0'), w))), 1, 8), lambda x: substr(x, 7)), ' ')
+  FROM documents WHERE doc_id % 100 = 0)"""
 _BM25_SQL = rf"""{_Q_SQL}, d AS (SELECT doc_id AS id, {_TOKENS} AS tokens FROM documents), c AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
 qt AS (SELECT query_id, unnest(string_split(query, ' ')) AS term FROM q),
 tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2, 3),
@@ -384,7 +385,9 @@ rr AS (SELECT query_id, id, score * (n / (n + 10.0)) AS score FROM bm JOIN sz US
 
 
 def _queries(v: ChatView) -> DataFrame:
-    return v.spark.createDataFrame(list(_QUERIES), "query_id long, query string")
+    keyed = F.transform(F.array_distinct(X.tokenize(F.col("text"))), lambda w: F.concat(F.lpad((100_000 - F.length(w)).cast("string"), 6, "0"), w))
+    words = F.transform(F.slice(F.array_sort(keyed), 1, 8), lambda x: F.substring(x, 7, 1 << 20))
+    return v.table("documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
 @query(f"WITH {_BM25_SQL} SELECT query_id, id AS first_message_id, round(score, 6) AS score FROM bm WHERE score > 0", view=False)
@@ -420,13 +423,13 @@ def with_context(v: ChatView) -> DataFrame:
 
 _NEAR_SQL = """c AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(1 - list_inner_product(q.v, c.v) / sqrt(list_inner_product(q.v, q.v) * list_inner_product(c.v, c.v)), 6) AS distance
-  FROM c q JOIN c ON q.vec_id < 10 AND c.vec_id >= 10),
+  FROM c q JOIN c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)"""
 
 
 def _vectors(v: ChatView) -> tuple[DataFrame, DataFrame]:
     e = v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return e.where("id < 10").withColumnRenamed("id", "query_id"), e.where("id >= 10")
+    return e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e
 
 
 @query(f"WITH {_NEAR_SQL} SELECT query_id, id, distance FROM vr WHERE rank <= 50", view=False)
@@ -445,7 +448,7 @@ def vector_search(v: ChatView) -> DataFrame:
 @query(
     """WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, c.vec_id AS message_id, round(1 - list_inner_product(q.v, c.v) / sqrt(list_inner_product(q.v, q.v) * list_inner_product(c.v, c.v)), 6) AS distance
-  FROM c q JOIN c ON q.vec_id < 10 AND c.vec_id >= 10 AND c.vec_id % 2 = 0 AND c.vec_id % 7 <> 0)
+  FROM c q JOIN c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND c.vec_id % 2 = 0 AND c.vec_id % 7 <> 0)
 SELECT query_id, message_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, message_id) AS r FROM d) WHERE r <= 10""",
     view=False,
 )
@@ -457,14 +460,15 @@ def vector_search_messages(v: ChatView) -> DataFrame:
 
 _RRF_SQL = f"""WITH {_BM25_SQL}, {_NEAR_SQL.replace('c AS (', 'e AS (').replace('FROM c q JOIN c ON', 'FROM e q JOIN e c ON').replace('d AS (SELECT q', 'vd AS (SELECT q').replace('FROM d)', 'FROM vd)')},
 lx AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM rr),
-vx AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM vr WHERE rank <= 50 AND query_id IN (1, 2, 3) AND id IN (SELECT doc_id FROM documents)),
+vx AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM vr WHERE rank <= 50 AND query_id IN (SELECT query_id FROM q) AND id IN (SELECT doc_id FROM documents)),
 hy AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM lx UNION ALL SELECT * FROM vx) GROUP BY 1, 2)"""
 
 
 def _lists(v: ChatView) -> tuple[DataFrame, DataFrame]:
     q, corpus = _vectors(v)
     lexical = ranking.bm25_reranked(_queries(v), v.doc_utterances).withColumn("score", F.round("score", 6))
-    near = vectors.vector_search(q.where("query_id in (1, 2, 3)"), corpus.withColumnRenamed("id", "first_message_id"), v.doc_utterances)
+    q = q.join(_queries(v).select("query_id"), "query_id", "left_semi")
+    near = vectors.vector_search(q, corpus.withColumnRenamed("id", "first_message_id"), v.doc_utterances)
     return lexical, near.withColumn("score", F.round("score", 6))
 
 
@@ -528,7 +532,7 @@ def search_phrases(v: ChatView) -> DataFrame:
 
 def _similar_sql(condition: str, limit: str) -> str:
     grams = "list_distinct(flatten(list_transform({t}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))"
-    return rf""", s AS (SELECT m.id AS query_id, m.text AS query FROM messages m WHERE m.id IN (7, 19) AND m.text <> ''),
+    return rf""", s AS (SELECT m.id AS query_id, m.text AS query FROM messages m WHERE m.id % 100 = 0 AND m.text <> ''),
 g AS (SELECT id, text, sent_us, {grams.format(t=_TOKENS)} AS g FROM messages WHERE NOT is_deleted AND in_memory_window AND text <> ''),
 sg AS (SELECT query_id, query, {grams.format(t=_TOKENS.replace('text', 'query'))} AS g FROM s),
 r AS (SELECT sg.query_id, g.id, g.sent_us, len(list_intersect(g.g, sg.g)) / len(list_distinct(list_concat(g.g, sg.g))) AS rank FROM g, sg WHERE {condition})
@@ -536,7 +540,7 @@ SELECT query_id, id, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (P
 
 
 def _samples(v: ChatView) -> DataFrame:
-    return v.messages.where("id in (7, 19) and text <> ''").select(F.col("id").alias("query_id"), F.col("text").alias("query"))
+    return v.messages.where("id % 100 = 0 and text <> ''").select(F.col("id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(_similar_sql("TRUE", "20"))

@@ -1,11 +1,16 @@
 """A chat log made of the tables `events` and `documents`, alike in Spark and in SQL.
 
+Every event is a message. Every document is dealt, whole, among the messages that carry text and
+belong to it (event_id modulo the range of doc_id), in even consecutive pieces. The Spark side is
+written once for each session and folder and read back by every query.
+
 Episodes of the view are runs of 25 message numbers, so that reports over episodes have a twin
 in SQL; real segmentation has queries of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chats, layers, sessions
+from ..operators.ordered import with_row_number
+from ..sources.scratch import stored
 
 EMOJI_CLASS = f"[{X.EMOJI_BLOCKS}{X.JOINERS}]"
 STRIP_CLASS = rf"[{X.EMOJI_BLOCKS}\x{{200D}}\x{{FE00}}-\x{{FE0F}}]"
@@ -30,21 +37,26 @@ m AS (
               WHEN k % 20 = 2 THEN 'photo' WHEN k % 20 = 12 THEN 'round' ELSE '' END AS media_kind,
          user_id % 15 < 4 AS is_outgoing
   FROM e),
-n AS (
-  SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY sent_us, event_id) AS telegram_id FROM m),
+NUMBERED,
+dealt AS (
+  SELECT event_id, event_id % docs AS doc_id, row_number() OVER (PARTITION BY event_id % docs ORDER BY event_id) - 1 AS piece, count(*) OVER (PARTITION BY event_id % docs) AS pieces
+  FROM m, (SELECT coalesce(max(doc_id), 0) + 1 AS docs FROM documents) r WHERE media_kind NOT IN ('sticker', 'voice', 'round')),
+pieces AS (
+  SELECT event_id, substr(text, CAST(a + 1 AS INT), CAST(b - a AS INT)) AS text FROM (
+    SELECT p.event_id, d.text, floor(length(d.text) * piece / pieces) AS a, floor(length(d.text) * (piece + 1) / pieces) AS b FROM dealt p JOIN documents d ON d.doc_id = p.doc_id) c),
 messages AS (
   SELECT n.event_id + 1 AS id, n.telegram_id, n.chat_id,
          CASE WHEN n.is_outgoing THEN CAST(1000000 AS BIGINT) ELSE n.user_id + 1 END AS sender_id,
          CASE WHEN n.k % 3 = 0 AND n.telegram_id > 1 + n.k % 5 THEN n.telegram_id - 1 - n.k % 5 END AS reply_to_id,
          CASE WHEN n.media_kind IN ('sticker', 'voice', 'round') THEN ''
-              ELSE concat(substr(d.text, CAST(1 + n.event_id % 40 AS INT), CAST(5 + n.k * 2 AS INT)),
+              ELSE concat(coalesce(p.text, ''),
                           CASE WHEN n.k % 5 = 3 THEN ' 😂😂' ELSE '' END, CASE WHEN n.k % 7 = 3 THEN ' Ок, ну' ELSE '' END,
                           CASE WHEN n.k % 11 = 3 THEN ' !!!' ELSE '' END, CASE WHEN n.k % 13 = 3 THEN ' аааа...' ELSE '' END) END AS text,
          n.media_kind,
          CASE WHEN n.media_kind <> 'sticker' THEN NULL WHEN n.k % 40 = 0 THEN '' WHEN n.k % 20 = 0 THEN '😂' ELSE '👍' END AS sticker_emoticon,
          n.sent_us, n.is_outgoing, n.k % 23 = 5 AS is_deleted, n.k % 17 = 4 AS is_forwarded,
          CASE WHEN n.k % 19 = 4 THEN n.sent_us + 60000000 END AS edit_us, n.telegram_id % 9 <> 4 AS in_memory_window
-  FROM n JOIN documents d ON d.doc_id = n.event_id % 200),
+  FROM n LEFT JOIN pieces p ON p.event_id = n.event_id),
 dialogs AS (
   SELECT chat_id AS id, concat('chat-', CAST(chat_id AS VARCHAR)) AS title,
          CASE chat_id % 5 WHEN 0 THEN 'saved_messages' WHEN 1 THEN 'private' WHEN 2 THEN 'group' WHEN 3 THEN 'supergroup' ELSE 'channel' END AS type,
@@ -52,6 +64,8 @@ dialogs AS (
   FROM (SELECT DISTINCT CAST(floor(user_id / 15) AS BIGINT) + 1 AS chat_id FROM events) c
   UNION ALL SELECT 900000005, 'chat-empty', 'saved_messages', FALSE, FALSE, FALSE)"""
 
+_NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY sent_us, event_id) AS telegram_id FROM m)"
+
 _DUCK = f"""
 chats AS (
   SELECT *, CAST(CASE type WHEN 'saved_messages' THEN 1.0 WHEN 'private' THEN CASE WHEN is_bot THEN 0.5 ELSE 0.85 END
@@ -92,7 +106,11 @@ utt AS (
     GROUP BY chat_id, g HAVING count(*) FILTER (WHERE token_count > 0) > 0))"""
 
 #: Starts every SQL twin: the view's tables as common table expressions.
-BASE = f"WITH {_PARTS.strip()},{_DUCK} "
+BASE = f"WITH {_PARTS.strip().replace('NUMBERED', _NUMBERED)},{_DUCK} "
+
+
+#: Tables of a session that are already written: (session, folder, name) -> DataFrame.
+_written: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class ChatView:
@@ -104,15 +122,25 @@ class ChatView:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table make() gives, written at its first use in the session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _written:
+            _written[key] = stored(make(), f"view-{name}")
+        return _written[key]
+
     def _sql(self, last: str) -> DataFrame:
         for name in ("events", "documents"):
             self.table(name).createOrReplaceTempView(name)
         text = _PARTS.replace("epoch_us(ts)", "unix_micros(CAST(ts AS TIMESTAMP))").replace("AS VARCHAR", "AS STRING")
-        return self.spark.sql(f"WITH {text} SELECT * FROM {last}")
+        if last == "messages":  # numbers within a chat without a window over the chat
+            m = self.spark.sql(f"WITH {text[: text.index(',\nNUMBERED')]} SELECT *, timestamp_micros(sent_us) AS sent_at FROM m")
+            with_row_number(m, "telegram_id", order=("sent_at", "event_id")).drop("sent_at").createOrReplaceTempView("numbered_messages")
+        return self.spark.sql(f"WITH {text.replace('NUMBERED', 'n AS (SELECT * FROM numbered_messages)') if last == 'messages' else text.replace('NUMBERED', _NUMBERED)} SELECT * FROM {last}")
 
     @cached_property
     def messages(self) -> DataFrame:
-        return self._sql("messages").withColumn("sent_at", F.timestamp_micros("sent_us"))
+        return self.once("messages", lambda: self._sql("messages").withColumn("sent_at", F.timestamp_micros("sent_us")))
 
     @cached_property
     def dialogs(self) -> DataFrame:
@@ -124,11 +152,11 @@ class ChatView:
 
     @cached_property
     def semantic(self) -> DataFrame:
-        return layers.build_semantic(self.messages)
+        return self.once("semantic", lambda: layers.build_semantic(self.messages))
 
     @cached_property
     def signals(self) -> DataFrame:
-        return layers.extract_signals(self.messages)
+        return self.once("signals", lambda: layers.extract_signals(self.messages))
 
     @cached_property
     def links(self) -> DataFrame:
