@@ -98,9 +98,10 @@ def pretokenizer(pattern: str) -> Callable[[str], list[str]]:
 
 
 class Codec:
-    """Encodes and decodes by ranks; keeps up to CACHE bytes of distinct pre-tokens and their ids."""
+    """Encodes and decodes by ranks; keeps up to CACHE bytes of distinct pre-tokens and their ids, ENTRY of them
+    for the objects of each."""
 
-    CACHE, LONG = 12 << 20, 256
+    CACHE, ENTRY, LONG = 24 << 20, 160, 256
 
     def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)
@@ -138,7 +139,7 @@ class Codec:
         new = list(tokens)
         for t, row in zip(new, self.pieces_of(new), strict=True):
             self.known[t] = ids = b" ".join(map(self.digits.__getitem__, row))
-            self.held += len(t) + len(ids)
+            self.held += self.ENTRY + len(t) + len(ids)
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, sha256 of the ids, sha256 of the bytes that the ids stand for) of each text."""
@@ -154,7 +155,7 @@ class Codec:
             yield len(each), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
         for t in new:
             if len(t) > self.LONG:
-                self.held -= len(t) + len(self.known.pop(t))
+                self.held -= self.ENTRY + len(t) + len(self.known.pop(t))
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

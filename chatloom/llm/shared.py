@@ -42,7 +42,7 @@ def open_fs(uri: str):
 
 
 #: Bytes of an Arrow batch.
-BATCH = "4m"
+BATCH = "2m"
 _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 #: What modules keep in a Python worker during a task, as functions that clear it.
