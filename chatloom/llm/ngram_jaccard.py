@@ -158,8 +158,8 @@ def keys_of(vals: np.ndarray, offs: np.ndarray, common: tuple[np.ndarray, np.nda
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, many, short): pairs of set ids a < b that share a key; with many set, a key and one of the
-    many set ids under it, and whether it is among that set's short keys."""
+    """(a, b, many, short, pivot): pairs of set ids a < b that share a key, once for each key; with many set, a
+    key, one of the many set ids under it, whether it is among that set's short keys, and the key's least set id."""
     spark = docs.sparkSession
     parts = 2 * shuffle_width(spark)
     shared = spark.sparkContext.broadcast(common_shingles(docs, id_col, text_col))
@@ -210,11 +210,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             many = lambda c, kind: np.concatenate([np.repeat(np.frombuffer(r[c], kind), n) for r, n in zip(rows, counts, strict=True)])
             found = sharing(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]), many("sids", np.int64), many("sizes", np.uint32).astype(np.int64))
             for at in range(0, len(found[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in found], ["a", "b", "many", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in found], ["a", "b", "many", "short", "pivot"])
 
     blobs = docs.select(text_col).mapInArrow(tidy(key_rows), "part int, keys binary, sids binary, counts binary, sizes binary")
     by_part = blobs.repartition(shuffle_width(spark), "part").sortWithinPartitions("part")
-    return by_part.mapInArrow(tidy(found_rows), "a long, b long, many boolean, short boolean").distinct()
+    return by_part.mapInArrow(tidy(found_rows), "a long, b long, many boolean, short boolean, pivot long")
 
 
 def _roles_fit(n, short, m, other):
@@ -222,8 +222,8 @@ def _roles_fit(n, short, m, other):
     return np.where(n < m, short, np.where(n > m, other, short | other))
 
 
-def sharing(keys: np.ndarray, sids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (a, b, many, short) of the set ids under each key."""
+def sharing(keys: np.ndarray, sids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (a, b, many, short, pivot) of the set ids under each key."""
     key, short = keys >> _U(1), (keys & _U(1)).astype(bool)
     order = np.lexsort((sids, key))
     key, sids, sizes, short = key[order], sids[order], sizes[order], short[order]
@@ -248,10 +248,11 @@ def sharing(keys: np.ndarray, sids: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     first = np.ones(len(a), bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     a, b = a[first], b[first]
-    rest = np.repeat(count > SMALL, np.diff(np.append(begin, len(key))))
+    number = np.diff(np.append(begin, len(key)))
+    rest, pivot = np.repeat(count > SMALL, number), np.repeat(sids[begin], number)
     pairs = len(a)
     a, b = np.concatenate([a, key[rest].view(np.int64)]), np.concatenate([b, sids[rest]])
-    return a, b, np.arange(len(a)) >= pairs, np.concatenate([np.zeros(pairs, bool), short[rest]])
+    return a, b, np.arange(len(a)) >= pairs, np.concatenate([np.zeros(pairs, bool), short[rest]]), np.concatenate([a[:pairs], pivot[rest]])
 
 
 def chosen_sets(docs: DataFrame, sids: DataFrame, text_col: str) -> DataFrame:
@@ -321,13 +322,13 @@ def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in blobs]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """Rows of equal keys that follow each other."""
+def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int = 1 << 62) -> Iterator[list[dict]]:
+    """Rows of equal keys that follow each other, at most so many at once."""
     rows: list[dict] = []
     for b in batches:
         for at in range(0, b.num_rows, PAGE):
             for r in b.slice(at, PAGE).to_pylist():
-                if rows and rows[0][key] != r[key]:
+                if rows and (rows[0][key] != r[key] or len(rows) == most):
                     yield rows
                     rows = []
                 rows.append(r)
@@ -478,21 +479,19 @@ def _point_pages(members: DataFrame) -> DataFrame:
     coordinates. heads has, for each point, the smallest set id that pairs within the bound join it to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "key"):
-            for at in range(0, len(group), KEY_PAGE):
-                part = group[at : at + KEY_PAGE]
-                part.sort(key=lambda r: r["sid"])  # the smallest id of a component is its root
-                (point,) = _same_width([r["point"] for r in part])
-                n, sids, u = np.array([r["n"] for r in part]), np.array([r["sid"] for r in part]), _Union(len(part))
-                short, own = np.array([r["short"] for r in part], bool), [*range(len(part))]
-                for _ in _joined(u, point, n, short, point, n, short, own, own):
-                    pass
-                cols = [
-                    pa.array([part[0]["key"]], pa.int64()), pa.array([part[0]["sid"]], pa.int64()), pa.array([int(n.min())], pa.int64()), pa.array([int(n.max())], pa.int64()), pa.array([point.max(0).tolist()], pa.list_(pa.int32())),
-                    *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (sids, sids[[u.find(i) for i in own]], n)), pa.array([point.tobytes()], pa.binary()),
-                    pa.array([short.tobytes()], pa.binary()), pa.array([bool(short.any())]),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "page", "low", "high", "upper", "sids", "heads", "ns", "points", "shorts", "some"])
+        for part in _groups(batches, "key", KEY_PAGE):
+            part.sort(key=lambda r: r["sid"])  # the smallest id of a component is its root
+            (point,) = _same_width([r["point"] for r in part])
+            n, sids, u = np.array([r["n"] for r in part]), np.array([r["sid"] for r in part]), _Union(len(part))
+            short, own = np.array([r["short"] for r in part], bool), [*range(len(part))]
+            for _ in _joined(u, point, n, short, point, n, short, own, own):
+                pass
+            cols = [
+                pa.array([part[0]["key"]], pa.int64()), pa.array([part[0]["sid"]], pa.int64()), pa.array([int(n.min())], pa.int64()), pa.array([int(n.max())], pa.int64()), pa.array([point.max(0).tolist()], pa.list_(pa.int32())),
+                *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (sids, sids[[u.find(i) for i in own]], n)), pa.array([point.tobytes()], pa.binary()),
+                pa.array([short.tobytes()], pa.binary()), pa.array([bool(short.any())]),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "page", "low", "high", "upper", "sids", "heads", "ns", "points", "shorts", "some"])
 
     order = ["key", "n", "c0", "c1", "c2", "sid"]
     rows = members.select("key", "sid", "n", "short", "point", *(F.get("point", F.lit(i)).alias(f"c{i}") for i in range(3)))
@@ -563,10 +562,15 @@ def linked_sets(docs: DataFrame, own: DataFrame, id_col: str = "doc_id", text_co
     points = materialise(points.join(asked, "sid"), "candidate-points")
 
     # the bound on pairs, then families
+    # under a crowded key each set is first held against the key's least one: copies of one text share many
+    # keys and one pivot, so these pairs are few; a key whose sets all pass has made its family already
+    crowded = found.where("many").select(F.col("a").alias("key"), F.col("b").alias("sid"), "short", "pivot")
+    stars = crowded.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
     side = lambda c: points.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
-    pairs = found.where("not many").select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    near = _pairs_within(pairs, ["a", "b"], ("p_a", "p_b"), ("n_a", "n_b"))
-    many = found.where("many").select(F.col("a").alias("key"), F.col("b").alias("sid"), "short").join(points, "sid")
+    pairs = found.where("not many").select("a", "b").union(stars).distinct().join(side("a"), "a").join(side("b"), "b")
+    near = materialise(_pairs_within(pairs, ["a", "b"], ("p_a", "p_b"), ("n_a", "n_b")), "near-pairs")
+    apart = crowded.where("sid <> pivot").join(near.toDF("pivot", "sid"), ["pivot", "sid"], "left_anti").select("key").distinct()
+    many = crowded.join(materialise(apart, "open-keys"), "key", "left_semi").select("key", "sid", "short").join(points, "sid")
     family = components(near.union(bounded_forest(many))).select(F.col("node").alias("sid"), F.col("comp").alias("fam"))
     pages = materialise(_pages(points.join(family, "sid")), "pages")
     sets = materialise(chosen_sets(docs, pages, text_col), "family-sets")
