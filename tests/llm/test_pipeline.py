@@ -38,18 +38,6 @@ def test_op2_chains_and_many_copies(spark):
     assert out == brute.components(dict(rows))
 
 
-def test_op2_texts_of_one_template(spark):
-    """Texts that share most of their words, but less than 80 %, pair nobody: the work does not grow with their square."""
-    common = " ".join(f"t{j}" for j in range(64))
-    rows = [(i, common + " " + " ".join(f"o{i}w{j}" for j in range(16))) for i in range(1500)]
-    rows += [(5000 + i, common + " " + " ".join(f"p{i}w{j}" for j in range(2))) for i in range(30)]  # these are linked
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = ngram_jaccard.candidates(df, "doc_id", "text").collect()
-    assert len(found) < 5 * len(rows)
-    out = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(df).collect()}
-    assert all(c == (d if d < 5000 else 5000) for d, c in out.items())
-
-
 def test_op2_odd_rows(spark, odd):  # noqa: F811
     out = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(documents(spark, odd)).collect()]
     got = {d: c for d, _, c in out if d is not None}
