@@ -57,6 +57,8 @@ SMALL = 16
 HOT_SAMPLE, HOT = 8000, 8
 #: Set ids that are sent to all executors; more are joined by a shuffle.
 BROADCAST_SETS = 2_000_000
+#: Bits that mark the rows which keep_one's last join must look at: at most so many / 64 rows are broadcast.
+MARK_BITS = 1 << 25
 #: Keys that a task gathers before it hands them on.
 FLUSH = 250_000
 
@@ -630,10 +632,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     best = materialise(own.groupBy("comp").agg(F.min(order).alias("best")), "first-ids")
     judged = own.join(best, "comp").withColumn("stays", order == F.col("best"))
     judged = materialise(judged.where("not stays or copies > 1").select(F.col("id").alias("ng__id"), F.col("th").alias("ng__th"), "stays"), "dropped-ids")
-    same = docs[id_col].eqNullSafe(F.col("ng__id")) & (F.xxhash64(docs[text_col]) == F.col("ng__th"))
-    out = docs.join(judged.where("not stays"), same, "left_anti")
+    # of all rows only those whose bit is set can be among the judged; the others skip the join's shuffle
+    at = "pmod(xxhash64(ng__id, ng__th), {0})".format(MARK_BITS)
+    marks = judged.select(F.expr(at).alias("ng__h")).groupBy(F.expr("ng__h div 64").alias("ng__word")).agg(F.expr("bit_or(shiftleft(1L, cast(ng__h % 64 as int)))").alias("ng__bits"))
+    marked = docs.withColumn("ng__h", F.pmod(F.xxhash64(docs[id_col], F.xxhash64(docs[text_col])), F.lit(MARK_BITS))).withColumn("ng__word", F.expr("ng__h div 64"))
+    marked = marked.join(F.broadcast(marks), "ng__word", "left").withColumn("ng__hit", F.expr("coalesce(getbit(ng__bits, cast(ng__h % 64 as int)) = 1, false)"))
+    sure, maybe = marked.where("not ng__hit").select(*docs.columns), marked.where("ng__hit").select(*docs.columns)
+    same = maybe[id_col].eqNullSafe(F.col("ng__id")) & (F.xxhash64(maybe[text_col]) == F.col("ng__th"))
+    out = maybe.join(judged.where("not stays"), same, "left_anti")
     twice = judged.where("stays")
     if twice.isEmpty():
-        return out
+        return sure.unionByName(out)
     same = out[id_col].eqNullSafe(F.col("ng__id")) & (F.xxhash64(out[text_col]) == F.col("ng__th"))
-    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+    once = out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col])
+    return sure.unionByName(out.join(twice, same, "left_anti")).unionByName(once)
