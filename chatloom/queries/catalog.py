@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators import chats, episodes, layers, prompts, ranking, reports, search, sessions, upsert, vectors, windows
 from ..plans import workloads
+from ..sources import records, scratch
+from ..streaming import ingest
 from .view import BASE, EMOJI_CLASS, WHITE_CLASS, ChatView
 
 Build = Callable[[ChatView], DataFrame]
@@ -71,9 +73,18 @@ def text_functions(v: ChatView) -> DataFrame:
     )
 
 
-@query()
+# maximal runs of one letter, three or longer; a message's last run of a letter counts
+_RUNS = r"""runs AS (
+  SELECT id, letter, arg_max(run, start) AS run, max(start) AS start FROM (
+    SELECT id, c AS letter, count(*) AS run, min(i) AS start FROM (
+      SELECT id, c, i, i - row_number() OVER (PARTITION BY id, c ORDER BY i) AS g FROM (
+        SELECT id, unnest(chars) AS c, unnest(range(1, len(chars) + 1)) AS i FROM (SELECT id, regexp_extract_all(text, '(?s).') AS chars FROM messages))
+      WHERE regexp_matches(c, '\p{L}'))
+    GROUP BY id, c, g HAVING count(*) >= 3) GROUP BY id, letter)"""
+
+
+@query(f", {_RUNS} SELECT letter, run, count(*) AS n FROM runs GROUP BY 1, 2")
 def repeated_letters(v: ChatView) -> DataFrame:
-    """Back-references: no twin in SQL."""
     runs = v.messages.select("id", F.explode(X.repeated_chars(F.col("text"))).alias("letter", "run"))
     return runs.groupBy("letter", "run").agg(F.count("*").alias("n"))
 
@@ -146,7 +157,27 @@ def signal_items(v: ChatView) -> DataFrame:
     return rows.select("signal_type", F.explode(F.from_json("value_json", "array<string>")).alias("item")).groupBy("signal_type", "item").agg(F.count("*").alias("n"))
 
 
-@query()
+_COUNTED = ", ".join(f"(length(text) - length(replace(text, '{p}', ''))) // {len(p)}" for p in X.EMPHASIS)
+_SLANG_LIST = ", ".join(f"'{w}'" for w in X.SLANG)
+_KINDS = rf"""{_RUNS},
+emo AS (SELECT id, regexp_extract_all(text, '{EMOJI_CLASS}') AS found FROM messages),
+sl AS (SELECT id, list_filter(list_transform(regexp_split_to_array(lower(text), '{WHITE_CLASS}'), lambda x: trim(x, '.,!?;:')), lambda x: x IN ({_SLANG_LIST})) AS found FROM messages),
+cased AS (SELECT id, text, media_kind, sticker_emoticon, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS l, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS u,
+  length(regexp_replace(text, '[^\p{{Ll}}]', '', 'g')) AS s, length(regexp_replace(text, '{WHITE_CLASS}', '', 'g')) AS dense FROM messages),
+kinds AS (
+  SELECT 'emoji_usage' AS signal_type, CAST(found AS VARCHAR) AS v FROM emo WHERE len(found) > 0
+  UNION ALL SELECT 'emoji_only', 'true' FROM messages WHERE regexp_full_match(text, '({EMOJI_CLASS}| )+') OR (text = '' AND media_kind = 'sticker')
+  UNION ALL SELECT 'punctuation_style', CAST(m AS VARCHAR) FROM (SELECT [{_COUNTED}] AS m FROM messages) WHERE list_sum(m) > 0
+  UNION ALL SELECT 'capitalization', CASE WHEN u = l THEN 'all_caps' WHEN u = 0 THEN 'lower' WHEN regexp_matches(regexp_extract(text, '\p{{L}}'), '\p{{Lu}}') AND s > u THEN 'sentence' ELSE 'mixed' END FROM cased WHERE l > 0
+  UNION ALL SELECT 'length_class', CASE WHEN dense < 5 THEN 'very_short' WHEN dense <= 30 THEN 'short' WHEN dense <= 150 THEN 'medium' ELSE 'long' END FROM cased
+  UNION ALL SELECT 'media_kind', media_kind FROM messages WHERE media_kind <> ''
+  UNION ALL SELECT 'sticker_usage', sticker_emoticon FROM messages WHERE sticker_emoticon IS NOT NULL
+  UNION ALL SELECT 'repeated_chars', string_agg(concat(letter, CAST(run AS VARCHAR)), ' ' ORDER BY start) FROM runs GROUP BY id
+  UNION ALL SELECT 'slang_markers', CAST(list_filter(found, lambda x, i: list_position(found, x) = i) AS VARCHAR) FROM sl WHERE len(found) > 0
+  UNION ALL SELECT 'has_media', 'true' FROM messages WHERE media_kind <> '')"""
+
+
+@query(f", {_KINDS} SELECT signal_type, count(*) AS n, count(DISTINCT v) AS values FROM kinds GROUP BY 1")
 def signals_by_kind(v: ChatView) -> DataFrame:
     return v.signals.groupBy("signal_type").agg(F.count("*").alias("n"), F.count_distinct("value_json").alias("values"))
 
@@ -353,13 +384,14 @@ def segment_episodes(v: ChatView) -> DataFrame:
     return episodes.build_episodes(episodes.segment_episodes(live)).withColumn("participant_ids", F.array_join(F.transform("participant_ids", lambda x: x.cast("string")), ","))
 
 
-@query(
-    """SELECT episode_id, string_agg(line, chr(10) ORDER BY telegram_id) AS semantic_text FROM (
+_EPISODE_DOCS = """SELECT episode_id, string_agg(line, chr(10) ORDER BY telegram_id) AS semantic_text FROM (
   SELECT l.episode_id, l.telegram_id, concat(CASE WHEN m.is_outgoing THEN '→ ' ELSE '← ' END, body) AS line FROM (
     SELECT m.id, m.is_outgoing, CASE WHEN m.media_kind = 'sticker' THEN CASE WHEN m.sticker_emoticon <> '' THEN concat('[', m.sticker_emoticon, ']') ELSE '[sticker]' END
       WHEN m.media_kind IN ('voice', 'round') THEN '[voice]' ELSE s.normalized_text END AS body FROM messages m JOIN semantic s ON s.message_id = m.id) m
   JOIN links l ON l.message_id = m.id WHERE body <> '') GROUP BY episode_id"""
-)
+
+
+@query(_EPISODE_DOCS)
 def episode_docs(v: ChatView) -> DataFrame:
     links = v.links.withColumnRenamed("telegram_id", "position")
     return episodes.episode_docs(links, v.messages, v.semantic).select("episode_id", "semantic_text")
@@ -594,14 +626,17 @@ def embedding_totals(v: ChatView) -> DataFrame:
     return vectors.embedding_totals(v.utterances, _store(v))
 
 
-@query()
+@query(
+    rf"""SELECT episode_id, CAST(len(list_filter(regexp_split_to_array(semantic_text, '{WHITE_CLASS}'), lambda x: x <> '')) AS BIGINT) AS token_count FROM ({_EPISODE_DOCS})
+WHERE episode_id % 2 = 1 AND length(regexp_replace(semantic_text, '^{WHITE_CLASS}|{WHITE_CLASS}$', '', 'g')) >= 10 AND len(list_filter(regexp_split_to_array(semantic_text, '{WHITE_CLASS}'), lambda x: x <> '')) >= 5"""
+)
 def pending_episode_embeddings(v: ChatView) -> DataFrame:
     docs = episodes.episode_docs(v.links.withColumnRenamed("telegram_id", "position"), v.messages, v.semantic)
     store = v.episodes.where("episode_id % 2 = 0").select("episode_id", F.lit("a").alias("model"))
     return vectors.pending_episode_embeddings(docs, store, "a").select("episode_id", "token_count")
 
 
-@query()
+@query("SELECT first_message_id, CAST(length(text) AS DOUBLE) AS x, CAST(length(regexp_replace(text, '[^aeiou]', '', 'g')) AS DOUBLE) AS y FROM utt")
 def embed_utterances(v: ChatView) -> DataFrame:
     """A stand-in embedder: length and vowels of the text."""
     made = vectors.embed(v.utterances.select("first_message_id", "text"), lambda texts: [[len(t), sum(t.count(x) for x in "aeiou")] for t in texts])
@@ -627,8 +662,11 @@ def build_prompts(v: ChatView) -> DataFrame:
 
 @query()
 def ask_prompts(v: ChatView) -> DataFrame:
-    dialog = v.table("conversations").where("conv_id < 3").select((F.col("conv_id") + 1).alias("query_id"), "turn", (F.col("role") == "assistant").alias("from_persona"), "text")
-    return workloads.ask(_queries(v), dialog, v.utterances)
+    """Every conversation asks with its first turn."""
+    log = v.table("conversations")
+    asked = log.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("query"))
+    dialog = log.select(F.col("conv_id").alias("query_id"), "turn", (F.col("role") == "assistant").alias("from_persona"), "text")
+    return workloads.ask(asked, dialog, v.utterances)
 
 
 @query()
@@ -645,6 +683,99 @@ def drop_repeats(v: ChatView) -> DataFrame:
     return prompts.drop_repeats(rows).select("conv_id", F.size("messages").alias("lines"), F.size("kept").alias("kept"))
 
 
+@query(
+    rf"""SELECT conv_id, turn, list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{WHITE_CLASS}|{WHITE_CLASS}$', '', 'g')), lambda x: x <> ''), 1, 6) AS lines
+FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN replace(text, '. ', chr(10)) ELSE replace(text, chr(10), ' ') END AS text FROM conversations)""",
+    view=False,
+)
+def parse_replies(v: ChatView) -> DataFrame:
+    """Replies of even turns as JSON with a line for each sentence, of odd turns as plain text of one line."""
+    text = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.array(F.replace("text", F.lit(". "), F.lit("\n"))).alias("messages")))).otherwise(F.replace("text", F.lit("\n"), F.lit(" ")))
+    return v.table("conversations").select("conv_id", "turn", X.parse_reply_messages(text).alias("lines"))
+
+
+# sources
+
+
+@query(
+    """SELECT id, CASE WHEN media_kind <> 'sticker' AND id % 7 = 0 THEN 'document' ELSE media_kind END AS kind,
+  CASE WHEN id % 3 = 0 THEN sender_id WHEN chat_id % 5 = 1 THEN CASE WHEN is_outgoing THEN -1 ELSE chat_id END END AS sender FROM messages"""
+)
+def classify_records(v: ChatView) -> DataFrame:
+    """Raw media and peers made of the messages: each seventh document has no attribute that decides."""
+    kind = F.col("media_kind")
+    a = lambda name, voice, round_: F.struct(F.lit(name).alias("kind"), F.lit(voice).alias("voice"), F.lit(round_).alias("round"))
+    other = [a("filename", False, False), a("audio", False, False)]
+    attributes = F.when(kind == "sticker", F.array(*other, a("sticker", False, False))).when(F.col("id") % 7 == 0, F.array(*other)).when(kind == "voice", F.array(*other, a("audio", True, False))).when(kind == "round", F.array(*other, a("video", False, True)))
+    media = F.when((kind == "sticker") | (F.col("id") % 7 == 0) | kind.isin("voice", "round"), "document").otherwise(kind)
+    peer = F.when(F.col("chat_id") % 5 == 1, "user").otherwise("channel")
+    sender = records.resolve_sender(F.when(F.col("id") % 3 == 0, F.col("sender_id")), peer, F.col("chat_id"), F.col("is_outgoing"), F.lit(-1).cast("long"))
+    return v.messages.select("id", records.classify_media(media, F.coalesce(attributes, F.array().cast("array<struct<kind:string,voice:boolean,round:boolean>>"))).alias("kind"), sender.alias("sender"))
+
+
+@query("SELECT id, type, CASE WHEN type = 'saved_messages' THEN 'Saved Messages' ELSE title END AS title, type = 'private' AND is_bot AS is_bot, type NOT IN ('saved_messages', 'private') AND is_creator AS is_creator, type NOT IN ('saved_messages', 'private') AND is_admin AS is_admin FROM dialogs")
+def classify_dialog(v: ChatView) -> DataFrame:
+    t = F.col("type")
+    user = t.isin("saved_messages", "private")
+    peers = v.dialogs.select(
+        F.when(user, "user").when(t == "group", "chat").otherwise("channel").alias("peer_kind"), "id", (t == "saved_messages").alias("is_self"), F.when(user, F.col("title")).alias("first_name"), F.lit(None).cast("string").alias("last_name"),
+        F.when(~user, F.col("title")).alias("title"), F.lit(None).cast("string").alias("username"), F.col("is_bot").alias("bot"), F.col("is_creator").alias("creator"), F.col("is_admin").alias("admin_rights"), (t == "supergroup").alias("megagroup"),
+    )
+    return records.classify_dialog(peers).drop("username")
+
+
+@query("SELECT telegram_id, chat_id, sender_id, reply_to_id, text, media_kind, sent_us // 1000000 * 1000000 AS sent_at, is_outgoing, is_forwarded, edit_us // 1000000 * 1000000 AS edit_date FROM messages")
+def read_messages(v: ChatView) -> DataFrame:
+    """The messages as raw JSON lines, written and read back."""
+    seconds = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    raw = v.messages.select(
+        "telegram_id", "chat_id", "sender_id", F.coalesce("reply_to_id", F.lit(0)).alias("reply_to_id"), "text", "media_kind", F.expr("sent_us div 1000000").alias("sent_at"), "is_outgoing", "is_forwarded", F.expr("coalesce(edit_us div 1000000, 0)").alias("edit_date"),
+    )
+    path = scratch.new_dir(v.spark, "raw-records")
+    raw.write.json(path)
+    return records.read_messages(v.spark, path).select("telegram_id", "chat_id", "sender_id", "reply_to_id", "text", "media_kind", "sent_at", "is_outgoing", "is_forwarded", "edit_date")
+
+
+@query("SELECT id, chat_id, CASE WHEN id % 2 = 0 THEN 'second' ELSE 'first' END AS state FROM messages WHERE id % 2 = 0 OR id % 3 = 0")
+def write_layers(v: ChatView) -> DataFrame:
+    """A layer written twice; the second writing replaces its buckets, so the rows to keep come with it."""
+    path = scratch.new_dir(v.spark, "layer")
+    m = v.messages.where("id % 2 = 0 or id % 3 = 0").select("id", "chat_id")
+    records.write_layer(m.withColumn("state", F.lit("first")), path)
+    records.write_layer(m.withColumn("state", F.when(F.col("id") % 2 == 0, "second").otherwise("first")), path)
+    return v.spark.read.parquet(path).select("id", "chat_id", "state")
+
+
+# streams
+
+
+def _streamed(v: ChatView, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the stored messages has given out when all of them are read."""
+    where = scratch.new_dir(v.spark, f"stream-{name}")
+    source = scratch.new_dir(v.spark, f"stream-{name}-in")
+    v.messages.write.parquet(source)
+    out = make(ingest.stream_messages(v.spark, source, v.messages.schema))
+    out.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(out.schema).parquet(f"{where}/rows")
+
+
+@query("SELECT message_id, normalized_text, language, token_count, media_kind IN ('sticker', 'voice', 'round') OR token_count < 3 AS skip_embedding FROM semantic")
+def stream_semantic(v: ChatView) -> DataFrame:
+    return _streamed(v, "semantic", ingest.semantic_stream)
+
+
+@query(f", {_KINDS} SELECT signal_type, count(*) AS n, count(DISTINCT v) AS values FROM kinds GROUP BY 1")
+def stream_signals(v: ChatView) -> DataFrame:
+    return _streamed(v, "signals", ingest.signal_stream).groupBy("signal_type").agg(F.count("*").alias("n"), F.count_distinct("value_json").alias("values"))
+
+
+@query("SELECT id, chat_id, telegram_id FROM messages")
+def stream_dedup(v: ChatView) -> DataFrame:
+    """Every message delivered twice comes out once; nothing is late within a hundred years."""
+    twice = lambda m: m.select("id", "chat_id", "telegram_id", "sent_at", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
+    return _streamed(v, "dedup", lambda m: ingest.stream_dedup(twice(m), "876000 hours")).select("id", "chat_id", "telegram_id")
+
+
 # reports
 
 _R = "FROM messages m JOIN chats c ON c.id = m.chat_id LEFT JOIN links l ON l.message_id = m.id"

@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators.layers import build_semantic, extract_signals
 from ..operators.upsert import latest, upsert
 
 
-def stream_messages(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
+def stream_messages(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
     """New files of a folder as they arrive; a restarted query goes on where its checkpoint is."""
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
 
