@@ -302,15 +302,16 @@ def build_utterances(v: ChatView) -> DataFrame:
     return v.utterances.drop("chat_title")
 
 
-@query(
-    """, seq AS (SELECT chat_id, telegram_id, is_outgoing, lag(is_outgoing) OVER w AS p, (sent_us - lag(sent_us) OVER w) / 1000000.0 AS gap FROM messages WHERE NOT is_deleted AND in_memory_window
+_BURSTS = """seq AS (SELECT chat_id, telegram_id, is_outgoing, lag(is_outgoing) OVER w AS p, (sent_us - lag(sent_us) OVER w) / 1000000.0 AS gap FROM messages WHERE NOT is_deleted AND in_memory_window
   WINDOW w AS (PARTITION BY chat_id ORDER BY telegram_id)),
 b AS (SELECT *, sum(nb) OVER (PARTITION BY chat_id ORDER BY telegram_id ROWS UNBOUNDED PRECEDING) AS burst FROM (
-  SELECT *, CASE WHEN NOT coalesce(p, FALSE) OR gap > 120 THEN 1 ELSE 0 END AS nb FROM seq WHERE is_outgoing))
-SELECT round(avg_size, 6) AS avg_size, round(p90_size, 6) AS p90_size, round(p50_gap, 6) AS p50_gap, round(p90_gap, 6) AS p90_gap
-FROM (SELECT avg(n) AS avg_size, quantile_cont(n, 0.9) AS p90_size FROM (SELECT count(*) AS n FROM b GROUP BY chat_id, burst)),
-     (SELECT coalesce(quantile_cont(gap, 0.5), 0) AS p50_gap, coalesce(quantile_cont(gap, 0.9), 0) AS p90_gap FROM b WHERE nb = 0 AND gap >= 0)"""
-)
+  SELECT *, CASE WHEN NOT coalesce(p, FALSE) OR gap > 120 THEN 1 ELSE 0 END AS nb FROM seq WHERE is_outgoing)),
+bursts AS (SELECT round(avg_size, 6) AS avg_size, round(p90_size, 6) AS p90_size, round(p50_gap, 6) AS p50_gap, round(p90_gap, 6) AS p90_gap
+  FROM (SELECT avg(n) AS avg_size, quantile_cont(n, 0.9) AS p90_size FROM (SELECT count(*) AS n FROM b GROUP BY chat_id, burst)),
+       (SELECT coalesce(quantile_cont(gap, 0.5), 0) AS p50_gap, coalesce(quantile_cont(gap, 0.9), 0) AS p90_gap FROM b WHERE nb = 0 AND gap >= 0))"""
+
+
+@query(f", {_BURSTS} SELECT * FROM bursts")
 def burst_stats(v: ChatView) -> DataFrame:
     return sessions.burst_stats(v.messages)
 
@@ -545,12 +546,14 @@ def top_words(v: ChatView) -> DataFrame:
     return ranking.top_words(v.table("documents"))
 
 
-@query(
-    rf""", h AS (SELECT *, {_TOKENS} AS tokens FROM messages WHERE NOT is_deleted AND in_memory_window AND text <> ''),
+_THE = rf"""h AS (SELECT *, {_TOKENS} AS tokens FROM messages WHERE NOT is_deleted AND in_memory_window AND text <> ''),
 o AS (SELECT id, chat_id, sent_us, list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = 'the') AS p FROM h),
-r AS (SELECT id, chat_id, sent_us, CASE WHEN len(p) = 1 THEN 0.1 ELSE 0.1 * list_sum(list_transform(range(2, len(p) + 1), lambda i: 1.0 / (p[i] - p[i - 1]))) END AS rank FROM o WHERE len(p) > 0)
-SELECT CAST(1 AS BIGINT) AS query_id, id, chat_id, round(rank, 6) AS rank FROM r ORDER BY round(rank, 9) DESC, sent_us DESC, id LIMIT 20"""
-)
+r AS (SELECT id, chat_id, sent_us, CASE WHEN len(p) = 1 THEN 0.1 ELSE 0.1 * list_sum(list_transform(range(2, len(p) + 1), lambda i: 1.0 / (p[i] - p[i - 1]))) END AS rank FROM o WHERE len(p) > 0),
+said AS (SELECT CAST(1 AS BIGINT) AS query_id, id, chat_id, round(rank, 6) AS rank FROM r ORDER BY round(rank, 9) DESC, sent_us DESC, id LIMIT 20)"""
+_GRAMS = "list_distinct(flatten(list_transform({t}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))"
+
+
+@query(f", {_THE} SELECT * FROM said")
 def search_fts(v: ChatView) -> DataFrame:
     return search.search_fts(v.messages, v.chats, v.links.select("message_id", "episode_id"), [(1, "the")]).select("query_id", "id", "chat_id", "rank")
 
@@ -563,10 +566,9 @@ def search_phrases(v: ChatView) -> DataFrame:
 
 
 def _similar_sql(condition: str, limit: str) -> str:
-    grams = "list_distinct(flatten(list_transform({t}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))"
     return rf""", s AS (SELECT m.id AS query_id, m.text AS query FROM messages m WHERE m.id % 100 = 0 AND m.text <> ''),
-g AS (SELECT id, text, sent_us, {grams.format(t=_TOKENS)} AS g FROM messages WHERE NOT is_deleted AND in_memory_window AND text <> ''),
-sg AS (SELECT query_id, query, {grams.format(t=_TOKENS.replace('text', 'query'))} AS g FROM s),
+g AS (SELECT id, text, sent_us, {_GRAMS.format(t=_TOKENS)} AS g FROM messages WHERE NOT is_deleted AND in_memory_window AND text <> ''),
+sg AS (SELECT query_id, query, {_GRAMS.format(t=_TOKENS.replace('text', 'query'))} AS g FROM s),
 r AS (SELECT sg.query_id, g.id, g.sent_us, len(list_intersect(g.g, sg.g)) / len(list_distinct(list_concat(g.g, sg.g))) AS rank FROM g, sg WHERE {condition})
 SELECT query_id, id, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, sent_us DESC, id) AS n FROM r WHERE rank >= 0.3) WHERE n <= {limit}"""
 
@@ -585,7 +587,14 @@ def find_similar(v: ChatView) -> DataFrame:
     return search.find_similar(v.messages, v.chats, v.links.select("message_id", "episode_id"), _samples(v)).select("query_id", "id", "rank")
 
 
-@query()
+@query(
+    f""", {_THE}, asked AS (SELECT {_GRAMS.format(t=_TOKENS.replace('text', "'zzzq thetheon'"))} AS a),
+like_ AS (SELECT id, sent_us, len(list_intersect(g, a)) / len(list_distinct(list_concat(g, a))) AS rank FROM (SELECT id, sent_us, {_GRAMS.format(t='tokens')} AS g FROM h), asked
+  WHERE NOT EXISTS (SELECT 1 FROM h WHERE list_contains(tokens, 'zzzq') AND list_contains(tokens, 'thetheon')))
+SELECT query_id, id, rank, 'fts' AS match_type FROM said
+UNION ALL SELECT * FROM (SELECT CAST(2 AS BIGINT), id, round(rank, 6), 'trigram' FROM like_ WHERE rank >= 0.3 ORDER BY rank DESC, sent_us DESC, id LIMIT 20)
+UNION ALL SELECT * FROM (SELECT CAST(3 AS BIGINT), id, CAST(0 AS DOUBLE), 'filter' FROM messages WHERE NOT is_deleted AND in_memory_window ORDER BY sent_us DESC, id DESC LIMIT 20)"""
+)
 def search_messages(v: ChatView) -> DataFrame:
     asked = [(1, "the"), (2, "zzzq thetheon"), (3, " ")]
     return search.search_messages(v.messages, v.chats, v.links.select("message_id", "episode_id"), asked).select("query_id", "id", "rank", "match_type")
@@ -645,7 +654,19 @@ def embed_utterances(v: ChatView) -> DataFrame:
 
 # prompts
 
+_BUCKET = "CASE WHEN length(text) <= 10 THEN 'tiny' WHEN length(text) <= 50 THEN 'short' WHEN length(text) <= 200 THEN 'medium' WHEN length(text) <= 500 THEN 'long' ELSE 'very_long' END"
+
 
+def _listed(kind: str, n: int, sep: str) -> str:
+    """One row: the n most frequent items, noise left out of the first 2 n."""
+    return rf"""(SELECT coalesce(string_agg(item, '{sep}' ORDER BY n DESC, item), '') FROM (SELECT item, n FROM (SELECT item, n FROM (SELECT i.item, count(*) AS n FROM items i JOIN messages m ON m.id = i.message_id
+  WHERE i.signal_type = '{kind}' AND NOT m.is_deleted AND m.is_outgoing AND m.in_memory_window GROUP BY 1) ORDER BY n DESC, item LIMIT {2 * n})
+  WHERE NOT regexp_full_match(item, '[{X.JOINERS}\x{{1F3FB}}-\x{{1F3FF}}]*') ORDER BY n DESC, item LIMIT {n}))"""
+
+
+_SHARES = f"""shares AS (SELECT bucket, n / sum(n) OVER () AS share FROM (SELECT {_BUCKET} AS bucket, count(*) AS n FROM messages
+  WHERE NOT is_deleted AND is_outgoing AND in_memory_window AND text <> '' GROUP BY 1))"""
+_LABELS = ", ".join(f"({k}, '{bucket}', '{label}')" for k, (bucket, label) in enumerate(prompts.LENGTHS))
 @query(
     """SELECT c.conv_id AS query_id, concat('Текущий диалог:' || chr(10), string_agg(concat(CASE WHEN c.role = 'assistant' THEN 'он' ELSE 'собеседник' END, ': ', c.text, chr(10)), '' ORDER BY c.turn), chr(10),
   'Собеседник пишет ему: ', any_value(f.text), chr(10), 'Ответь от его лица.') AS prompt
@@ -669,7 +690,13 @@ def ask_prompts(v: ChatView) -> DataFrame:
     return workloads.ask(asked, dialog, v.utterances)
 
 
-@query()
+@query(
+    f""", {_BURSTS}, {_SHARES}, words AS (SELECT {_listed('slang_markers', 15, ', ')} AS slang, {_listed('emoji_usage', 10, ' ')} AS emoji)
+SELECT concat_ws(chr(10),
+  (SELECT concat('- Длина сообщений: ', string_agg(concat(printf('%.0f', share * 100), '% ', label), ', ' ORDER BY k)) FROM shares JOIN (VALUES {_LABELS}) t(k, bucket, label) USING (bucket) WHERE share >= 0.01),
+  CASE WHEN avg_size > 0 THEN concat('- Сообщений подряд за один раз: обычно ', printf('%.0f', avg_size), ', максимум примерно ', printf('%.0f', p90_size)) END,
+  CASE WHEN slang <> '' THEN concat('- Частые слова и сленг: ', slang) END, CASE WHEN emoji <> '' THEN concat('- Частые эмодзи: ', emoji) END) AS style_prompt FROM bursts, words"""
+)
 def style_prompt(v: ChatView) -> DataFrame:
     return prompts.style_prompt(reports.style_profile(v.messages, v.signals)).select("style_prompt")
 
@@ -795,9 +822,6 @@ def hour_distribution(v: ChatView) -> DataFrame:
     return reports.hour_distribution(v.messages)
 
 
-_BUCKET = "CASE WHEN length(text) <= 10 THEN 'tiny' WHEN length(text) <= 50 THEN 'short' WHEN length(text) <= 200 THEN 'medium' WHEN length(text) <= 500 THEN 'long' ELSE 'very_long' END"
-
-
 @query(f"SELECT chat_id, {_BUCKET} AS bucket, count(*) AS n FROM messages WHERE NOT is_deleted AND is_outgoing AND text <> '' GROUP BY 1, 2")
 def length_distribution(v: ChatView) -> DataFrame:
     return reports.length_distribution(v.messages)
@@ -839,7 +863,27 @@ def chat_overview(v: ChatView) -> DataFrame:
     return reports.chat_overview(v.messages, v.chats, v.links)
 
 
-@query()
+def _json_map(key: str, value: str, rows: str, name: str) -> str:
+    pair = f"""concat('"', CAST({key} AS VARCHAR), '":', CAST({value} AS VARCHAR))"""
+    return f"LEFT JOIN (SELECT chat_id, concat('{{', string_agg({pair}, ',' ORDER BY {key}), '}}') AS {name} FROM ({rows}) GROUP BY chat_id) {name}_ ON {name}_.chat_id = r.chat_id"
+
+
+_REPORT = f"""SELECT c.id AS chat_id, c.title, c.personality_surface, round(c.relevance_score, 6) AS relevance_score, count(*) AS total, count(*) FILTER (WHERE m.is_outgoing) AS outgoing,
+  count(*) FILTER (WHERE m.is_forwarded) AS forwarded, count(*) FILTER (WHERE m.edit_us IS NOT NULL) AS edited, count(DISTINCT l.episode_id) AS episodes
+{_R} WHERE NOT m.is_deleted AND m.in_memory_window GROUP BY 1, 2, 3, 4"""
+_STICKERS = """SELECT chat_id, emoticon, n, total FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY chat_id) AS BIGINT) AS total, row_number() OVER (PARTITION BY chat_id ORDER BY n DESC, emoticon) AS rank FROM (
+  SELECT chat_id, coalesce(sticker_emoticon, '') AS emoticon, count(*) AS n FROM messages WHERE media_kind = 'sticker' AND NOT is_deleted AND is_outgoing AND in_memory_window GROUP BY 1, 2)) WHERE rank <= 10 AND emoticon <> ''"""
+
+
+@query(
+    f"""SELECT r.*, hours, lengths, emoji, slang, stickers, sticker_total FROM ({_REPORT}) r
+{_json_map('hour', 'n', 'SELECT chat_id, (sent_us // 3600000000) % 24 AS hour, count(*) AS n FROM messages WHERE NOT is_deleted AND is_outgoing GROUP BY 1, 2', 'hours')}
+{_json_map('bucket', 'n', f"SELECT chat_id, {_BUCKET} AS bucket, count(*) AS n FROM messages WHERE NOT is_deleted AND is_outgoing AND text <> '' GROUP BY 1, 2", 'lengths')}
+{_json_map('item', 'n', _top_items('emoji_usage'), 'emoji')}
+{_json_map('item', 'n', _top_items('slang_markers'), 'slang')}
+{_json_map('emoticon', 'n', _STICKERS, 'stickers')}
+LEFT JOIN (SELECT chat_id, max(total) AS sticker_total FROM ({_STICKERS}) GROUP BY chat_id) t ON t.chat_id = r.chat_id"""
+)
 def personality_report(v: ChatView) -> DataFrame:
     out = reports.personality_report(v.messages, v.chats, v.links, v.signals)
     return out.select(*[F.to_json(c).alias(c) if c in ("hours", "lengths", "emoji", "slang", "stickers") else F.col(c) for c in out.columns])
@@ -860,10 +904,14 @@ def style_top_slang(v: ChatView) -> DataFrame:
     return reports.style_top_items(v.messages, v.signals, "slang_markers", 15)
 
 
-@query()
+@query(
+    f""", {_BURSTS}, {_SHARES} SELECT bursts.*, {", ".join(f"(SELECT round(share, 6) FROM shares WHERE bucket = '{b}') AS {b}" for b, _ in prompts.LENGTHS)},
+  {_listed('slang_markers', 15, ' ')} AS slang, {_listed('emoji_usage', 10, ' ')} AS emoji FROM bursts"""
+)
 def style_profile(v: ChatView) -> DataFrame:
     p = reports.style_profile(v.messages, v.signals)
-    return p.withColumns({"length_shares": F.to_json("length_shares"), "slang": F.array_join("slang", " "), "emoji": F.array_join("emoji", " ")})
+    p = p.withColumns({b: F.col("length_shares")[b] for b, _ in prompts.LENGTHS} | {"slang": F.array_join("slang", " "), "emoji": F.array_join("emoji", " ")})
+    return p.drop("length_shares")
 
 
 @query(
