@@ -8,6 +8,7 @@ after the other. What an island's first segment owes to the island before is set
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .ordered import with_last_seen, with_previous, with_row_number
+from .ordered import ORDER, SPAN, bucketed
 
 
 @dataclass(frozen=True)
@@ -60,50 +61,75 @@ def boundary_score(tier: int, midnight: bool, replies_inside: bool, c: Config) -
 
 
 def _scan(c: Config):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """One island in order: (n, segment start, method, score) with the first row as a start."""
-        rows = rows.sort_values("n")
-        n, tier, midnight, reply = (rows[x].to_numpy() for x in ("n", "tier", "midnight", "reply_n"))
-        start = np.empty(len(n), np.int64)
-        method, score = np.zeros(len(n), np.int8), np.zeros(len(n), np.float32)
-        begin, size = n[0], 1
-        start[0] = begin
-        for i in range(1, len(n)):
-            s, m = boundary_score(tier[i], midnight[i], begin <= reply[i] < n[i], c), tier[i]
-            if size >= c.max_size:
-                s, m = np.float32(1), 4
-            if s >= np.float32(c.threshold):
-                begin, size, method[i], score[i] = n[i], 1, m, s
-            else:
-                size += 1
-            start[i] = begin
-        return pd.DataFrame({"chat_id": rows["chat_id"], "n": n, "segment": start, "method": method, "score": score})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by chat and number, islands whole: adds (segment start, method, score), each island's first row a start.
+
+        What a scan carries from batch to batch is the island, the segment's start and its size.
+        """
+        island, begin, size = None, 0, 0
+        for rows in batches:
+            n, tier, midnight, reply = (rows[x].to_numpy() for x in ("n", "tier", "midnight", "reply_n"))
+            keys = list(zip(rows["chat_id"].to_numpy(), rows["island"].to_numpy(), strict=True))
+            start = np.empty(len(n), np.int64)
+            method, score = np.zeros(len(n), np.int8), np.zeros(len(n), np.float32)
+            for i in range(len(n)):
+                if keys[i] != island:
+                    island, begin, size = keys[i], n[i], 1
+                else:
+                    s, m = boundary_score(tier[i], midnight[i], begin <= reply[i] < n[i], c), tier[i]
+                    if size >= c.max_size:
+                        s, m = np.float32(1), 4
+                    if s >= np.float32(c.threshold):
+                        begin, size, method[i], score[i] = n[i], 1, m, s
+                    else:
+                        size += 1
+                start[i] = begin
+            yield rows.drop(columns="island").assign(segment=start, method=method, score=score)
 
     return run
 
 
+def _numbered(messages: DataFrame, hard_us: int | None) -> DataFrame:
+    """messages with n (row number in the chat), epi__at (time of the row before) and island (n of its first row).
+
+    Windows run within a day of a chat and over one summary row a day.
+    """
+    rows = bucketed(messages)
+    within = Window.partitionBy("chat_id", SPAN).orderBy(*ORDER)
+    rows = rows.withColumns({"epi__at": F.lag("sent_at").over(within), "n": F.row_number().over(within).cast("long")})
+    far = lambda a, b: (F.unix_micros(b) - F.unix_micros(a) >= hard_us) if hard_us is not None else F.lit(False)
+    days = rows.groupBy("chat_id", SPAN).agg(F.count("*").alias("epi__n"), F.min("sent_at").alias("epi__from"), F.max("sent_at").alias("epi__to"), F.max(F.when(far("epi__at", "sent_at"), F.col("n"))).alias("epi__cut"))
+    w = Window.partitionBy("chat_id").orderBy(SPAN)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumns({"epi__low": F.coalesce(F.sum("epi__n").over(past), F.lit(0)), "epi__last": F.lag("epi__to").over(w)})
+    first = F.when(F.col("epi__last").isNull() | far("epi__last", "epi__from"), F.col("epi__low") + 1)
+    days = days.withColumn("epi__first", first).withColumn("epi__cut", F.coalesce(F.col("epi__cut") + F.col("epi__low"), "epi__first"))
+    days = days.select("chat_id", SPAN, "epi__low", "epi__last", F.coalesce("epi__first", F.last("epi__cut", True).over(past)).alias("epi__island"))
+    rows = rows.withColumn("island", F.max(F.when(far("epi__at", "sent_at"), F.col("n"))).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(days, ["chat_id", SPAN])
+    low = F.col("epi__low")
+    return rows.withColumns({"n": F.col("n") + low, "epi__at": F.coalesce("epi__at", "epi__last"), "island": F.coalesce(F.col("island") + low, "epi__island")}).drop(SPAN, "epi__low", "epi__last", "epi__island")
+
+
 def segment_episodes(messages: DataFrame, config: Config | None = None) -> DataFrame:
     """messages with segment (row number of its first message), method and confidence, tiny segments merged.
 
     A lone segment of fewer than min_size messages joins the segment before it; a chat's first
-    segment always stays.
+    segment always stays. An island is scanned by one task, batch after batch.
     """
     c = config or Config()
     cols = ("id", "telegram_id", "chat_id", "sender_id", "reply_to_id", "sent_at")
-    rows = with_row_number(messages.select(*cols), "n")
-    rows = with_previous(rows, {"epi__at": F.col("sent_at")})
+    rows = _numbered(messages.select(*cols), c.hard_gap * 1_000_000 if c.hard_always_cuts else None)
     gap = F.unix_micros("sent_at") - F.unix_micros("epi__at")
     tier = F.when(gap >= c.hard_gap * 1_000_000, 3).when(gap >= c.medium_gap * 1_000_000, 2).when(gap >= c.soft_gap * 1_000_000, 1).otherwise(0)
-    rows = rows.withColumns({"tier": tier, "midnight": F.coalesce(~X.same_utc_day(F.col("epi__at"), F.col("sent_at")), F.lit(False))})
+    rows = rows.withColumns({"tier": tier, "midnight": F.coalesce(~X.same_utc_day(F.col("epi__at"), F.col("sent_at")), F.lit(False))}).drop("epi__at")
     # the row that a message replies to
-    targets = rows.select("chat_id", F.col(c.reply_key).alias("reply_to_id"), F.col("n").alias("reply_n"))
+    targets = rows.select("chat_id", F.col(c.reply_key).alias("reply_to_id"), F.col("n").alias("reply_n")).where("reply_to_id != 0")
     targets = targets.groupBy("chat_id", "reply_to_id").agg(F.max("reply_n").alias("reply_n"))
-    asks = rows.where(F.coalesce("reply_to_id", F.lit(0)) != 0).join(targets, ["chat_id", "reply_to_id"]).select("chat_id", "n", "reply_n")
-    rows = rows.join(asks, ["chat_id", "n"], "left").withColumn("reply_n", F.coalesce("reply_n", F.lit(-1)))
-    cut = (F.col("n") == 1) | ((F.col("tier") == 3) if c.hard_always_cuts else F.lit(False))
-    rows = with_last_seen(rows, F.when(cut, F.col("n")), "island")
-    scanned = rows.groupBy("chat_id", "island").applyInPandas(_scan(c), "chat_id long, n long, segment long, method tinyint, score float")
-    rows = rows.drop("island").join(scanned, ["chat_id", "n"])
+    rows = rows.join(targets, ["chat_id", "reply_to_id"], "left").withColumn("reply_n", F.coalesce("reply_n", F.lit(-1))).select(*cols, "n", "tier", "midnight", "reply_n", "island")
+    ordered = rows.repartition("chat_id", "island").sortWithinPartitions("chat_id", "n")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "island"} | {"segment": "long", "method": "tinyint", "score": "float"}
+    rows = ordered.mapInPandas(_scan(c), ", ".join(f"{n} {t}" for n, t in types.items()))
 
     # each segment's first row; an island's first looks back at the segment before
     heads = rows.groupBy("chat_id", "segment").agg(F.count("*").alias("size"), F.min_by(F.struct("method", "score", "tier", "midnight", "reply_n"), "n").alias("head"))

@@ -6,13 +6,13 @@ its first message.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .ordered import ORDER, with_last_seen, with_previous, with_row_number
+from .ordered import ORDER, SPAN, bucketed, with_previous, with_row_number
 
 GAP_SECONDS = 120
 
@@ -37,53 +37,80 @@ def utterance_input(messages: DataFrame, semantic: DataFrame, chats: DataFrame)
     )
 
 
-def _grouped(rows: DataFrame, gaps: Column, key: str) -> DataFrame:
-    """rows with turn_id: the first message of the turn each row belongs to."""
-    seen = with_previous(rows, {"ses__author": F.col("author_id"), "ses__at": F.unix_micros("sent_at")}, key)
-    pause = F.unix_micros("sent_at") - F.col("ses__at")
-    starts = F.col("ses__at").isNull() | (F.col("ses__author") != F.col("author_id")) | (pause > gaps * 1_000_000)
-    return with_last_seen(seen, F.when(starts, F.col("id")), "turn_id", key).drop("ses__author", "ses__at")
+def _runs(rows: DataFrame, gap: Column, keys: list[str], aggs: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+    """Runs of one author without a pause above gap: keys, run_id (id of the first message), started_at, ended_at and aggs.
 
+    Each of aggs is (what to compute over rows, how to put parts together). Rows meet by key and
+    day and are put together there; then only the parts at a day's ends, two a day at most,
+    meet by key, so neither a window nor a join ever sees a whole chat's rows.
+    """
+    span = bucketed(rows)
+    within = Window.partitionBy(*keys, SPAN).orderBy(*ORDER)
+    span = span.withColumns({"ses__before": F.lag(F.struct("author_id", F.unix_micros("sent_at").alias("at"))).over(within), "ses__end": F.lead("id").over(within).isNull()})
+    new = F.coalesce(_breaks(F.col("ses__before"), gap), F.lit(False))
+    span = span.withColumn("ses__no", F.sum(new.cast("int")).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = span.groupBy(*keys, SPAN, "ses__no").agg(
+        F.min(F.struct(*ORDER)).alias("ses__first"),
+        F.max("sent_at").alias("ended_at"),
+        F.max("author_id").alias("author_id"),
+        F.max("ses__end").alias("ses__end"),
+        *[made.alias(n) for n, (made, _) in aggs.items()],
+    )
+    # a part inside its day stands alone; the others are compared with the part before, if they begin a day
+    parts = parts.withColumns({"ses__alone": F.when((F.col("ses__no") > 1) & ~F.col("ses__end"), F.struct(SPAN, "ses__no")), "sent_at": F.col("ses__first.sent_at")})
+    across = Window.partitionBy(*keys, "ses__alone").orderBy("ses__first")
+    before = F.lag(F.struct("author_id", F.unix_micros("ended_at").alias("at"))).over(across)
+    parts = parts.withColumn("ses__before", before)
+    new = (F.col("ses__no") > 1) | F.coalesce(_breaks(F.col("ses__before"), gap), F.lit(False))
+    parts = parts.withColumn("ses__run", F.sum(new.cast("int")).over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = parts.groupBy(*keys, "ses__alone", "ses__run").agg(F.min("ses__first").alias("ses__first"), F.max("ended_at").alias("ended_at"), F.max("author_id").alias("author_id"), *[merge(n).alias(n) for n, (_, merge) in aggs.items()])
+    return runs.select(*keys, F.col("ses__first.id").alias("run_id"), "author_id", F.col("ses__first.sent_at").alias("started_at"), "ended_at", *aggs)
+
+
+def _breaks(before: Column, gap: Column) -> Column:
+    return before.isNull() | (before["author_id"] != F.col("author_id")) | (F.unix_micros("sent_at") - before["at"] > gap * 1_000_000)
 
-def build_utterances(rows: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
+
+def _says() -> Column:
+    return (F.col("token_count") > 0) & ~X.is_blank(F.col("normalized_text"))
+
+
+def build_utterances(rows: DataFrame, gap_seconds: int = GAP_SECONDS, *, positions: bool = True) -> DataFrame:
     """Turns of utterance_input rows: a new author or a pause longer than the gap begins one.
 
     Text is the blank-joined texts of the messages that have tokens; turns without any are dropped.
-    position counts the chat's kept turns from 0. One turn's messages meet in one task.
+    position counts the chat's kept turns from 0; it takes a second pass, which positions=False
+    saves. One turn's messages meet in one task.
     """
-    turns = _aggregate(_grouped(rows, F.lit(gap_seconds), "chat_id"), ["chat_id"])
-    keyed = turns.withColumns({"sent_at": F.col("started_at"), "telegram_id": F.lit(0), "id": F.col("first_message_id")})
-    placed = with_row_number(keyed, "position")
-    return placed.withColumn("position", F.col("position") - 1).drop("sent_at", "telegram_id", "id")
-
-
-def _aggregate(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    says = (F.col("token_count") > 0) & ~X.is_blank(F.col("normalized_text"))
     order = F.struct(*ORDER)
-    voice = F.col("media_kind") == "voice"
-    turns = grouped.groupBy(*keys, "turn_id").agg(
-        F.first("chat_title").alias("chat_title"),
-        F.first("author_id").alias("author_id"),
-        F.first("is_outgoing").alias("is_outgoing"),
-        F.min("sent_at").alias("started_at"),
-        F.max("sent_at").alias("ended_at"),
-        F.count("*").alias("message_count"),
-        F.array_sort(F.collect_list(F.when(says, F.struct(order.alias("o"), F.col("normalized_text").alias("t"))))).alias("said"),
-        F.count_if(voice).alias("voice_count"),
+    turns = _runs(
+        rows,
+        F.lit(gap_seconds),
+        ["chat_id"],
+        {
+            "chat_title": (F.max("chat_title"), F.max),
+            "is_outgoing": (F.min(F.struct(order.alias("o"), "is_outgoing")), F.min),
+            "message_count": (F.count("*"), F.sum),
+            "said": (F.collect_list(F.when(_says(), F.struct(order.alias("o"), F.col("normalized_text").alias("t")))), lambda n: F.flatten(F.collect_list(n))),
+            "voice_count": (F.count_if(F.col("media_kind") == "voice"), F.sum),
+        },
     )
-    return turns.where(F.size("said") > 0).select(
-        *keys,
-        F.col("turn_id").alias("first_message_id"),
+    turns = turns.where(F.size("said") > 0).select(
+        "chat_id",
+        F.col("run_id").alias("first_message_id"),
         "chat_title",
         "author_id",
-        "is_outgoing",
+        F.col("is_outgoing.is_outgoing").alias("is_outgoing"),
         "started_at",
         "ended_at",
         "message_count",
-        F.array_join(F.col("said.t"), " ").alias("text"),
+        F.array_join(F.array_sort("said")["t"], " ").alias("text"),
         (F.col("voice_count") > 0).alias("has_voice"),
         "voice_count",
     )
+    if not positions:
+        return turns
+    return with_row_number(turns, "position", order=("started_at", "first_message_id")).withColumn("position", F.col("position") - 1)
 
 
 def burst_stats(messages: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
@@ -91,24 +118,24 @@ def burst_stats(messages: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFram
 
     Incoming messages break a burst. Only in-window live messages count; without inner gaps they are 0.
     """
-    live = messages.where(~F.col("is_deleted") & F.col("in_memory_window"))
+    live = messages.where(~F.col("is_deleted") & F.col("in_memory_window")).select("chat_id", *ORDER, "is_outgoing")
+    sides = live.withColumn("author_id", F.col("is_outgoing").cast("int"))
+    bursts = _runs(sides, F.lit(gap_seconds), ["chat_id"], {"n": (F.count("*"), F.sum)}).where("author_id = 1")
+    sizes = bursts.agg(F.avg("n").alias("avg_size")).crossJoin(percentiles(bursts, "n", {"p90_size": 0.9}))
     seen = with_previous(live, {"ses__out": F.col("is_outgoing"), "ses__at": F.unix_micros("sent_at")})
     gap = (F.unix_micros("sent_at") - F.col("ses__at")) / 1_000_000
-    new = ~F.coalesce("ses__out", F.lit(False)) | (gap > gap_seconds)
-    own = seen.withColumns({"ses__new": F.coalesce(new, F.lit(True)), "ses__gap": gap}).where("is_outgoing")
-    bursts = with_last_seen(own, F.when(F.col("ses__new"), F.col("id")), "burst_id")
-    sizes = bursts.groupBy("chat_id", "burst_id").agg(F.count("*").alias("n")).agg(F.avg("n").alias("avg_size"), F.percentile("n", 0.9).alias("p90_size"))
-    inner = bursts.where(~F.col("ses__new") & (F.col("ses__gap") >= 0))
-    gaps = inner.agg(*[F.coalesce(F.percentile("ses__gap", p), F.lit(0.0)).alias(n) for p, n in ((0.5, "p50_gap"), (0.9, "p90_gap"))])
-    return sizes.crossJoin(gaps)  # one row each
+    inner = seen.where(F.col("is_outgoing") & F.col("ses__out") & (gap <= gap_seconds) & (gap >= 0)).select(gap.alias("gap"))
+    gaps = percentiles(inner, "gap", {"p50_gap": 0.5, "p90_gap": 0.9})
+    return sizes.crossJoin(gaps.select(*[F.coalesce(n, F.lit(0.0)).alias(n) for n in gaps.columns]))  # one row each
 
 
 def compare_gaps(rows: DataFrame, gaps: Sequence[int] = (30, 60, 120, 300)) -> DataFrame:
     """For each gap: utterances, mean messages, share of turns of several messages (percent)."""
-    each = rows.withColumn("gap_seconds", F.explode(F.array(*[F.lit(g) for g in gaps])))
-    each = each.withColumn("ses__key", F.struct("gap_seconds", "chat_id"))
-    turns = _aggregate(_grouped(each, F.col("gap_seconds"), "ses__key"), ["ses__key"])
-    return turns.groupBy(F.col("ses__key.gap_seconds").alias("gap_seconds")).agg(
+    narrow = rows.select("chat_id", *ORDER, "author_id", _says().alias("says"))
+    each = narrow.withColumn("gap_seconds", F.explode(F.array(*[F.lit(g) for g in gaps])))
+    aggs = {"message_count": (F.count("*"), F.sum), "said": (F.count_if("says"), F.sum)}
+    turns = _runs(each, F.col("gap_seconds"), ["gap_seconds", "chat_id"], aggs).where("said > 0")
+    return turns.groupBy("gap_seconds").agg(
         F.count("*").alias("utterances"), F.avg("message_count").alias("mean_messages"), (100.0 * F.count_if(F.col("message_count") > 1) / F.count("*")).alias("multi_pct")
     )
 
@@ -120,17 +147,37 @@ def top_bursts(utterances: DataFrame, n: int = 50) -> DataFrame:
     return rows.orderBy(F.col("message_count").desc(), "first_message_id").limit(n).select("first_message_id", "chat_id", "message_count", seconds.alias("duration_secs"), "text")
 
 
-def ranked_percentiles(df: DataFrame, value: str, percents: Sequence[int]) -> DataFrame:
-    """One row: the sorted values' item at n * p div 100 (0-based) for each percent.
+def _at_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row: for each name the sorted values' item at a rank (0-based, from the number of rows), and `total`.
 
-    Values are counted first, so what is ordered is the distinct values, not the rows.
+    Equal values are counted first and the counts summed in at most 4,160 bins of like size, in the
+    order of the values (which must not be negative); a value is ranked within its bin alone.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("pct__n"))
-    entries = counts.agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col("pct__n").alias("n")))).alias("e"), F.sum("pct__n").alias("total"))
-    upto = lambda i: F.aggregate(F.slice(F.col("e"), 1, i + 1), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-    entries = entries.select("total", F.transform("e", lambda x, i: F.struct(x["v"].alias("v"), upto(i).alias("upto"))).alias("e"))
-    at = lambda p: F.get(F.filter("e", lambda x: x["upto"] > F.expr(f"total * {p} div 100")), F.lit(0))["v"]
-    return entries.select(*[at(p).alias(f"p{p}") for p in percents])
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("pct__v")).agg(F.count("*").alias("pct__n"))
+    counts = counts.withColumn("pct__bin", F.floor(F.log2(F.col("pct__v") + 1) * 64))
+    bins = counts.groupBy("pct__bin").agg(F.sum("pct__n").alias("pct__m"))
+    upto = Window.orderBy("pct__bin").rowsBetween(Window.unboundedPreceding, 0)  # bins, not rows
+    bins = bins.select("pct__bin", (F.sum("pct__m").over(upto) - F.col("pct__m")).alias("pct__low"), F.sum("pct__m").over(Window.partitionBy()).alias("pct__total"))
+    within = Window.partitionBy("pct__bin").orderBy("pct__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("pct__upto", F.sum("pct__n").over(within)).join(F.broadcast(bins), "pct__bin")
+    high = F.col("pct__low") + F.col("pct__upto")
+    holds = lambda rank: (rank >= high - F.col("pct__n")) & (rank < high)
+    return placed.agg(F.max("pct__total").alias("total"), *[F.max(F.when(holds(r(F.col("pct__total"))), F.col("pct__v"))).alias(n) for n, r in ranks.items()])
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: exact percentiles, interpolated between neighbours; null without rows."""
+    place = lambda p, n: p * (n - 1)
+    ranks = {f"{name}{end}": (lambda n, p=p, f=f: f(place(p, n))) for name, p in shares.items() for end, f in (("__low", F.floor), ("__high", F.ceil))}
+    rows = _at_ranks(df, value, ranks)
+    at = {name: (place(p, F.col("total")), F.col(f"{name}__low"), F.col(f"{name}__high")) for name, p in shares.items()}
+    return rows.select(*[F.when(F.floor(k) == F.ceil(k), low.cast("double")).otherwise((F.ceil(k) - k) * low + (k - F.floor(k)) * high).alias(n) for n, (k, low, high) in at.items()])
+
+
+def ranked_percentiles(df: DataFrame, value: str, percents: Sequence[int]) -> DataFrame:
+    """One row: the sorted values' item at n * p div 100 (0-based) for each percent."""
+    rows = _at_ranks(df, value, {f"p{p}": (lambda n, p=p: F.floor(n * p / 100)) for p in percents})
+    return rows.drop("total")
 
 
 def utterance_stats(utterances: DataFrame) -> DataFrame:
