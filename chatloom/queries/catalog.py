@@ -330,7 +330,7 @@ def compare_gaps(v: ChatView) -> DataFrame:
 
 @query("SELECT first_message_id, chat_id, message_count, round((ended_us - started_us) / 1000000.0, 6) AS duration_secs, text FROM utt WHERE message_count > 1 ORDER BY message_count DESC, first_message_id LIMIT 50")
 def top_bursts(v: ChatView) -> DataFrame:
-    return sessions.top_bursts(v.utterances)
+    return sessions.top_bursts(v.turns)
 
 
 def _pick(value: str, source: str, p: int, name: str) -> str:
@@ -345,7 +345,7 @@ def _pick(value: str, source: str, p: int, name: str) -> str:
   count(*) FILTER (WHERE voice_count > 0 AND message_count > 1) AS voice_in_burst FROM utt"""
 )
 def utterance_stats(v: ChatView) -> DataFrame:
-    return sessions.utterance_stats(v.utterances)
+    return sessions.utterance_stats(v.turns)
 
 
 @query(
@@ -356,7 +356,7 @@ SELECT {', '.join(_pick('t', 'tok', p, f'p{p}') for p in (50, 75, 90, 95, 99))},
   round(100.0 * count(*) FILTER (WHERE t >= 512) / count(*), 6) AS from_512_pct, round(100.0 * count(*) FILTER (WHERE t >= 1024) / count(*), 6) AS from_1024_pct FROM tok"""
 )
 def token_length_audit(v: ChatView) -> DataFrame:
-    return sessions.token_length_audit(v.utterances)
+    return sessions.token_length_audit(v.turns)
 
 
 @query(
@@ -364,7 +364,7 @@ def token_length_audit(v: ChatView) -> DataFrame:
 FROM utt ORDER BY tokens DESC, first_message_id LIMIT 10"""
 )
 def longest_utterances(v: ChatView) -> DataFrame:
-    return sessions.longest_utterances(v.utterances)
+    return sessions.longest_utterances(v.turns)
 
 
 @query(
@@ -372,7 +372,7 @@ def longest_utterances(v: ChatView) -> DataFrame:
   round(100.0 * count(*) FILTER (WHERE message_count > 1) / count(*), 6) AS multi_pct, round(avg(message_count), 6) AS mean_messages FROM utt"""
 )
 def utterance_summary(v: ChatView) -> DataFrame:
-    return sessions.utterance_summary(v.utterances)
+    return sessions.utterance_summary(v.turns)
 
 
 # episodes
@@ -622,17 +622,17 @@ def unembedded_messages(v: ChatView) -> DataFrame:
 
 
 def _store(v: ChatView) -> DataFrame:
-    return v.utterances.where("first_message_id % 3 = 0").select("first_message_id", F.lit(120).alias("gap_seconds"), F.xxhash64("text").alias("text_hash"))
+    return v.turns.where("first_message_id % 3 = 0").select("first_message_id", F.lit(120).alias("gap_seconds"), F.xxhash64("text").alias("text_hash"))
 
 
 @query("SELECT first_message_id FROM utt WHERE length(text) // 4 >= 10 AND first_message_id % 3 <> 0")
 def pending_utterance_embeddings(v: ChatView) -> DataFrame:
-    return vectors.pending_utterance_embeddings(v.utterances, _store(v), 120).select("first_message_id")
+    return vectors.pending_utterance_embeddings(v.turns, _store(v), 120).select("first_message_id")
 
 
 @query("SELECT count(*) AS utterances, count(*) FILTER (WHERE w) AS wanted, count(*) FILTER (WHERE w AND s) AS stored, count(*) FILTER (WHERE w AND NOT s) AS pending FROM (SELECT length(text) // 4 >= 10 AS w, first_message_id % 3 = 0 AS s FROM utt)")
 def embedding_totals(v: ChatView) -> DataFrame:
-    return vectors.embedding_totals(v.utterances, _store(v))
+    return vectors.embedding_totals(v.turns, _store(v))
 
 
 @query(
@@ -648,7 +648,7 @@ def pending_episode_embeddings(v: ChatView) -> DataFrame:
 @query("SELECT first_message_id, CAST(length(text) AS DOUBLE) AS x, CAST(length(regexp_replace(text, '[^aeiou]', '', 'g')) AS DOUBLE) AS y FROM utt")
 def embed_utterances(v: ChatView) -> DataFrame:
     """A stand-in embedder: length and vowels of the text."""
-    made = vectors.embed(v.utterances.select("first_message_id", "text"), lambda texts: [[len(t), sum(t.count(x) for x in "aeiou")] for t in texts])
+    made = vectors.embed(v.turns.select("first_message_id", "text"), lambda texts: [[len(t), sum(t.count(x) for x in "aeiou")] for t in texts])
     return made.select("first_message_id", F.get("vector", F.lit(0)).alias("x"), F.get("vector", F.lit(1)).alias("y"))
 
 

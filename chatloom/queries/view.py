@@ -175,6 +175,11 @@ class ChatView:
     def utterances(self) -> DataFrame:
         return sessions.build_utterances(self.utterance_input)
 
+    @cached_property
+    def turns(self) -> DataFrame:
+        """utterances without their positions."""
+        return sessions.build_utterances(self.utterance_input, positions=False)
+
     @cached_property
     def doc_utterances(self) -> DataFrame:
         """documents as turns, for retrieval."""
