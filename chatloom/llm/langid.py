@@ -108,6 +108,8 @@ def _clean(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     c = _byte_codes()[buf[offsets[0] : offsets[-1]]]
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
+    begins = offsets[:-1] - offsets[0]
+    keep[begins[begins < len(c)]] = True  # a text's first blank stays, whatever text comes before it
     at = np.concatenate([[0], np.cumsum(keep)])
     return c[keep], at[offsets - offsets[0]]
 
