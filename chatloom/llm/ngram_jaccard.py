@@ -29,7 +29,10 @@ to fetch if they are at most BROADCAST_SETS, goes through the driver.
 
 Defined results: null text, empty text and text without words has no shingles and is linked with
 nothing. Repeated rows are linked with each other. A null id is larger than all others: a
-component of null ids only has the component id null. Shingles are compared as 64-bit hashes.
+component of null ids only has the component id null. Ties do not arise: a pair is linked or it is
+not. A very long text is one set of all its shingles, hashed in pieces. An empty table gives no rows.
+Only the id and the text are read, so other columns cannot clash; `keep_one` keeps all columns.
+Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ temperature fitted on a part that training left out calibrates the probabilities
 Defined results: null and empty texts have all-zero features and get the score that follows from
 them. Null labels and null ids teach nothing; without both classes the score is the base rate
 (one half if there are no labels). Repeated rows are scored alike, repeated labels count again.
+Labelled ids of equal hash are taken by id and label. Very long texts are read whole, in pieces; a
+token at a cut is split in two. An empty table gives no rows. Only the id and the text are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ whole corpus. A run of more than BLOCK characters is tested in even blocks, each
 a span of its own, to its end.
 
 Defined results: null text is empty; empty text has no spans. Repeated rows are scanned alike and
-each counts as a test. Other columns are not read by `scan`; `redact` keeps them.
+each counts as a test. Equal p-values of a length class are accepted or refused together. Very long
+texts are scanned whole. An empty table gives no rows. Other columns are not read by `scan`, so they
+cannot clash; `redact` keeps them.
 """
 
 from __future__ import annotations

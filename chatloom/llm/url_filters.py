@@ -3,9 +3,11 @@
 Main path: DataFrame operations and Spark's own FP-growth only.
 
 Defined results: a null url or one without `://` has empty host and path, fits no rule and has
-no tokens, so it is allowed. Repeated rows are judged alike, each on its own. Extra columns are
-dropped by `parse_urls` callers that select; clashing names are replaced. Empty labels give no
-mined rules, and everything without a fixed rule is then allowed.
+no tokens, so it is allowed. Repeated rows are judged alike, each on its own; a page whose id has
+several labels, or several rows, counts once for each pair of them in mining. Of fixed rules that
+fit, the longest wins; of mined ones the best confidence, so ties do not matter. Very long urls are
+read whole. Empty tables and empty labels give no mined rules, and everything without a fixed rule is
+then allowed. Only the id and the url of a page are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
