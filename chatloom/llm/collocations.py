@@ -103,7 +103,7 @@ def _block(lang: str, texts: list[np.ndarray], block: int) -> pa.RecordBatch:
     sequence = np.zeros(len(index) + int(new.sum()), "<u4")
     sequence[np.arange(len(index)) + np.cumsum(new)] = index + 1
     counts = np.bincount(index, minlength=len(encoded.dictionary))
-    one = [pa.array([block], pa.int64()), pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(encoded.dictionary)], pa.int32()), encoded.dictionary.cast(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([sequence.tobytes()], pa.binary())]
+    one = [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(encoded.dictionary)], pa.int32()), encoded.dictionary.cast(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([sequence.tobytes()], pa.binary())]
     return pa.RecordBatch.from_arrays(one, ["block", "lang", "words", "counts", "sequence"])
 
 
@@ -194,7 +194,7 @@ def _filters(batches: Iterator[pa.RecordBatch], n: int, bits: int, ranges: dict[
             for end in ends.tolist():
                 rows.append((int(part[begin]), qf.pack(left[begin:end], right[begin:end], counts[begin:end], widths)))
                 begin = end
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "range", "filter"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "range", "filter"])
 
 
 def _frequent(n: int, bits: int, min_count: int):

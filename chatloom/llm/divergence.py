@@ -64,7 +64,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in counts.items():
             terms = pa.array(n.keys(), pa.binary()).cast(pa.string())
-            columns = [pa.array([lang] * len(n)), pa.array([source] * len(n)), terms, pa.array(n.values(), pa.int64()), pa.array(map(docs.__getitem__, n), pa.int64())]
+            columns = [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), terms, pa.array(n.values(), pa.int64()), pa.array(map(docs.__getitem__, n), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
         counts.clear()
 

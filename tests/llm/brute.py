@@ -86,3 +86,65 @@ def b32_sha1(payload):
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def phrases(rows, longest=4, least=30, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    counts, totals = {}, {}
+    for lang, text in rows:
+        f = counts.setdefault(lang or "und" if lang is None else lang, {})
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            key = "und" if lang is None else lang
+            totals[key] = totals.get(key, 0) + len(words)
+            for n in range(1, longest + 1):
+                for i in range(len(words) - n + 1):
+                    g = tuple(words[i : i + n])
+                    f[g] = f.get(g, 0) + 1
+    out = []
+    for lang, f in counts.items():
+        own = []
+        frequent = {g: a for g, a in f.items() if len(g) > 1 and a >= least}
+        for g, a in frequent.items():
+            longer = [b for h, b in frequent.items() if len(h) > len(g) and any(h[i : i + len(g)] == g for i in range(len(h)))]
+            if any(100 * b >= 80 * a for b in longer):
+                continue
+            score, k = min((2000000 * a // (f[g[:k]] + f[g[k:]]), k) for k in range(1, len(g)))
+            own.append((-score, -a, " ".join(g).encode(), f[g[:k]], f[g[k:]]))
+        out += [(lang, i, p.decode(), -a, x, y, totals[lang], -s) for i, (s, a, p, x, y) in enumerate(sorted(own)[:top], 1)]
+    return out
+
+
+def audit(rows, least=30, top=50):
+    """(lang, source, part, item, value, rank) of (lang, source, text) rows."""
+    docs, counts, groups = {}, {}, set()
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        words = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text))
+        for w in words:
+            counts[lang, source, w] = counts.get((lang, source, w), 0) + 1
+        for w in set(words):
+            docs[lang, w] = docs.get((lang, w), 0) + 1
+    out = []
+    for lang in {g[0] for g in groups}:
+        kept = [w for (x, w), n in docs.items() if x == lang and n >= least]
+        sources = sorted(s for x, s in groups if x == lang)
+        count = {s: [counts.get((lang, s, w), 0) for w in kept] for s in sources}
+        whole = [sum(count[s][i] for s in sources) for i in range(len(kept))]
+        p = {s: [1 + 1000000000 * (c + 5) // (sum(count[s]) + 5 * len(kept)) for c in count[s]] for s in sources}
+        q = [1 + 1000000000 * (c + 5) // (sum(whole) + 5 * len(kept)) for c in whole]
+        for s in sources:
+            pairs = sorted((-sum(abs(a - b) for a, b in zip(p[s], p[t], strict=True)), t.encode()) for t in sources if t != s)
+            out += [(lang, s, "pair", t.decode(), -v, i) for i, (v, t) in enumerate(pairs, 1)]
+            terms = sorted((b - a, w.encode()) for a, b, c, w in zip(p[s], q, count[s], kept, strict=True) if c and a > b)
+            out += [(lang, s, "term", w.decode(), -v, i) for i, (v, w) in enumerate(terms[:top], 1)]
+    return out
+
+
+def longest_first(sizes, shards):
+    """Loads of the shards when the largest goes to the least loaded, again and again."""
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += size
+    return sorted(loads)
