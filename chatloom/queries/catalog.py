@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -546,23 +546,59 @@ def top_words(v: ChatView) -> DataFrame:
     return ranking.top_words(v.table("documents"))
 
 
-_THE = rf"""h AS (SELECT *, {_TOKENS} AS tokens FROM messages WHERE NOT is_deleted AND in_memory_window AND text <> ''),
-o AS (SELECT id, chat_id, sent_us, list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = 'the') AS p FROM h),
-r AS (SELECT id, chat_id, sent_us, CASE WHEN len(p) = 1 THEN 0.1 ELSE 0.1 * list_sum(list_transform(range(2, len(p) + 1), lambda i: 1.0 / (p[i] - p[i - 1]))) END AS rank FROM o WHERE len(p) > 0),
-said AS (SELECT CAST(1 AS BIGINT) AS query_id, id, chat_id, round(rank, 6) AS rank FROM r ORDER BY round(rank, 9) DESC, sent_us DESC, id LIMIT 20)"""
+# Searches ask every message whose id is divisible by 100 and that begins with two words, neither of them `or`. A query's
+# form says how its words a and b are joined; forms: 0 a b, 1 "a b", 2 a or b, 3 a -b, 4 a alone.
+_ASKED = rf"""asked AS (SELECT id AS query_id, FORM AS form, t[1] AS a, t[2] AS b FROM (SELECT id, {_TOKENS} AS t FROM messages WHERE id % 100 = 0) WHERE len(t) > 1 AND t[1] <> 'or' AND t[2] <> 'or')"""
+
+
+def _full_text_sql(docs: str, form: str) -> str:
+    """Tables asked and said (query_id, id, newer, rank) of a query over docs (id, newer, tokens)."""
+    return f"""{_ASKED.replace("FORM", form)},
+h AS ({docs}),
+tok AS (SELECT id, unnest(tokens) AS term, unnest(range(1, len(tokens) + 1)) AS pos FROM h),
+near_ AS (SELECT id, term, pos, lead(term) OVER (PARTITION BY id ORDER BY pos) AS next FROM tok),
+occ AS (
+  SELECT query_id, form, a, b, id, term, pos, next FROM asked JOIN near_ ON term = a
+  UNION SELECT query_id, form, a, b, id, term, pos, next FROM asked JOIN near_ ON term = b WHERE form <> 4),
+hit AS (SELECT query_id, id FROM occ GROUP BY query_id, id, form
+  HAVING CASE form WHEN 0 THEN bool_or(term = a) AND bool_or(term = b) WHEN 1 THEN bool_or(term = a AND next = b) WHEN 2 THEN TRUE WHEN 3 THEN NOT bool_or(term = b) ELSE TRUE END),
+spots AS (SELECT o.*, row_number() OVER w AS i FROM occ o SEMI JOIN hit USING (query_id, id) WHERE form <> 3 OR term = a WINDOW w AS (PARTITION BY query_id, id ORDER BY pos)),
+ends_ AS (SELECT *, CASE WHEN form < 2 THEN CASE WHEN max(i) FILTER (WHERE term = a) OVER w IS NOT NULL AND max(i) FILTER (WHERE term = b) OVER w IS NOT NULL THEN least(max(i) FILTER (WHERE term = a) OVER w, max(i) FILTER (WHERE term = b) OVER w) END ELSE i END AS begin_ FROM spots WINDOW w AS (PARTITION BY query_id, id ORDER BY pos)),
+found_ AS (SELECT e.query_id, e.id, e.pos, e.i, e.form, s.pos AS first_, e.begin_, lag(e.begin_) OVER (PARTITION BY e.query_id, e.id ORDER BY e.i) AS before
+  FROM ends_ e JOIN spots s ON s.query_id = e.query_id AND s.id = e.id AND s.i = e.begin_),
+covers AS (SELECT *, (first_ + pos) / 2.0 AS middle, greatest(0, (pos - first_) - (i - begin_)) AS between_ FROM found_ WHERE before IS NULL OR begin_ > before),
+steps AS (SELECT *, middle - lag(middle) OVER (PARTITION BY query_id, id ORDER BY i) AS gap FROM covers),
+sums AS (SELECT query_id, id, sum(0.1::DOUBLE / (1 + between_)) AS total, coalesce(sum(1.0::DOUBLE / gap) FILTER (WHERE gap > 0), 0) AS near_sum, count(*) AS n FROM steps GROUP BY query_id, id),
+ranked AS (SELECT s.query_id, s.id, newer, round(CASE WHEN near_sum > 0 THEN total / (n / near_sum) ELSE total END, 9) AS rank FROM sums s JOIN h ON h.id = s.id),
+said AS (SELECT query_id, id, round(rank, 6) AS rank FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, newer DESC, id) <= 20)"""
+
+
+_LIVE_TOKENS = f"SELECT id, sent_us AS newer, {_TOKENS} AS tokens FROM messages WHERE NOT is_deleted AND in_memory_window AND text <> ''"
+
+
+def _asked(v: ChatView, form: Column) -> DataFrame:
+    """(query_id, form, a, b, query, text) of the messages that ask."""
+    rows = v.messages.where("id % 100 = 0").select(F.col("id").alias("query_id"), form.alias("form"), "text", X.tokenize(F.col("text")).alias("t")).where("size(t) > 1 and t[0] <> 'or' and t[1] <> 'or'")
+    a, b = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    forms = F.when(F.col("form") == 0, F.concat_ws(" ", a, b)).when(F.col("form") == 1, F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"')))
+    forms = forms.when(F.col("form") == 2, F.concat(a, F.lit(" or "), b)).when(F.col("form") == 3, F.concat(a, F.lit(" -"), b)).otherwise(a)
+    return rows.withColumns({"a": a, "b": b, "query": forms})
+
+
 _GRAMS = "list_distinct(flatten(list_transform({t}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))"
 
 
-@query(f", {_THE} SELECT * FROM said")
+@query(f", {_full_text_sql(_LIVE_TOKENS, '4')} SELECT * FROM said")
 def search_fts(v: ChatView) -> DataFrame:
-    return search.search_fts(v.messages, v.chats, v.links.select("message_id", "episode_id"), [(1, "the")]).select("query_id", "id", "chat_id", "rank")
+    asked = _asked(v, F.lit(4)).select("query_id", "query")
+    return search.search_fts(v.messages, v.chats, v.links.select("message_id", "episode_id"), asked).select("query_id", "id", "rank")
 
 
-@query()
+@query(f", {_full_text_sql(_LIVE_TOKENS, 'id // 100 % 4')} SELECT * FROM said")
 def search_phrases(v: ChatView) -> DataFrame:
-    """Phrases, alternatives and exclusions with cover-density ranks: tested against a plain version."""
-    asked = [(1, '"the of"'), (2, "the or la -ок"), (3, "and that")]
-    return search.search_fts(v.messages, v.chats, v.links.select("message_id", "episode_id"), asked).select("query_id", "id", "chat_id", "rank")
+    """Two words, phrases, alternatives and exclusions with cover-density ranks."""
+    asked = _asked(v, F.expr("id div 100 % 4")).select("query_id", "query")
+    return search.search_fts(v.messages, v.chats, v.links.select("message_id", "episode_id"), asked).select("query_id", "id", "rank")
 
 
 def _similar_sql(condition: str, limit: str) -> str:
@@ -588,22 +624,27 @@ def find_similar(v: ChatView) -> DataFrame:
 
 
 @query(
-    f""", {_THE}, asked AS (SELECT {_GRAMS.format(t=_TOKENS.replace('text', "'zzzq thetheon'"))} AS a),
-like_ AS (SELECT id, sent_us, len(list_intersect(g, a)) / len(list_distinct(list_concat(g, a))) AS rank FROM (SELECT id, sent_us, {_GRAMS.format(t='tokens')} AS g FROM h), asked
-  WHERE NOT EXISTS (SELECT 1 FROM h WHERE list_contains(tokens, 'zzzq') AND list_contains(tokens, 'thetheon')))
-SELECT query_id, id, rank, 'fts' AS match_type FROM said
-UNION ALL SELECT * FROM (SELECT CAST(2 AS BIGINT), id, round(rank, 6), 'trigram' FROM like_ WHERE rank >= 0.3 ORDER BY rank DESC, sent_us DESC, id LIMIT 20)
-UNION ALL SELECT * FROM (SELECT CAST(3 AS BIGINT), id, CAST(0 AS DOUBLE), 'filter' FROM messages WHERE NOT is_deleted AND in_memory_window ORDER BY sent_us DESC, id DESC LIMIT 20)"""
+    rf""", {_full_text_sql(_LIVE_TOKENS, 'id // 100 % 3')},
+whole AS (SELECT query_id, form, concat('zzzq', a, ' ', m.text) AS query FROM asked JOIN messages m ON m.id = query_id WHERE form = 1),
+g AS (SELECT id, newer, {_GRAMS.format(t='tokens')} AS g FROM h),
+sg AS (SELECT query_id, {_GRAMS.format(t=_TOKENS.replace('text', 'query'))} AS g FROM whole),
+like_ AS (SELECT sg.query_id, g.id, g.newer, len(list_intersect(g.g, sg.g)) / len(list_distinct(list_concat(g.g, sg.g))) AS rank FROM g, sg)
+SELECT query_id, id, rank, 'fts' AS match_type FROM said SEMI JOIN (SELECT query_id FROM asked WHERE form = 0) USING (query_id)
+UNION ALL SELECT query_id, id, round(rank, 6), 'trigram' FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, newer DESC, id) AS k FROM like_ WHERE rank >= 0.3) WHERE k <= 20
+UNION ALL SELECT query_id, id, CAST(0 AS DOUBLE), 'filter' FROM (SELECT query_id FROM asked WHERE form = 2), (SELECT id FROM messages WHERE NOT is_deleted AND in_memory_window ORDER BY sent_us DESC, id DESC LIMIT 20)"""
 )
 def search_messages(v: ChatView) -> DataFrame:
-    asked = [(1, "the"), (2, "zzzq thetheon"), (3, " ")]
-    return search.search_messages(v.messages, v.chats, v.links.select("message_id", "episode_id"), asked).select("query_id", "id", "rank", "match_type")
+    """By id: two words, a whole text with a word that occurs nowhere, or blank."""
+    asked = _asked(v, F.expr("id div 100 % 3"))
+    words = F.when(F.col("form") == 0, F.col("query")).when(F.col("form") == 1, F.concat(F.lit("zzzq"), "a", F.lit(" "), "text")).otherwise(" ")
+    return search.search_messages(v.messages, v.chats, v.links.select("message_id", "episode_id"), asked.select("query_id", words.alias("query"))).select("query_id", "id", "rank", "match_type")
 
 
-@query()
+@query(f", docs AS ({_EPISODE_DOCS}), {_full_text_sql(f'SELECT episode_id AS id, started_us AS newer, {_TOKENS.replace("text", "semantic_text")} AS tokens FROM docs JOIN episodes USING (episode_id)', 'id // 100 % 4')} SELECT query_id, id AS episode_id, rank FROM said")
 def search_episodes(v: ChatView) -> DataFrame:
     docs = episodes.episode_docs(v.links.withColumnRenamed("telegram_id", "position"), v.messages, v.semantic)
-    return search.search_episodes(v.episodes, docs, v.chats, [(1, "the and"), (2, "voice")]).select("query_id", "episode_id", "rank")
+    asked = _asked(v, F.expr("id div 100 % 4")).select("query_id", "query")
+    return search.search_episodes(v.episodes, docs, v.chats, asked).select("query_id", "episode_id", "rank")
 
 
 # vectors to make

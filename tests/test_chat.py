@@ -1,13 +1,14 @@
 """Chat operators against hand-written cases and plain sequential loops on random chats."""
 
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatloom.operators import chats, episodes, layers, ordered, prompts, ranking, search, sessions, upsert, vectors, windows
+from chatloom.operators import chats, episodes, layers, ordered, prompts, ranking, search, sessions, similarity, upsert, vectors, windows
 from chatloom.sources import records
 
 START = datetime(2026, 1, 15, 12, tzinfo=timezone.utc)
@@ -174,17 +175,66 @@ def test_drop_repeats(spark):
     assert got == [["не понял", "ага"], ["да нормально всё"], ["ага"]]
 
 
-def test_cover_density_and_queries(spark):
-    assert search.parse_query('a "b c" or d -e -"f g"') == ([[["a"]], [["b", "c"], ["d"]]], [["e"], ["f", "g"]])
-    assert search.cover_density(["a"], [[["a"]]]) == pytest.approx(0.1)
-    assert search.cover_density(["a", "x", "a", "a"], [[["a"]]]) == pytest.approx(0.1 * (1 / 2 + 1))
-    # one cover, one word between: 0.1 / (1 + 1)
-    assert search.cover_density(["a", "x", "b"], [[["a"]], [["b"]]]) == pytest.approx(0.05)
-    rows = spark.createDataFrame([(["x", "a", "b"],), (["b", "a"],), (["a", "e"],)], "t array<string>")
-    count = lambda q: rows.where(search.matches(F.col("t"), q)).count()
-    assert [count(q) for q in ("a", '"a b"', "a -e", "b or e", "zz", "-a")] == [3, 1, 2, 3, 0, 0]
-    one = rows.select(search.single_term_rank(F.col("t"), "a")).collect()
-    assert [r[0] for r in one] == [0.1, 0.1, 0.1]
+def plain_rank(tokens, must, weight=0.1):
+    """Cover density step by step: the next stretch that meets every part, cut at its front, and on from there."""
+    words = {w for part in must for alt in part for w in alt}
+    spots = [(i, t) for i, t in enumerate(tokens, 1) if t in words]
+    met = lambda seen: all(any(set(alt) <= seen for alt in part) for part in must)
+    total = near = n = at = 0
+    before = None
+    while ends := [j for j in range(at, len(spots)) if met({t for _, t in spots[at : j + 1]})]:
+        end = ends[0]
+        begin = max(b for b in range(at, end + 1) if met({t for _, t in spots[b : end + 1]}))
+        p, q = spots[begin][0], spots[end][0]
+        total += weight / (1 + max(0, q - p - (end - begin)))
+        if before is not None and (p + q) / 2 > before:
+            near += 1 / ((p + q) / 2 - before)
+        before, n, at = (p + q) / 2, n + 1, begin + 1
+    return total / (n / near) if near else total
+
+
+def test_queries_are_parsed(spark):
+    asked = search.as_table(spark, [(1, 'a "b c" or d -e -"f g"'), (2, "or x -or or --y"), (3, " - "), (4, None), (5, '"or" OR "z')])
+    got = [tuple(r) for r in search.parse_queries(asked).orderBy("query_id", "alt").collect()]
+    assert got == [
+        (1, 0, 1, False, ["a"]), (1, 1, 2, False, ["b", "c"]), (1, 2, 2, False, ["d"]), (1, 3, 0, True, ["e"]), (1, 4, 0, True, ["f", "g"]),
+        (2, 0, 1, False, ["x"]), (2, 1, 0, True, ["or"]), (2, 2, 0, True, ["y"]), (5, 0, 1, False, ["or"]), (5, 1, 1, False, ["z"]),
+    ]
+
+
+def test_full_text(spark):
+    texts = ["x a b", "b a", "a e", "", None, "a x a a", "a x b", "b c a d", "d a c b", "A a B b c c a b d x x x d a", "a b c " * 7, "e f g a d"]
+    must = {1: ([[["a"]]], []), 2: ([[["a", "b"]]], []), 3: ([[["a"]]], ["e"]), 4: ([[["b"], ["e"]]], []), 5: ([[["zz"]]], []), 6: ([[["a"]], [["b", "c"], ["d"]]], ["e"]), 7: ([[["a"]], [["a"]]], [])}
+    asked = [(1, "a"), (2, '"a b"'), (3, "a -e"), (4, "b or e"), (5, "zz"), (6, 'a "b c" or d -e'), (7, "a a"), (8, "-a"), (9, "")]
+    got = {(r.query_id, r.id): r["rank"] for r in search.full_text(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), search.as_table(spark, asked), "id", "text").collect()}
+    expected = {}
+    for q, (parts, never) in must.items():
+        for i, text in enumerate(texts):
+            tokens = (text or "").lower().split()
+            run = lambda alt, t=tokens: any(t[k : k + len(alt)] == alt for k in range(len(t)))
+            if tokens and all(any(run(alt) for alt in part) for part in parts) and not set(never) & set(tokens):
+                expected[q, i] = pytest.approx(plain_rank(tokens, parts), abs=1e-8)
+    assert got == expected
+    assert got[1, 0] == 0.1 and got[1, 5] == pytest.approx(0.1 * (1 / 2 + 1)) and (2, 6) not in got
+
+
+def test_most_similar(spark):
+    words = ["the", "then", "other", "mother", "ünïcode", "x", "alpha beta", "𝔘𝔫𝔦", "12 34"]
+    texts = [" ".join(words[(i * k) % len(words)] for k in range(1, 2 + i % 7)) for i in range(60)] + ["", "?!", "the then other"]
+    rows = spark.createDataFrame([(i, i % 5, t) for i, t in enumerate(texts)], "id long, newer long, text string")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i % 4 == 0] + [(99, None), (98, "zz qq")], "query_id long, query string")
+
+    def grams(t):
+        return {p[k : k + 3] for w in re.findall(r"[^\W_]+", t.lower()) for p in ["  " + w + " "] for k in range(len(p) - 2)}
+
+    for other in (False, True):
+        got = sorted((r.query_id, r.id, round(r["rank"], 9)) for r in search._best(similarity.most_similar(rows, asked, 0.4, 5, other), 5, "newer", "id").collect())
+        expected = []
+        for q in asked.collect():
+            g = grams(q.query or "")
+            near = sorted((-len(g & grams(t)) / len(g | grams(t)), -(i % 5), i) for i, t in enumerate(texts) if g and grams(t) and len(g & grams(t)) >= 0.4 * len(g | grams(t)) and not (other and t == q.query))
+            expected += [(q.query_id, i, round(-s, 9)) for s, _, i in near[:5]]
+        assert got == sorted(expected)
 
 
 def test_upserts_are_idempotent(spark):
