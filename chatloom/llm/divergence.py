@@ -184,7 +184,9 @@ def audit(docs: DataFrame, min_docs: int = 30, top_terms: int = 50) -> DataFrame
 
     rows = shares.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("g", "p", "b"))).alias("row"))
     rows = rows.groupBy("lang", "row").agg(F.count("*").alias("mult"))
-    ordered = rows.repartitionByRange("lang", "row").sortWithinPartitions("lang", "row")
+    # ranges by a row's beginning, so that Spark's sample of the keys stays small; equal beginnings are spread by a hash
+    begin = F.transform(F.slice("row", 1, 3), lambda x: x["p"])
+    ordered = rows.repartitionByRange("lang", begin, F.xxhash64("row")).sortWithinPartitions("lang", "row")
     both = ordered.select("lang", "row.g", "row.p", "row.b", "mult").mapInArrow(tidy(_corrections), "lang string, low long, high long, value long")
 
     name = groups.select("lang", "source", "g", "b", "v")
