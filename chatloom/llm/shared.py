@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import json
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -96,12 +98,46 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_sorted(df: DataFrame, key: list[str], rest: list[str]) -> DataFrame:
-    """df in range partitions by the key columns, nulls first, sorted by the key and then the rest.
+#: Keys sampled for each range.
+SAMPLE = 64
 
-    The bounds come from Spark's sample of the keys themselves, so outlying ids cost nothing; with a hash of
-    the content as the key's second column, rows that share an id (or have none) are spread. A
-    partition is sorted with spilling.
+
+def range_bounds(keys: DataFrame, width: int) -> list[tuple]:
+    """At most width - 1 keys (of two longs) that cut the rows of keys into even ranges, in order, nulls first.
+
+    The bounds depend on the rows and the width alone: the sample is of keys whose hash is divisible by a number
+    that the row count sets, so it has some SAMPLE x width different keys, with their exact counts.
+    """
+    a, b = keys.columns
+    every = max(1, keys.count() // (SAMPLE * width))
+    sample = keys.where(F.pmod(F.xxhash64(a, b), F.lit(every)) == 0).groupBy(a, b).agg(F.count("*").alias("n")).collect()
+    sample.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0))
+    total, seen, bounds = sum(r.n for r in sample), 0, []
+    for r in sample:
+        # a range begins with the first key that has its share of rows before it
+        if seen and len(bounds) + 1 < width and seen * width >= (len(bounds) + 1) * total:
+            bounds.append((r[0], r[1]))
+        seen += r.n
+    return bounds
+
+
+def range_sorted(df: DataFrame, keys: DataFrame, rest: list[str]) -> DataFrame:
+    """df in range partitions by the key columns (two longs), nulls first, sorted by the key and then the rest.
+
+    keys has the same key columns for about the same rows, without what is costly to make. With a hash of
+    the content as the key's second column, rows that share an id (or have none) are spread. A partition is sorted
+    with spilling, and has the same rows on every run.
     """
-    order = [F.col(c).asc_nulls_first() for c in key]
-    return df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order, *rest)
+    width = shuffle_width(df.sparkSession)
+    bounds = range_bounds(keys, width)
+    a, b = keys.columns
+    own = F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    listed = F.from_json(F.lit(json.dumps([{"a": x, "b": y} for x, y in bounds])), "array<struct<a:bigint,b:bigint>>")
+    # which range: first among every step-th bound, then between two of them
+    step = max(1, math.isqrt(len(bounds)))
+    coarse = F.from_json(F.lit(json.dumps([{"a": x, "b": y} for x, y in bounds[step - 1 :: step]])), "array<struct<a:bigint,b:bigint>>")
+    below = lambda some: F.size(F.filter(some, lambda x: x <= own))
+    rows = df.withColumn("range__c", below(coarse) * step)
+    rows = rows.withColumn("range__c", F.col("range__c") + below(F.slice(listed, F.col("range__c") + 1, F.lit(step))))
+    order = [F.col(c).asc_nulls_first() for c in (a, b)]
+    return rows.repartitionById(width, F.col("range__c")).sortWithinPartitions(*order, *rest).drop("range__c")

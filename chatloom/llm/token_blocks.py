@@ -270,7 +270,7 @@ def write_tokens(docs: DataFrame, folder: str, encoder: Callable, end_id: int, i
     each document.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    rows = range_sorted(rows, ["id", "h"], ["text"]).select("id", "text")
+    rows = range_sorted(rows, rows.select("id", "h"), ["text"]).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(), np.array([end_id], np.uint32)

@@ -105,9 +105,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
     The bodies are shuffled once, to their range; a page's revisit mark travels there beside it.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    keys = rows.select("page_id", F.xxhash64("html").alias("h"))
     marks = revisit_marks(rows, min_bytes).select("page_id", "h", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.lit("").alias("html"), "last")
     rows = marks.unionByName(rows.select("page_id", F.xxhash64("html").alias("h"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("last")))
-    rows = range_sorted(rows, ["page_id", "h"], ["kind", "url", "html"])
+    rows = range_sorted(rows, keys, ["kind", "url", "html"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)

@@ -67,3 +67,17 @@ def test_long_document(spark, tmp_path):
     m = token_blocks.write_tokens(docs, f"file://{tmp_path}/long", lambda: lambda texts: [ids if t == "long" else ids[:0] for t in texts], 9)
     got = {r.doc_id: np.frombuffer(r.ids, "<u4") for r in token_blocks.read_tokens(m).collect()}
     assert (got[2] == np.append(ids, 9)).all() and got[1].tolist() == got[3].tolist() == [9]
+
+
+@pytest.mark.parametrize("kind", ["dense", "null", "repeated"])
+def test_two_writes_are_alike(spark, tmp_path, kind):
+    """Archives and token files of the same rows, however these are dealt, have the same names, counts and bytes."""
+    pages = spark.range(60_000 if kind == "dense" else N).select(ids_of(kind).alias("page_id"), F.lit("http://x/").alias("url"), F.concat(F.lit("body "), (F.col("id") % 1000).cast("string")).alias("html"))
+    docs = pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    seen = []
+    for i, n in enumerate((3, 7)):
+        m = warc.write_archives(pages.repartition(n), f"file://{tmp_path}/{kind}{i}", file_bytes=50_000).collect()
+        t = token_blocks.write_tokens(docs.repartition(n), f"file://{tmp_path}/{kind}t{i}", lambda: by_word, 2, file_docs=3000).collect()
+        files = [(r.path.rsplit("/", 1)[1], (tmp_path / f"{kind}t{i}" / r.path.rsplit("/", 1)[1]).read_bytes()) for r in t]
+        seen.append((sorted((r.path.rsplit("/", 1)[1], r.records, r.bytes, r.crc32) for r in m), sorted(files)))
+    assert seen[0] == seen[1] and len(seen[0][0]) > 3
