@@ -1,16 +1,18 @@
 """Secret scans: fixed patterns, plus random-looking tokens under false-discovery control.
 
-Every run of 16 or more of `A-Z a-z 0-9 + / _ = -` with a letter and a digit is a test. Its
-encoding is inferred (hex, base32, base64) and three tests are run against the hypothesis that
-ordinary writing made it: how the alphabet is used, the runs of the character classes and the
-serial dependence of the characters. They are log ratios of writing against the encoding and are
-added up (`p_value`), so that tokens of 16 characters can already be told. Power depends on
-length, so the discoveries are controlled (Benjamini-Hochberg) within each length class over the
-whole corpus. A run of more than BLOCK characters is tested in even blocks, each with a verdict and
-a span of its own, to its end.
+Every run of 16 or more of `A-Z a-z 0-9 + / _ = -` with a letter is a test. Its encoding is inferred: the smallest
+of ENCODINGS that can have made it. A battery of three tests asks whether that encoding made it at random:
+chi-squared of the alphabet's use, the runs of character classes, and the correlation of neighbours. Their
+p-values are combined by Fisher's method, with Brown's allowance for dependence (`battery`). Random tokens
+pass, patterned ones do not; but of 16 to 32 characters the battery alone cannot tell words from random
+ones, as it knows nothing of words. So a second p-value says how likely ordinary writing is to look so
+random, by a likelihood ratio (`writing_p`). Power depends on length, so both are put under Benjamini-Hochberg control
+within each length class, over the whole corpus, letters-only tokens apart: a token is reported if writing is
+refuted and randomness is not. A run of more than BLOCK characters is tested in even blocks, each with a
+verdict and a span of its own, to its end.
 
 Defined results: null text is empty; empty text has no spans. Repeated rows are scanned alike and
-each counts as a test. Equal p-values of a length class are accepted or refused together. Very long
+each counts as a test. Equal p-values of a class are accepted or refused together. Very long
 texts are scanned whole. An empty table gives no rows. Other columns are not read by `scan`, so they
 cannot clash; `redact` keeps them.
 """
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from math import log2, log10
+from math import erfc, exp, log, log2, log10, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_RANDOM = 6, 20, 24, 16
 _TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
 #: Upper ends of the length classes, and the false-discovery rate within each.
 LENGTH_CLASSES, FDR = (19, 23, 31, 47, 79, 1 << 30), 0.001
+#: The rate at which the battery refutes randomness within each.
+BATTERY_FDR = 0.01
 #: Longer runs are cut into blocks of at most so many characters (and at least half as many).
 BLOCK = 256
 #: -log10 p is counted in bins of 1/BIN up to BINS.
@@ -57,7 +61,6 @@ _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghi
 _TOKEN_BYTES = _mask(_DIGITS + _UPPER + _LOWER + "+/_=-")
 _HEX_BYTES = _mask(_DIGITS + "abcdef")
 _ASSIGN_BYTES = _mask(":=")
-_DIGIT_BYTES = _mask(_DIGITS)
 
 
 def _has_run(buf: np.ndarray, offsets: np.ndarray, mask: np.ndarray, least: int) -> np.ndarray:
@@ -78,12 +81,79 @@ def _has_run(buf: np.ndarray, offsets: np.ndarray, mask: np.ndarray, least: int)
     return hit
 
 
-def encoding(token: str) -> tuple[str, str]:
-    """(name, alphabet) of the smallest encoding that can have made the token."""
-    for name, alphabet in (("hex", _DIGITS + "abcdef"), ("hex", _DIGITS + "ABCDEF"), ("base32", _UPPER + "234567")):
-        if set(token.rstrip("=")) <= set(alphabet):
-            return name, alphabet
-    return "base64", _UPPER + _LOWER + _DIGITS + ("-_" if set("-_") & set(token) else "+/")
+#: Encodings, smallest first: (name, alphabet, bits that a token of it pays for the choice; 2^-bits sum to less than 1).
+ENCODINGS = (
+    ("hex", _DIGITS + "abcdef", 2.2),
+    ("hex", _DIGITS + "ABCDEF", 2.2),
+    ("lower", _LOWER, 5.3),
+    ("upper", _UPPER, 5.3),
+    ("base32", _UPPER + "234567", 2.2),
+    ("base36", _LOWER + _DIGITS, 5.3),
+    ("letters", _UPPER + _LOWER, 5.3),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/", 2.2),
+    ("base64url", _UPPER + _LOWER + _DIGITS + "-_", 5.3),
+)
+#: Correlation of the logarithms of two p-values that Fisher's sum allows for.
+DEPENDENCE = 0.1
+_FACTORIAL = (1, 1, 2, 6)
+
+
+def encoding(token: str) -> tuple[str, str, float]:
+    """The smallest encoding that can have made the token (any other: base64)."""
+    used = set(token.rstrip("="))
+    return next((e for e in ENCODINGS if used <= set(e[1])), ENCODINGS[-2])
+
+
+def _upper_tail(z: float) -> float:
+    return 0.5 * erfc(z / sqrt(2))
+
+
+def chi_squared_p(s: str, alphabet: str) -> float:
+    """Chance that random characters use the alphabet as unevenly as s: Wilson and Hilferty's root of a gamma variable
+    with the exact mean and variance of the statistic."""
+    n, k = len(s), len(alphabet)
+    x = sum(s.count(c) ** 2 for c in set(s)) * k / n - n
+    mean, var = k - 1, 2 * (k - 1) * (n - 1) / n
+    shape = mean * mean / var
+    return _upper_tail(((x / mean) ** (1 / 3) - (1 - 1 / (9 * shape))) * 3 * sqrt(shape))
+
+
+def runs_p(s: str, alphabet: str) -> float:
+    """Chance of so odd a number of runs of character classes, more or fewer; 1 if the alphabet has one class."""
+    n, sizes = len(s), {}
+    for c in alphabet:
+        sizes[_CLASS[c]] = sizes.get(_CLASS[c], 0) + 1
+    share = [v / len(alphabet) for v in sizes.values()]
+    change = 1 - sum(x * x for x in share)
+    if change == 0:
+        return 1.0
+    both = sum(x * (1 - x) ** 2 for x in share)
+    var = (n - 1) * change * (1 - change) + 2 * (n - 2) * (both - change * change)
+    changes = sum(_CLASS.get(a) != _CLASS.get(b) for a, b in zip(s, s[1:], strict=False))
+    return min(1.0, 2 * _upper_tail(max(0.0, abs(changes - (n - 1) * change) - 0.5) / sqrt(var)))
+
+
+def serial_p(s: str, alphabet: str) -> float:
+    """Chance of so large a correlation of neighbours' places in the alphabet, positive or negative."""
+    k = len(alphabet)
+    x = [alphabet.find(c) - (k - 1) / 2 for c in s]
+    r = sum(a * b for a, b in zip(x, x[1:], strict=False)) / ((k * k - 1) / 12)
+    return min(1.0, 2 * _upper_tail(abs(r) / sqrt(len(s) - 1)))
+
+
+def battery(token: str) -> float:
+    """Combined p-value of the three tests: low if the token's encoding did not make it at random."""
+    s = token.rstrip("=")
+    if len(s) < 4:
+        return 1.0
+    alphabet = encoding(s)[1]
+    fisher = -2 * sum(log(max(p, 1e-300)) for p in (chi_squared_p(s, alphabet), runs_p(s, alphabet), serial_p(s, alphabet)))
+    # Brown: the sum as a scaled chi-squared variable; its even degrees of freedom give the tail in closed form
+    scale = 1 + 2 * DEPENDENCE
+    half, degrees = fisher / scale / 2, 6 / scale
+    low, part = int(degrees // 2), degrees / 2 - int(degrees // 2)
+    tail = lambda m: exp(-half) * sum(half**i / _FACTORIAL[i] for i in range(m))
+    return min(1.0, (1 - part) * tail(low) + part * tail(low + 1))
 
 
 #: Ordinary writing: how often letters occur (German, English, French and Spanish pooled, in
@@ -100,22 +170,21 @@ _USE |= {x: log2(n / sum(_LETTERS.values())) for c, n in _LETTERS.items() for x
 _CLASS = {c: k for k, chars in enumerate((_DIGITS, _UPPER, _LOWER, "+/_=-")) for c in chars}
 
 
-def p_value(token: str) -> float:
+def writing_p(token: str) -> float:
     """Chance that ordinary writing looks as random as the token.
 
-    The three tests are log ratios, writing against the encoding: how the alphabet is used, the
-    runs of character classes, and how far a character follows from those before. They are parts
-    of one probability, so their sum bounds p at every length without tables (the chance under
-    writing that the ratio falls below x is at most x). Linear, over all characters.
+    A likelihood ratio of writing (how often it uses characters, changes their class, and follows what came before) against
+    the encoding; the chance under writing that such a ratio falls below x is at most x. Linear, over all
+    characters.
     """
     s = token.rstrip("=")
     n = len(s)
     if n < 4:
         return 1.0
-    k = len(encoding(s)[1])
+    _, alphabet, choice = encoding(s)
+    k = len(alphabet)
     stay, change = log2(1 - TEXT_CHANGE), log2(TEXT_CHANGE / 3)
-    # four encodings could have made it
-    bits = 2 + n * log2(k) - 2 + _USE[s[0]]
+    bits = choice + n * log2(k) - 2 + _USE[s[0]]
     followers: dict[str, dict[str, int]] = {}
     for i in range(1, n):
         c, last = s[i], s[i - 1]
@@ -147,21 +216,27 @@ def blocks(start: int, end: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, bin of -log10 p) of the tokens' blocks outside the base spans."""
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, class, bins of -log10 of writing_p and of battery) of the tokens' blocks outside the base spans.
+
+    There are two classes for each of LENGTH_CLASSES: tokens of letters alone, and others.
+    """
+    bin_of = lambda p: min(BINS, int(-log10(max(p, 1e-300)) * BIN))
     out = []
     for m in _TOKEN.finditer(text):
-        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+        if any(c.isalpha() for c in m[0]):
+            others = int(not m[0].isalpha())
             for start, end in blocks(m.start(), m.end()):
                 if not any(b < end and start < e for b, _, e in base):
                     length = next(i for i, most in enumerate(LENGTH_CLASSES) if end - start <= most)
-                    out.append((start, end, length, min(BINS, int(-log10(max(p_value(text[start:end]), 1e-300)) * BIN))))
+                    token = text[start:end]
+                    out.append((start, end, 2 * length + others, bin_of(writing_p(token)), bin_of(battery(token))))
     return out
 
 
 _SPAN = pa.list_(pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64())]))
-_CAND = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("len", pa.int32()), ("bin", pa.int32())]))
-_FOUND = "base array<struct<s:bigint,k:int,e:bigint>>, cand array<struct<s:bigint,e:bigint,len:int,bin:int>>"
+_CAND = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("class", pa.int32()), ("bin", pa.int32()), ("odd", pa.int32())]))
+_FOUND = "base array<struct<s:bigint,k:int,e:bigint>>, cand array<struct<s:bigint,e:bigint,class:int,bin:int,odd:int>>"
 
 
 def _scan_column(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -172,14 +247,14 @@ def _scan_column(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         part = offsets[i : j + 1] - offsets[i]
         raw = buf[offsets[i] : offsets[j]]
         seen = _has_run(raw, part, _ASSIGN_BYTES, 1) | _has_run(raw, part, _HEX_BYTES, MIN_HEX)
-        seen |= _has_run(raw, part, _TOKEN_BYTES, MIN_RANDOM) & _has_run(raw, part, _DIGIT_BYTES, 1)
+        seen |= _has_run(raw, part, _TOKEN_BYTES, MIN_RANDOM)
         if b"AKIA" in raw.tobytes():
             seen |= _has_run(raw, part, _TOKEN_BYTES, MIN_ACCESS)
         for d in np.flatnonzero(seen):
             text = raw[part[d] : part[d + 1]].tobytes().decode()
             spans = base_spans(text)
             base[i + d] = [dict(s=s, k=k, e=e) for s, k, e in spans]
-            cand[i + d] = [dict(zip(("s", "e", "len", "bin"), c, strict=True)) for c in candidates(text, spans)]
+            cand[i + d] = [dict(zip(("s", "e", "class", "bin", "odd"), c, strict=True)) for c in candidates(text, spans)]
     return pa.array(base, _SPAN), pa.array(cand, _CAND)
 
 
@@ -195,30 +270,32 @@ def _with_spans(rows: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return cols.mapInArrow(tidy(run), ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), _FOUND]))
 
 
-def thresholds(found: DataFrame, fdr: float = FDR) -> list[int]:
-    """For each length class the least bin to accept (Benjamini-Hochberg over all tests of the class).
+def _refuted(counts: np.ndarray, rate: float) -> int:
+    """Benjamini-Hochberg over tests counted by bin: the least bin whose hypotheses are refuted."""
+    at_least = counts[::-1].cumsum()[::-1]
+    for b in range(BINS + 1):  # p of the bin's lower edge against rate * rank / tests
+        if at_least[b] and 10 ** (-b / BIN) <= rate * at_least[b] / counts.sum():
+            return b
+    return BINS + 1
+
+
+def thresholds(found: DataFrame, fdr: float = FDR) -> list[tuple[int, int]]:
+    """For each class the least bin at which writing is refuted, and that at which randomness is, over all tests of the class.
 
-    found has the column cand. Only the counts of len(LENGTH_CLASSES) x (BINS + 1) cells reach the driver.
+    found has the column cand. Only the counts of 2 x len(LENGTH_CLASSES) x 2 x (BINS + 1) cells reach the driver.
     """
-    cells = found.select(F.explode("cand").alias("c")).groupBy("c.len", "c.bin").count().collect()
-    least = [BINS + 1] * len(LENGTH_CLASSES)
-    for k in range(len(LENGTH_CLASSES)):
-        counts = np.zeros(BINS + 1, np.int64)
-        for r in cells:
-            if r["len"] == k:
-                counts[r["bin"]] = r["count"]
-        at_least = counts[::-1].cumsum()[::-1]
-        for b in range(BINS + 1):  # the lowest accepted bin: p of its lower edge against fdr * rank / tests
-            if at_least[b] and 10 ** (-b / BIN) <= fdr * at_least[b] / counts.sum():
-                least[k] = b
-                break
-    return least
-
-
-def _accepted(least: list[int]) -> Column:
-    bar = F.array(*[F.lit(b) for b in least])
+    tests = found.select(F.explode("cand").alias("c")).select("c.class", F.explode(F.array(*(F.struct(F.lit(i).alias("test"), F.col(f"c.{b}").alias("bin")) for i, b in enumerate(("bin", "odd"))))).alias("t"))
+    counts = np.zeros((2 * len(LENGTH_CLASSES), 2, BINS + 1), np.int64)
+    for r in tests.groupBy("class", "t.test", "t.bin").count().collect():
+        counts[r["class"], r["test"], r["bin"]] = r["count"]
+    return [(_refuted(c[0], fdr), _refuted(c[1], BATTERY_FDR)) for c in counts]
+
+
+def _accepted(bars: list[tuple[int, int]]) -> Column:
+    least, most = (F.array(*[F.lit(b[i]) for b in bars]) for i in range(2))
+    bar = lambda bars, c: F.element_at(bars, c["class"] + 1)
     return F.transform(
-        F.filter("cand", lambda c: c["bin"] >= F.element_at(bar, c["len"] + 1)),
+        F.filter("cand", lambda c: (c["bin"] >= bar(least, c)) & (c["odd"] < bar(most, c))),
         lambda c: F.struct(c["s"].alias("s"), F.lit(len(KINDS) - 1).cast("int").alias("k"), c["e"].alias("e")),
     )
 
@@ -253,7 +330,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", fdr:
     The texts are scanned twice, first for the thresholds and then to be rewritten, so that no
     copy of them is kept. Null text stays null.
     """
-    least = thresholds(_with_spans(docs, text_col, []), fdr)
+    bars = thresholds(_with_spans(docs, text_col, []), fdr)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +339,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", fdr:
             base, cand = _scan_column(col)
             changed = {}
             for i, (xs, ys) in enumerate(zip(base.to_pylist(), cand.to_pylist(), strict=True)):
-                found = [(y["s"], y["e"]) for y in ys if y["bin"] >= least[y["len"]]]
+                found = [(y["s"], y["e"]) for y in ys if y["bin"] >= bars[y["class"]][0] and y["odd"] < bars[y["class"]][1]]
                 spans = sorted([(x["s"], x["e"]) for x in xs] + found)
                 if spans:
                     text, out, end, random = col[i].as_py(), [], 0, set(found)
