@@ -60,21 +60,28 @@ def boundary_score(tier: int, midnight: bool, replies_inside: bool, c: Config) -
     return score
 
 
+#: Rows of a block of an island.
+BLOCK = 1 << 16
+
+
 def _scan(c: Config):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by chat and number, islands whole: adds (segment start, method, score), each island's first row a start.
+        """Rows sorted by chat and number, blocks whole, with the open size before each block: adds (segment start, method, score).
 
-        What a scan carries from batch to batch is the island, the segment's start and its size.
+        The first row of an island, which has no open segment, is a start. What a scan carries from batch to batch is
+        the block, the segment's start and its size.
         """
-        island, begin, size = None, 0, 0
+        block, begin, size = None, 0, 0
         for rows in batches:
-            n, tier, midnight, reply = (rows[x].to_numpy() for x in ("n", "tier", "midnight", "reply_n"))
-            keys = list(zip(rows["chat_id"].to_numpy(), rows["island"].to_numpy(), strict=True))
+            n, tier, midnight, reply, opened = (rows[x].to_numpy() for x in ("n", "tier", "midnight", "reply_n", "opened"))
+            keys = list(zip(rows["chat_id"].to_numpy(), rows["island"].to_numpy(), rows["block"].to_numpy(), strict=True))
             start = np.empty(len(n), np.int64)
             method, score = np.zeros(len(n), np.int8), np.zeros(len(n), np.float32)
             for i in range(len(n)):
-                if keys[i] != island:
-                    island, begin, size = keys[i], n[i], 1
+                if keys[i] != block:
+                    block, begin, size = keys[i], n[i] - opened[i], opened[i]
+                if size == 0:
+                    size = 1
                 else:
                     s, m = boundary_score(tier[i], midnight[i], begin <= reply[i] < n[i], c), tier[i]
                     if size >= c.max_size:
@@ -84,11 +91,60 @@ def _scan(c: Config):
                     else:
                         size += 1
                 start[i] = begin
-            yield rows.drop(columns="island").assign(segment=start, method=method, score=score)
+            yield rows.drop(columns=["island", "block", "opened"]).assign(segment=start, method=method, score=score)
+
+    return run
+
+
+def _functions(c: Config):
+    cuts = np.array([[[boundary_score(t, bool(m), bool(i), c) >= np.float32(c.threshold) for i in (0, 1)] for m in (0, 1)] for t in range(4)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by chat and number, blocks whole: (chat_id, island, block, after: open size after the block by that before it).
+
+        All sizes before are followed at once; size 0 is an island's beginning.
+        """
+        block, sizes = None, None
+        for rows in batches:
+            n, tier, midnight, reply = (rows[x].to_numpy() for x in ("n", "tier", "midnight", "reply_n"))
+            keys, done = list(zip(*(rows[x].tolist() for x in ("chat_id", "island", "block")), strict=True)), []
+            for i in range(len(n)):
+                if keys[i] != block:
+                    if block:
+                        done.append((*block, sizes.tolist()))
+                    block, sizes = keys[i], np.arange(c.max_size + 1)
+                # a segment of size s began s rows ago
+                inside = (n[i] - sizes <= reply[i]) & (reply[i] < n[i])
+                cut = np.where(inside, cuts[tier[i], int(midnight[i]), 1], cuts[tier[i], int(midnight[i]), 0]) | (sizes >= c.max_size) | (sizes == 0)
+                sizes = np.where(cut, 1, sizes + 1)
+            yield _functions_of(done)
+        yield _functions_of([(*block, sizes.tolist())] if block else [])
 
     return run
 
 
+def _functions_of(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["chat_id", "island", "block", "after"])
+
+
+def _with_open_size(rows: DataFrame, c: Config) -> DataFrame:
+    """rows (with chat_id, island, n ...) with block and opened, the size of the open segment before the block.
+
+    Only islands of more than one block take the pass for it.
+    """
+    columns = rows.columns
+    rows = rows.withColumn("block", F.expr(f"(n - island) div {BLOCK}"))
+    long = rows.groupBy("chat_id", "island").agg(F.max("block").alias("last")).where("last > 0")
+    first = rows.join(long, ["chat_id", "island"]).where("block < last").drop("last")
+    first = first.repartition("chat_id", "island", "block").sortWithinPartitions("chat_id", "n").select("chat_id", "island", "block", "n", "tier", "midnight", "reply_n")
+    functions = first.mapInPandas(_functions(c), "chat_id long, island long, block long, after array<int>")
+    # from block to block, beginning with no open segment
+    each = functions.groupBy("chat_id", "island").agg(F.array_sort(F.collect_list(F.struct("block", "after"))).alias("f"))
+    sizes = F.aggregate("f", F.array(F.lit(0)), lambda known, f: F.concat(known, F.array(F.get(f["after"], F.element_at(known, -1)))))
+    opened = each.select("chat_id", "island", F.posexplode(sizes).alias("block", "opened")).withColumn("block", F.col("block").cast("long"))
+    return rows.join(opened, ["chat_id", "island", "block"], "left").select(*columns, "block", F.coalesce("opened", F.lit(0)).cast("long").alias("opened"))
+
+
 def _numbered(messages: DataFrame, hard_us: int | None) -> DataFrame:
     """messages with n (row number in the chat), epi__at (time of the row before) and island (n of its first row).
 
@@ -115,7 +171,7 @@ def segment_episodes(messages: DataFrame, config: Config | None = None) -> DataF
     """messages with segment (row number of its first message), method and confidence, tiny segments merged.
 
     A lone segment of fewer than min_size messages joins the segment before it; a chat's first
-    segment always stays. An island is scanned by one task, batch after batch.
+    segment always stays. An island is scanned in blocks of BLOCK rows.
     """
     c = config or Config()
     cols = ("id", "telegram_id", "chat_id", "sender_id", "reply_to_id", "sent_at")
@@ -127,7 +183,7 @@ def segment_episodes(messages: DataFrame, config: Config | None = None) -> DataF
     targets = rows.select("chat_id", F.col(c.reply_key).alias("reply_to_id"), F.col("n").alias("reply_n")).where("reply_to_id != 0")
     targets = targets.groupBy("chat_id", "reply_to_id").agg(F.max("reply_n").alias("reply_n"))
     rows = rows.join(targets, ["chat_id", "reply_to_id"], "left").withColumn("reply_n", F.coalesce("reply_n", F.lit(-1))).select(*cols, "n", "tier", "midnight", "reply_n", "island")
-    ordered = rows.repartition("chat_id", "island").sortWithinPartitions("chat_id", "n")
+    ordered = _with_open_size(rows, c).repartition("chat_id", "island", "block").sortWithinPartitions("chat_id", "n")
     types = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "island"} | {"segment": "long", "method": "tinyint", "score": "float"}
     rows = ordered.mapInPandas(_scan(c), ", ".join(f"{n} {t}" for n, t in types.items()))
 

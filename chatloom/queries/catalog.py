@@ -378,11 +378,54 @@ def utterance_summary(v: ChatView) -> DataFrame:
 # episodes
 
 
-@query()
+# one step a message: what is open before it (its first row and size), and whether the message begins anew
+_SEGMENTS = f"""{BASE.replace("WITH ", "WITH RECURSIVE ", 1)},
+live AS (SELECT id, telegram_id, chat_id, sender_id, reply_to_id, sent_us, row_number() OVER (PARTITION BY chat_id ORDER BY sent_us, telegram_id, id) AS n FROM messages WHERE in_memory_window AND NOT is_deleted),
+target AS (SELECT chat_id, telegram_id, max(n) AS reply_n FROM live WHERE telegram_id <> 0 GROUP BY ALL),
+gaps AS (SELECT l.chat_id, l.n, coalesce(t.reply_n, -1) AS reply_n, l.sent_us - lag(l.sent_us) OVER w AS gap, l.sent_us // 86400000000 <> lag(l.sent_us) OVER w // 86400000000 AS midnight
+  FROM live l LEFT JOIN target t ON t.chat_id = l.chat_id AND t.telegram_id = l.reply_to_id WINDOW w AS (PARTITION BY l.chat_id ORDER BY l.n)),
+tiers AS (SELECT *, CASE WHEN gap >= 14400000000 THEN 'time_gap_hard' WHEN gap >= 3600000000 THEN 'time_gap_medium' WHEN gap >= 1200000000 THEN 'time_gap_soft' ELSE '' END AS tier FROM gaps),
+based AS (SELECT *, CAST(CASE tier WHEN 'time_gap_hard' THEN 0.90 WHEN 'time_gap_medium' THEN 0.48 WHEN 'time_gap_soft' THEN 0.18 ELSE 0 END AS FLOAT) AS base FROM tiers),
+lowered AS (SELECT *, greatest(base - CAST(0.38 AS FLOAT), CAST(0 AS FLOAT)) AS low FROM based),
+rule AS (SELECT chat_id, n, reply_n, tier,
+  CASE WHEN midnight THEN CAST(least(CAST(base AS DOUBLE) * CAST(CAST(1.40 AS FLOAT) AS DOUBLE), 1.0) AS FLOAT) ELSE base END AS outside,
+  CASE WHEN midnight THEN CAST(least(CAST(low AS DOUBLE) * CAST(CAST(1.40 AS FLOAT) AS DOUBLE), 1.0) AS FLOAT) ELSE low END AS inside FROM lowered),
+walk AS (
+  SELECT chat_id, n, n AS begin_, CAST(1 AS BIGINT) AS size, 'initial' AS method, CAST(1 AS FLOAT) AS score FROM rule WHERE n = 1
+  UNION ALL
+  SELECT chat_id, n, CASE WHEN full_ OR s >= CAST(0.50 AS FLOAT) THEN n ELSE begin_ END, CASE WHEN full_ OR s >= CAST(0.50 AS FLOAT) THEN 1 ELSE size + 1 END,
+    CASE WHEN full_ THEN 'size_limit' WHEN s >= CAST(0.50 AS FLOAT) THEN tier ELSE method END, CASE WHEN full_ THEN CAST(1 AS FLOAT) WHEN s >= CAST(0.50 AS FLOAT) THEN s ELSE score END
+  FROM (SELECT r.chat_id, r.n, r.tier, w.begin_, w.size, w.method, w.score, w.size >= 60 AS full_, CASE WHEN r.reply_n >= w.begin_ AND r.reply_n < r.n THEN r.inside ELSE r.outside END AS s
+    FROM walk w JOIN rule r ON r.chat_id = w.chat_id AND r.n = w.n + 1)),
+segs AS (SELECT chat_id, begin_, count(*) AS size, any_value(method) AS method, any_value(score) AS score FROM walk GROUP BY ALL),
+into_ AS (SELECT *, last_value(CASE WHEN size >= 2 OR begin_ = 1 THEN begin_ END IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY begin_ ROWS UNBOUNDED PRECEDING) AS segment FROM segs),
+heads AS (SELECT i.chat_id, i.begin_, i.segment, h.method, h.score FROM into_ i JOIN segs h ON h.chat_id = i.chat_id AND h.begin_ = i.segment),
+member AS (SELECT l.*, h.segment, h.method, h.score FROM live l JOIN walk w ON w.chat_id = l.chat_id AND w.n = l.n JOIN heads h ON h.chat_id = w.chat_id AND h.begin_ = w.begin_)"""
+
+
+@query(
+    _SEGMENTS
+    + """ SELECT episode_id, chat_id, started_at, ended_at, CAST(round((ended_at - started_at) / 1e6) AS BIGINT) AS duration_secs,
+  CASE WHEN message_count = 1 AND segmented_by = 'initial' THEN 'monologue' WHEN people >= 3 THEN 'group' WHEN people = 1 THEN 'monologue' WHEN ended_at - started_at > 86400000000 THEN 'async'
+    WHEN replies THEN 'thread' WHEN ended_at - started_at < 300000000 AND message_count >= 4 THEN 'burst' ELSE 'dialogue' END AS episode_type,
+  message_count, participant_ids, segmented_by, round(CAST(score AS DOUBLE), 6) AS confidence
+FROM (SELECT arg_min(id, n) AS episode_id, chat_id, min(sent_us) AS started_at, max(sent_us) AS ended_at, count(*) AS message_count, count(DISTINCT sender_id) FILTER (WHERE sender_id <> 0) AS people,
+    coalesce(array_to_string(list_sort(list(DISTINCT sender_id) FILTER (WHERE sender_id <> 0)), ','), '') AS participant_ids, bool_or(coalesce(reply_to_id, 0) <> 0) AS replies, any_value(method) AS segmented_by, any_value(score) AS score
+  FROM member GROUP BY chat_id, segment)""",
+    view=False,
+)
 def segment_episodes(v: ChatView) -> DataFrame:
-    """A sequential scan: tested against a plain loop."""
-    live = episodes.unepisoded_messages(v.messages, v.links.where("episode_id < 0"))
-    return episodes.build_episodes(episodes.segment_episodes(live)).withColumn("participant_ids", F.array_join(F.transform("participant_ids", lambda x: x.cast("string")), ","))
+    return episodes.build_episodes(v.segmented).withColumn("participant_ids", F.array_join(F.transform("participant_ids", lambda x: x.cast("string")), ","))
+
+
+@query(_SEGMENTS + " SELECT m.id AS message_id, f.id AS episode_id, m.n - m.segment AS position FROM member m JOIN live f ON f.chat_id = m.chat_id AND f.n = m.segment", view=False)
+def episode_links(v: ChatView) -> DataFrame:
+    return episodes.episode_links(v.segmented)
+
+
+@query("SELECT m.id FROM messages m LEFT JOIN links l ON l.message_id = m.id WHERE m.in_memory_window AND NOT m.is_deleted AND l.episode_id % 2 = 1")
+def unepisoded_messages(v: ChatView) -> DataFrame:
+    return episodes.unepisoded_messages(v.messages, v.links.where("episode_id % 2 = 0")).select("id")
 
 
 _EPISODE_DOCS = """SELECT episode_id, string_agg(line, chr(10) ORDER BY telegram_id) AS semantic_text FROM (

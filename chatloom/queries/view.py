@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chats, layers, sessions
+from ..operators import chats, episodes, layers, sessions
 from ..operators.ordered import with_row_number
 from ..sources.scratch import stored
 
@@ -167,6 +167,11 @@ class ChatView:
     def episodes(self) -> DataFrame:
         return self.links.groupBy("episode_id", "chat_id").agg(F.count("*").alias("message_count"), F.min("sent_at").alias("started_at"), F.max("sent_at").alias("ended_at"))
 
+    @cached_property
+    def segmented(self) -> DataFrame:
+        """The segmenter's own episodes of all messages, unlike those of links."""
+        return episodes.segment_episodes(episodes.unepisoded_messages(self.messages, self.links.where("episode_id < 0")))
+
     @cached_property
     def utterance_input(self) -> DataFrame:
         return sessions.utterance_input(self.messages, self.semantic, self.chats)

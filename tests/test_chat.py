@@ -79,8 +79,10 @@ def plain_segments(rows, c):
     return [(s[0][0][0], len(s[0]), s[1], round(float(s[2]), 5)) for s in out]
 
 
+@pytest.mark.parametrize("block", [1 << 16, 7, 1])
 @pytest.mark.parametrize(("seed", "config"), [(1, episodes.Config()), (2, episodes.Config(max_size=5)), (3, episodes.Config(max_size=3, reply_bonus=0.6))])
-def test_episodes_against_a_loop(spark, seed, config):
+def test_episodes_against_a_loop(spark, monkeypatch, seed, config, block):
+    monkeypatch.setattr(episodes, "BLOCK", block)
     df, rows = random_messages(spark, seed)
     expected = sorted(x for c in (1, 2, 3) for x in plain_segments([r for r in rows if r[2] == c], config))
     segmented = episodes.segment_episodes(df, config).cache()
