@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators import chats, episodes, layers, prompts, ranking, reports, search, sessions, upsert, vectors, windows
 from ..plans import workloads
-from ..sources import records, scratch
+from ..sources import records, scratch, store
 from ..streaming import ingest
 from .view import BASE, EMOJI_CLASS, WHITE_CLASS, ChatView
 
@@ -785,7 +785,20 @@ def style_prompt(v: ChatView) -> DataFrame:
     return prompts.style_prompt(reports.style_profile(v.messages, v.signals)).select("style_prompt")
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE turns AS (SELECT conv_id, role = 'assistant' AS own, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+    trim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', ' ', 'g'), ' ') AS x, regexp_replace(text, '^WHITE|WHITE$', '', 'g') AS bare FROM conversations),
+said AS (SELECT conv_id, list_slice(list({'x': x, 'bare': bare} ORDER BY i), -8, -1) AS seen FROM turns WHERE own GROUP BY conv_id),
+fold AS (
+  SELECT t.conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS kept, list_append(coalesce(s.seen, []), {'x': t.x, 'bare': t.bare}) AS seen FROM turns t LEFT JOIN said s ON s.conv_id = t.conv_id WHERE t.i = 1
+  UNION ALL
+  SELECT conv_id, i, CASE WHEN old THEN kept ELSE kept + 1 END, CASE WHEN old THEN seen ELSE list_append(seen, {'x': x, 'bare': bare}) END FROM (
+    SELECT t.conv_id, t.i, t.x, t.bare, f.kept, f.seen, len(list_filter(f.seen, lambda s: CASE WHEN s.x = '' OR t.x = '' THEN s.bare = t.bare
+        WHEN strlen(t.x) > strlen(s.x) THEN contains(t.x, s.x) AND length(s.x) * 10 >= length(t.x) * 6 ELSE contains(s.x, t.x) AND length(t.x) * 10 >= length(s.x) * 6 END)) > 0 AS old
+    FROM fold f JOIN turns t ON t.conv_id = f.conv_id AND t.i = f.i + 1))
+SELECT conv_id, max(i) AS lines, max(kept) AS kept FROM fold GROUP BY conv_id""".replace("WHITE", WHITE_CLASS),
+    view=False,
+)
 def drop_repeats(v: ChatView) -> DataFrame:
     log = v.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     rows = log.select(
@@ -857,6 +870,17 @@ def write_layers(v: ChatView) -> DataFrame:
     return v.spark.read.parquet(path).select("id", "chat_id", "state")
 
 
+@query("SELECT id, chat_id, telegram_id, CASE WHEN id % 3 = 0 THEN 'second' ELSE 'first' END AS state FROM messages WHERE id % 2 = 0 OR id % 3 = 0")
+def layer_store(v: ChatView) -> DataFrame:
+    """Two batches that share buckets; the first comes again after the second, and changes nothing."""
+    kept = store.LayerStore(v.spark, scratch.new_dir(v.spark, "store"), ["chat_id", "telegram_id"], ["state"], "chat_id")
+    m = v.messages.select("id", "chat_id", "telegram_id")
+    first, second = m.where("id % 2 = 0").withColumn("state", F.lit("first")), m.where("id % 3 = 0").withColumn("state", F.lit("second"))
+    for batch, number in ((first, 1), (second, 2), (first, 1), (second, 2)):
+        kept.merge(batch, number)
+    return kept.read().select("id", "chat_id", "telegram_id", "state")
+
+
 # streams
 
 
@@ -887,6 +911,48 @@ def stream_dedup(v: ChatView) -> DataFrame:
     return _streamed(v, "dedup", lambda m: ingest.stream_dedup(twice(m), "876000 hours")).select("id", "chat_id", "telegram_id")
 
 
+@query(f", {_KINDS} SELECT s.message_id, s.normalized_text, s.token_count, (SELECT count(*) FROM kinds) AS signals FROM semantic s")
+def stream_store(v: ChatView) -> DataFrame:
+    """Layers of a stream of several batches, merged into their stores."""
+    where, source = scratch.new_dir(v.spark, "stream-store"), scratch.new_dir(v.spark, "stream-store-in")
+    v.messages.repartition(3).write.parquet(source)
+    stores = ingest.store_layers(v.messages, f"{where}/layers")
+    stream = ingest.stream_messages(v.spark, source, v.messages.schema, files_per_batch=1)
+    stream.writeStream.foreachBatch(store.store_sink(stores, ingest.batch_layers)).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    signals = stores["signals"].read().agg(F.count("*").alias("signals"))
+    return stores["semantic"].read().select("message_id", "normalized_text", "token_count").crossJoin(F.broadcast(signals))  # one row
+
+
+# a stream's watermark when all is read: the latest time less the lateness, in whole milliseconds
+_MARK = "mark AS (SELECT max(sent_us) // 1000 * 1000 - 600000000 AS mark FROM ROWS)"
+
+
+@query(
+    f""", {_MARK.replace("ROWS", "messages")},
+runs AS (SELECT *, sum(new_) OVER (PARTITION BY chat_id, sender_id ORDER BY sent_us, id ROWS UNBOUNDED PRECEDING) AS g FROM (
+  SELECT chat_id, sender_id, id, sent_us, CASE WHEN sent_us - lag(sent_us) OVER (PARTITION BY chat_id, sender_id ORDER BY sent_us, id) <= 120000000 THEN 0 ELSE 1 END AS new_ FROM messages))
+SELECT chat_id, sender_id, min(sent_us) AS started_at, max(sent_us) + 120000000 AS ended_at, count(*) AS n FROM runs, mark GROUP BY chat_id, sender_id, g, mark HAVING max(sent_us) + 120000000 <= mark"""
+)
+def stream_burst_counts(v: ChatView) -> DataFrame:
+    """Sessions that the watermark has closed."""
+    return _streamed(v, "bursts", ingest.stream_burst_counts)
+
+
+@query(
+    f""", {_MARK.replace("ROWS", "inp")},
+after_ AS (SELECT u.*, (SELECT min(i.sent_us) FROM inp i WHERE i.chat_id = u.chat_id AND i.sent_us > u.ended_us) AS next_us FROM utt u)
+SELECT chat_id, first_message_id, author_id, is_outgoing, started_us, ended_us, message_count, text, voice_count FROM after_, mark WHERE next_us < mark OR ended_us + 120000000 < mark"""
+)
+def stream_utterances(v: ChatView) -> DataFrame:
+    """Turns that the next message or the watermark has closed."""
+    where, source = scratch.new_dir(v.spark, "stream-turns"), scratch.new_dir(v.spark, "stream-turns-in")
+    rows = v.utterance_input.select("chat_id", "id", "telegram_id", "author_id", "sent_at", "normalized_text", "token_count", "is_outgoing", "media_kind")
+    rows.write.parquet(source)
+    out = ingest.stream_utterances(ingest.stream_messages(v.spark, source, rows.schema))
+    out.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(out.schema).parquet(f"{where}/rows")
+
+
 # reports
 
 _R = "FROM messages m JOIN chats c ON c.id = m.chat_id LEFT JOIN links l ON l.message_id = m.id"

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.layers import build_semantic, extract_signals
 from ..operators.upsert import latest, upsert
+from ..sources.store import LayerStore
 
 
 def stream_messages(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -32,21 +33,35 @@ def signal_stream(messages: DataFrame) -> DataFrame:
     return extract_signals(messages)
 
 
+#: Keys of the layers, and what an update leaves as it is.
+KEYS = {"messages": ["chat_id", "telegram_id"], "semantic": ["message_id"], "signals": ["message_id", "signal_type"]}
+KEEP = {"messages": {"sender_id", "reply_to_id", "sent_at", "in_memory_window"}, "semantic": set(), "signals": set()}
+
+
+def batch_layers(batch: DataFrame) -> dict[str, DataFrame]:
+    """A batch's messages, each once, and the layers made of them."""
+    once = latest(batch, KEYS["messages"])
+    return {"messages": once, "semantic": build_semantic(once), "signals": extract_signals(once)}
+
+
+def store_layers(messages: DataFrame, path: str) -> dict[str, LayerStore]:
+    """Stores below path for the layers of a stream of messages."""
+    spread = {"messages": "chat_id", "semantic": "message_id", "signals": "message_id"}
+    columns = {"messages": messages.columns, "semantic": build_semantic(messages).columns, "signals": extract_signals(messages).columns}
+    return {n: LayerStore(messages.sparkSession, f"{path}/{n}", KEYS[n], [c for c in columns[n] if c not in KEYS[n] and c not in KEEP[n]], spread[n]) for n in KEYS}
+
+
 def layer_sink(base_path: str, read: Callable[[SparkSession, str, int], DataFrame | None], write: Callable[[DataFrame, str, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that upserts a batch of messages and its layers.
 
     read(spark, layer, batch) gives the layer as it was before the batch, or None; write(df, layer,
     batch) must be idempotent for a batch number, as a batch may be run again.
     """
-    keys = {"messages": ["chat_id", "telegram_id"], "semantic": ["message_id"], "signals": ["message_id", "signal_type"]}
-    keep = {"messages": {"sender_id", "reply_to_id", "sent_at", "in_memory_window"}, "semantic": set(), "signals": set()}
-
     def run(batch: DataFrame, number: int) -> None:
-        once = latest(batch, keys["messages"])
-        for name, df in (("messages", once), ("semantic", build_semantic(once)), ("signals", extract_signals(once))):
+        for name, df in batch_layers(batch).items():
             old = read(batch.sparkSession, f"{base_path}/{name}", number)
-            update = [c for c in df.columns if c not in keys[name] and c not in keep[name]]
-            write(df if old is None else upsert(old, df, keys[name], update), f"{base_path}/{name}", number)
+            update = [c for c in df.columns if c not in KEYS[name] and c not in KEEP[name]]
+            write(df if old is None else upsert(old, df, KEYS[name], update), f"{base_path}/{name}", number)
 
     return run
 
