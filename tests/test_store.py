@@ -14,7 +14,7 @@ def rows_of(df):
 
 def test_merges_equal_a_dict(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "BUCKETS", 4)
-    monkeypatch.setattr(store, "ROWS", 20)
+    monkeypatch.setattr(store, "ROWS", 8)
     rng = random.Random(2)
     kept = store.LayerStore(spark, f"file://{tmp_path}/s", ["k", "part"], ["a"], "part")
     assert kept.read() is None
