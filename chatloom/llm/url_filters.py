@@ -64,12 +64,27 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, segments)))
 
 
+def token_items(sets: DataFrame) -> DataFrame:
+    """(token, item): tokens that occur in the very same of the sets (tokens) share an item, their smallest token.
+
+    Where they occur is compared by two 64-bit hashes over the distinct sets and their number.
+    """
+    rows = sets.select("tokens").distinct().select(F.explode("tokens").alias("token"), F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"))
+    where = rows.groupBy("token").agg(F.struct(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).alias("place"))
+    return where.groupBy("place").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens")).select(F.explode("tokens").alias("token"), "item")
+
+
+def to_items(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """(set_key, tokens) of sets (set_key, tokens), each key once, with items in place of tokens; tokens without one go."""
+    posts = sets.select("set_key", F.explode("tokens").alias("token")).join(items, "token")
+    return posts.groupBy("set_key").agg(F.collect_set("item").alias("tokens"))
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.2, min_lift: float = 1.2) -> DataFrame:
     """Rules (tokens, confidence) that predict blocking, from labelled (tokens, blocked boolean).
 
     Kept: support >= min_support of all labelled urls, confidence >= min_confidence and at least
-    min_lift times the share of blocked urls, whatever the number of tokens. Support bounds the
-    rules: a url of m tokens has at most 2^m combinations, so there are at most that many / min_support.
+    min_lift times the share of blocked urls, whatever the number of tokens.
     """
     rows = labelled.where(F.col("blocked").isNotNull() & F.col("tokens").isNotNull())
     # the label is an item like the rest
@@ -136,11 +151,18 @@ def judge_urls(
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_key"), host.alias("host"), path.alias("path")).withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
-    known = urls.join(labels.select(F.col("id").alias("page_key"), "blocked"), "page_key")
+    keyed = urls.withColumn("set_key", F.md5(F.array_join(F.array_sort("tokens"), " ")))
+    # tokens that always come together are one item, else m of them were 2^m combinations of one meaning
+    known = keyed.join(labels.select(F.col("id").alias("page_key"), "blocked"), "page_key").select("set_key", "tokens", "blocked")
+    items = materialise(token_items(known.where(F.col("blocked").isNotNull())), "url-items")
+    merged = to_items(known.groupBy("set_key").agg(F.first("tokens").alias("tokens")), items)
+    known = known.select("set_key", "blocked").join(merged, "set_key", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     # mined once, read several times
     mined = materialise(mine_rules(known, **mining).where(F.col("confidence") >= block_confidence), "url-rules")
-    keyed = urls.withColumn("set_key", F.md5(F.array_join(F.array_sort("tokens"), " ")))
-    best = match_rules(keyed, drop_dominated(mined))
+    rules_left = drop_dominated(mined)
+    used = items.join(rules_left.select(F.explode("tokens").alias("item")).distinct(), "item", "left_semi")
+    sets = to_items(keyed.groupBy("set_key").agg(F.first("tokens").alias("tokens")), used)
+    best = match_rules(sets, rules_left)
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     return keyed.join(best, "set_key", "left").select(
         F.col("page_key").alias(id_col),
