@@ -302,3 +302,12 @@ def test_layers_on_disk(spark, tmp_path):
     records.write_layer(df, str(tmp_path / "l"))
     records.write_layer(df.where("chat_id = 1").withColumn("v", F.col("v") * 10), str(tmp_path / "l"))
     assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "l")).collect()) == [0, 2, 3, 5, 6, 8, 10, 40, 70]
+
+
+def test_ranks_of_whole_lists(spark):
+    rng = random.Random(8)
+    rows = [(rng.randint(1, 3), i, rng.choice([rng.uniform(-2, 2), rng.choice([0.0, -0.0, 0.5, 1.0, -1.0]), rng.uniform(0, 1e-300), rng.uniform(0, 1e12)])) for i in range(900)]
+    got = {(r.query_id, r.first_message_id): r["rank"] for r in ranking.with_rank(spark.createDataFrame(rows, "query_id long, first_message_id long, score double").repartition(5)).collect()}
+    for q in (1, 2, 3):
+        own = sorted((-s, i) for k, i, s in rows if k == q)
+        assert [got[q, i] for _, i in own] == list(range(1, len(own) + 1))
