@@ -40,6 +40,8 @@ SLICE = 1 << 22
 RANGE = 1 << 21
 #: Bits of the bitmap's index: 2^26 bits are 8 MB, whatever the number of phrases.
 BITMAP = 26
+#: Parts of a lang's phrases that are ranked on their own first.
+DEALT = 64
 
 _U = np.uint64
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -292,9 +294,13 @@ def phrases(docs: DataFrame, longest: int = 4, min_count: int = 30, top: int = 2
     longer = candidates.where(F.size("gram") > 2).select("lang", F.col("a").alias("longer"), F.explode(inside).alias("gram")).groupBy("lang", "gram").agg(F.max("longer").alias("longer"))
     kept = scored.join(longer, ["lang", "gram"], "left").where(F.col("longer").isNull() | (5 * F.col("longer") < 4 * F.col("a")))
 
-    # names only for those that can be among the first
+    # names only for those that can be among the first: of each of DEALT parts of a lang, then of all of it, so that what
+    # meets in one task does not grow with the number of tasks
     by = [F.desc("score"), F.desc("a")]
-    near = materialise(kept.withColumn("near", F.rank().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("near") <= top).drop("near"), "ranked")
+    near = kept.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(DEALT)))
+    for keys in (["lang", "part"], ["lang"]):
+        near = near.withColumn("near", F.rank().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("near") <= top)
+    near = materialise(near.drop("near", "part"), "ranked")
     placed = near.select("lang", "gram", F.posexplode("gram").alias("place", "id")).join(words.select("lang", "id", "word"), ["lang", "id"])
     named = placed.groupBy("lang", "gram").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     ranked = near.join(named, ["lang", "gram"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by, "phrase")))
