@@ -55,9 +55,9 @@ def hybrid_retrieval(queries: DataFrame, query_vectors: DataFrame, utterances: D
     return ranking.retrieve(queries, utterances, scorer, limit)
 
 
-def ask(queries: DataFrame, dialog: DataFrame, utterances: DataFrame) -> DataFrame:
+def ask(queries: DataFrame, dialog: DataFrame, utterances: DataFrame, scorer: ranking.Scorer = ranking.bm25_reranked) -> DataFrame:
     """(query_id, prompt) with the person's own turns as memories: 30 are fetched, up to 5 kept."""
-    hits = ranking.retrieve(queries, utterances, limit=30)
+    hits = ranking.retrieve(queries, utterances, scorer, limit=30)
     return prompts.build_prompts(queries, ranking.select_memories(hits), dialog)
 
 

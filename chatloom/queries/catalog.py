@@ -765,13 +765,30 @@ def build_prompts(v: ChatView) -> DataFrame:
     return prompts.build_prompts(asked, none, dialog)
 
 
-@query()
+@query(
+    rf""", asked AS (SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations GROUP BY conv_id),
+qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.replace("text", "query")}) AS term FROM asked) GROUP BY ALL),
+d AS (SELECT first_message_id AS id, {_TOKENS} AS tokens FROM utt),
+c AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT query_id, id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), c GROUP BY query_id, id),
+sz AS (SELECT first_message_id AS id, len({_DOC_WORDS}) AS words, is_outgoing, started_us, chat_id, text FROM utt),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, id, round(score * (least(words, 100) / (least(words, 100) + 10.0)), 6) AS score, words, is_outgoing, started_us, chat_id, text FROM bm JOIN sz USING (id) WHERE score > 0 AND words > 0) WHERE score > 0),
+memories AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM hits WHERE rank <= 30 AND is_outgoing AND words >= 4),
+known AS (SELECT query_id, string_agg(concat(k, '. [', strftime(make_timestamp(started_us), '%Y-%m'), ', чат «chat-', chat_id, '»]: ', text, chr(10)), '' ORDER BY k) AS lines FROM memories WHERE k <= 5 GROUP BY query_id),
+said AS (SELECT conv_id AS query_id, string_agg(concat(CASE WHEN role = 'assistant' THEN 'он' ELSE 'собеседник' END, ': ', text, chr(10)), '' ORDER BY turn) AS lines FROM conversations GROUP BY conv_id)
+SELECT a.query_id, concat(CASE WHEN k.lines IS NOT NULL THEN concat('{prompts.MEMORIES_HEAD.rstrip()}', chr(10), k.lines, chr(10)) ELSE '' END, 'Текущий диалог:', chr(10), s.lines, chr(10), 'Собеседник пишет ему: ', a.query, chr(10), 'Ответь от его лица.') AS prompt
+FROM asked a JOIN said s USING (query_id) LEFT JOIN known k USING (query_id)"""
+)
 def ask_prompts(v: ChatView) -> DataFrame:
     """Every conversation asks with its first turn."""
     log = v.table("conversations")
     asked = log.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("query"))
     dialog = log.select(F.col("conv_id").alias("query_id"), "turn", (F.col("role") == "assistant").alias("from_persona"), "text")
-    return workloads.ask(asked, dialog, v.utterances)
+    scorer = lambda q, u: ranking.bm25_reranked(q, u).withColumn("score", F.round("score", 6))
+    return workloads.ask(asked, dialog, v.utterances, scorer)
 
 
 @query(
