@@ -7,6 +7,7 @@ as longs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1100,9 +1101,33 @@ def empty_high_score_chats(v: ChatView) -> DataFrame:
     return reports.empty_high_score_chats(v.messages, v.chats)
 
 
-@query("SELECT 'empty_high_score_chats' AS warning")
+@query(
+    """, m_ AS (SELECT count(*) AS m, count(*) FILTER (WHERE in_memory_window) AS w, count(*) FILTER (WHERE in_memory_window AND telegram_id % 20 = 1) AS few FROM messages WHERE NOT is_deleted),
+e_ AS (SELECT count(*) AS e, count(*) FILTER (WHERE episode_id % 1000000 = 0) AS heads FROM episodes),
+s_ AS (SELECT count(*) AS s FROM items),
+x_ AS (SELECT count(*) AS x FROM chats WHERE relevance_score > 0.8 AND id NOT IN (SELECT chat_id FROM messages WHERE NOT is_deleted)),
+variants AS (
+  SELECT 'whole' AS variant, m, w, s, e, x FROM m_, e_, s_, x_ UNION ALL SELECT 'narrow', m, few, s, e, x FROM m_, e_, s_, x_ UNION ALL SELECT 'wide', m, m, s, e, x FROM m_, e_, s_, x_
+  UNION ALL SELECT 'bare', m, w, 0, 0, x FROM m_, x_ UNION ALL SELECT 'sparse', m, w, s, heads, x FROM m_, e_, s_, x_ UNION ALL SELECT 'kept', m, w, s, e, 0 FROM m_, e_, s_),
+rules AS (SELECT variant, unnest([
+  CASE WHEN m > 0 AND 100.0 * w / m < 10 THEN 'few_in_window' END, CASE WHEN m > 0 AND 100.0 * w / m > 95 THEN 'nearly_all_in_window' END, CASE WHEN s = 0 THEN 'no_signals' END,
+  CASE WHEN m > 100 AND e = 0 THEN 'no_episodes' END, CASE WHEN m > 500 AND e > 0 AND e / m < 0.005 THEN 'few_episodes' END, CASE WHEN x > 0 THEN 'empty_high_score_chats' END]) AS warning FROM variants)
+SELECT variant, warning FROM rules WHERE warning IS NOT NULL"""
+)
 def validation_warnings(v: ChatView) -> DataFrame:
-    return reports.validation_warnings(v.messages, v.chats, v.episodes, v.signals)
+    """The stored layers as they are, and with each fault that a rule looks for."""
+    m, c, e, s = v.messages, v.chats, v.episodes, v.signals
+    none = F.lit(False)
+    variants = {
+        "whole": (m, c, e, s),
+        "narrow": (m.withColumn("in_memory_window", F.expr("in_memory_window and telegram_id % 20 = 1")), c, e, s),
+        "wide": (m.withColumn("in_memory_window", F.lit(True)), c, e, s),
+        "bare": (m, c, e.where(none), s.where(none)),
+        "sparse": (m, c, e.where("episode_id % 1000000 = 0"), s),
+        "kept": (m, c.join(m.where("not is_deleted").select(F.col("chat_id").alias("id")).distinct(), "id", "left_semi"), e, s),
+    }
+    found = [reports.validation_warnings(*layers_).select(F.lit(name).alias("variant"), "warning") for name, layers_ in variants.items()]
+    return reduce(DataFrame.union, found)
 
 
 _INSPECT = """SELECT c.id AS chat_id, c.title, c.personality_surface, round(c.relevance_score, 6) AS relevance_score, count(m.id) AS total, count(*) FILTER (WHERE m.is_outgoing) AS outgoing,
