@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values: (type, condition) -> score, surface, reason. Creators are tried before admins.
+# Fixed values: (type, condition) -> score, surface; the reasons are this library's own words. Creators are tried before admins.
 SCORES = (
-    ("saved_messages", None, 1.00, "self_expression", "saved messages: primary self-expression surface — notes, links, reminders to self"),
-    ("private", "is_bot", 0.50, "tool_interaction", "bot dialog: reveals tool usage, task automation, and service interaction patterns"),
-    ("private", None, 0.85, "interpersonal", "private 1:1 conversation: highest interpersonal signal density"),
-    ("group", "is_creator", 0.80, "social", "group created by user: social leadership style and peer dynamics"),
-    ("group", "is_admin", 0.70, "social", "group managed by user: moderation voice and communication authority"),
-    ("group", None, 0.60, "social", "group participation: peer communication patterns"),
-    ("supergroup", "is_creator", 0.75, "social", "supergroup created by user: community leadership and public communication style"),
-    ("supergroup", "is_admin", 0.65, "social", "supergroup admin: moderation style and public-facing communication"),
-    ("supergroup", None, 0.55, "social", "supergroup member: community participation patterns"),
-    ("channel", "is_creator", 0.90, "self_expression", "own channel (creator): long-form self-expression, worldview, public persona — high personality signal"),
-    ("channel", "is_admin", 0.75, "self_expression", "administered channel: editorial voice and curated content — reflects worldview"),
-    ("channel", None, 0.10, "passive_consumption", "subscribed broadcast channel: read-only passive consumption — no user authorship"),
+    ("saved_messages", None, 1.00, "self_expression", "what the owner keeps for later"),
+    ("private", "is_bot", 0.50, "tool_interaction", "a bot: shows which services are used, and how"),
+    ("private", None, 0.85, "interpersonal", "two people talking: most of what is said is about them"),
+    ("group", "is_creator", 0.80, "social", "the owner founded this group"),
+    ("group", "is_admin", 0.70, "social", "the owner looks after this group"),
+    ("group", None, 0.60, "social", "one of a group"),
+    ("supergroup", "is_creator", 0.75, "social", "the owner founded this large group"),
+    ("supergroup", "is_admin", 0.65, "social", "the owner looks after this large group"),
+    ("supergroup", None, 0.55, "social", "one of a large group"),
+    ("channel", "is_creator", 0.90, "self_expression", "the owner's own channel: written for an audience"),
+    ("channel", "is_admin", 0.75, "self_expression", "a channel that the owner helps to write"),
+    ("channel", None, 0.10, "passive_consumption", "a channel that the owner only reads"),
 )
 SYNC_THRESHOLD = 0.35
 WINDOWED_SURFACES = ("social", "passive_consumption")
@@ -26,7 +26,7 @@ WINDOWED_SURFACES = ("social", "passive_consumption")
 
 def score_chats(chats: DataFrame) -> DataFrame:
     """chats with relevance_score (float), relevance_reason and personality_surface."""
-    unknown = F.concat(F.lit('unknown dialog type "'), F.coalesce("type", F.lit("")), F.lit('": excluded by default'))
+    unknown = F.concat(F.lit("no rule for type '"), F.coalesce("type", F.lit("")), F.lit("'"))
     score, surface, reason = F.lit(0.0), F.lit("passive_consumption"), unknown
     for kind, flag, points, where, why in reversed(SCORES):
         hit = F.col("type") == kind

@@ -112,14 +112,30 @@ def cosine_distance(v: ChatView) -> DataFrame:
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", X.cosine_distance(F.col("x"), F.col("y")).alias("distance"))
 
 
+@query(
+    rf"""SELECT id, regexp_full_match(CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN concat(chr(8205), chr(65039)) WHEN 2 THEN chr(127995) ELSE text END, '[{X.JOINERS}\x{{1F3FB}}-\x{{1F3FF}}]*') AS noise,
+  sent_us // 86400000000 = (sent_us + id % 30 * 3600000000) // 86400000000 AS same_day, sticker_emoticon AS emoticon FROM messages"""
+)
+def small_functions(v: ChatView) -> DataFrame:
+    """Noise emoji, days of pairs of times up to 29 hours apart, emoticons of sticker data."""
+    piece = F.expr("id % 4")
+    text = F.when(piece == 0, "").when(piece == 1, "\u200d\ufe0f").when(piece == 2, "\U0001f3fb").otherwise(F.col("text"))
+    later = F.timestamp_micros(F.expr("sent_us + id % 30 * 3600000000"))
+    meta = F.when(F.col("sticker_emoticon").isNotNull(), F.to_json(F.struct(F.col("sticker_emoticon").alias("Emoticon"))))
+    return v.messages.select("id", X.is_emoji_noise(text).alias("noise"), X.same_utc_day(F.col("sent_at"), later).alias("same_day"), X.sticker_emoticon(meta).alias("emoticon"))
+
+
 # chats, filters, layers
 
 
-@query("SELECT id, title, type, round(relevance_score, 6) AS relevance_score, personality_surface, relevance_score >= 0.35 AS to_sync, personality_surface IN ('social', 'passive_consumption') AS windowed FROM chats")
+_REASONS = "CASE " + " ".join(f"WHEN type = '{kind}'{f' AND {flag}' if flag else ''} THEN '{why}'" for kind, flag, _, _, why in ((k, f, p, w, y.replace("'", "''")) for k, f, p, w, y in chats.SCORES)) + " END"
+
+
+@query(f"SELECT id, title, type, {_REASONS} AS relevance_reason, round(relevance_score, 6) AS relevance_score, personality_surface, relevance_score >= 0.35 AS to_sync, personality_surface IN ('social', 'passive_consumption') AS windowed FROM chats")
 def score_chats(v: ChatView) -> DataFrame:
     s = v.chats
     ok = chats.chats_to_sync(s).select("id", F.lit(True).alias("ok"))
-    return s.join(ok, "id", "left").select("id", "title", "type", "relevance_score", "personality_surface", F.coalesce("ok", F.lit(False)).alias("to_sync"), chats.needs_windowing(F.col("personality_surface")).alias("windowed"))
+    return s.join(ok, "id", "left").select("id", "title", "type", "relevance_reason", "relevance_score", "personality_surface", F.coalesce("ok", F.lit(False)).alias("to_sync"), chats.needs_windowing(F.col("personality_surface")).alias("windowed"))
 
 
 @query("SELECT personality_surface, count(*) AS chats, count(*) FILTER (WHERE relevance_score >= 0.35) AS to_sync, count(*) FILTER (WHERE relevance_score < 0.35) AS excluded FROM chats GROUP BY 1")
