@@ -168,8 +168,9 @@ def sticker_emoticon(meta: Column) -> Column:
 
 
 def length_sigmoid(tokens: Column, k: float = 10, cap: int = 100) -> Column:
-    n = F.least(tokens.cast("double"), F.lit(float(cap)))
-    return F.when(n > 0, n / (n + k)).otherwise(0.0)
+    # inside transform the tokens are counted once, not for each time that their number is used
+    factor = F.transform(F.array(F.least(tokens.cast("double"), F.lit(float(cap)))), lambda n: F.when(n > 0, n / (n + k)).otherwise(0.0))
+    return F.get(factor, F.lit(0))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
