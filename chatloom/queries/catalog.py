@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import chats, episodes, layers, prompts, ranking, reports, search, sessions, upsert, vectors, windows
+from ..operators import chats, episodes, layers, postings, prompts, ranking, reports, search, sessions, upsert, vectors, windows
 from ..plans import workloads
 from ..sources import records, scratch, store
 from ..streaming import ingest
@@ -483,6 +483,18 @@ def _queries(v: ChatView) -> DataFrame:
     return v.table("documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
+@query(
+    rf"""WITH d AS (SELECT doc_id AS id, {_TOKENS} AS tokens, least(len({_DOC_WORDS}), 100) AS n FROM documents), c AS (SELECT avg(len(tokens)) AS avgdl FROM d),
+tf AS (SELECT id, term, dl, n, count(*) AS tf FROM (SELECT id, n, len(tokens) AS dl, unnest(tokens) AS term FROM d) GROUP BY 1, 2, 3, 4)
+SELECT term, count(*) AS df, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS best, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * (n / (n + 10.0))), 6) AS best_scaled
+FROM tf, c GROUP BY term""",
+    view=False,
+)
+def posting_index(v: ChatView) -> DataFrame:
+    """Each term of the posting table that retrieve and the hybrid queries read."""
+    return v.posting_index.blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("best").alias("best"), F.max("best_scaled").alias("best_scaled"))
+
+
 @query(f"WITH {_BM25_SQL} SELECT query_id, id AS first_message_id, round(score, 6) AS score FROM bm WHERE score > 0", view=False)
 def bm25(v: ChatView) -> DataFrame:
     return ranking.bm25(_queries(v), v.doc_utterances)
@@ -499,8 +511,7 @@ def rerank_by_length(v: ChatView) -> DataFrame:
     view=False,
 )
 def retrieve(v: ChatView) -> DataFrame:
-    scorer = lambda q, u: ranking.bm25_reranked(q, u).withColumn("score", F.round("score", 6))
-    return ranking.retrieve(_queries(v), v.doc_utterances, scorer).select("query_id", "first_message_id", "rank", "score")
+    return postings.retrieve(_queries(v), v.posting_index, v.doc_utterances, digits=6).select("query_id", "first_message_id", "rank", "score")
 
 
 @query(
@@ -509,9 +520,8 @@ def retrieve(v: ChatView) -> DataFrame:
     view=False,
 )
 def with_context(v: ChatView) -> DataFrame:
-    scorer = lambda q, u: ranking.bm25_reranked(q, u).withColumn("score", F.round("score", 6))
     docs = v.doc_utterances.withColumns({"author_id": F.lit(1), "started_at": F.timestamp_seconds(F.lit(0))})
-    return ranking.with_context(ranking.retrieve(_queries(v), docs, scorer), docs).select("query_id", "rank", "hit_id", "turn_offset", "first_message_id")
+    return ranking.with_context(postings.retrieve(_queries(v), v.posting_index, docs, digits=6), docs).select("query_id", "rank", "hit_id", "turn_offset", "first_message_id")
 
 
 _NEAR_SQL = """c AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -559,7 +569,7 @@ hy AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM
 
 def _lists(v: ChatView) -> tuple[DataFrame, DataFrame]:
     q, corpus = _vectors(v)
-    lexical = ranking.bm25_reranked(_queries(v), v.doc_utterances).withColumn("score", F.round("score", 6))
+    lexical = postings.scores(_queries(v), v.posting_index, scaled=True).withColumn("score", F.round("score", 6))
     q = q.join(_queries(v).select("query_id"), "query_id", "left_semi")
     near = vectors.vector_search(q, corpus.withColumnRenamed("id", "first_message_id"), v.doc_utterances)
     return lexical, near.withColumn("score", F.round("score", 6))
@@ -596,8 +606,7 @@ SELECT scorer, query_id, count(*) AS results, round(100.0 * count(*) FILTER (WHE
 )
 def retrieval_audit(v: ChatView) -> DataFrame:
     q, docs = _queries(v), v.doc_utterances
-    both = ranking.bm25(q, docs).withColumn("scorer", F.lit("bm25")).unionByName(ranking.bm25_reranked(q, docs).withColumn("scorer", F.lit("rerank"))).withColumn("score", F.round("score", 6))
-    parts = [ranking.with_rank(both.where(F.col("scorer") == s), 10) for s in ("bm25", "rerank")]
+    parts = [postings.top_hits(q, v.posting_index, 10, scaled, 6).withColumn("scorer", F.lit(s)) for s, scaled in (("bm25", False), ("rerank", True))]
     return ranking.retrieval_audit(q, parts[0].unionByName(parts[1]).join(docs, "first_message_id"))
 
 

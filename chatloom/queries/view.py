@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chats, episodes, layers, sessions
+from ..operators import chats, episodes, layers, postings, sessions
 from ..operators.ordered import with_row_number
 from ..sources.scratch import stored
 
@@ -111,6 +111,8 @@ BASE = f"WITH {_PARTS.strip().replace('NUMBERED', _NUMBERED)},{_DUCK} "
 
 #: Tables of a session that are already written: (session, folder, name) -> DataFrame.
 _written: dict[tuple[str, str, str], DataFrame] = {}
+#: Posting indexes of a session: (session, folder) -> index.
+_indexed: dict[tuple[str, str], postings.PostingIndex] = {}
 
 
 class ChatView:
@@ -189,3 +191,11 @@ class ChatView:
     def doc_utterances(self) -> DataFrame:
         """documents as turns, for retrieval."""
         return self.table("documents").select(F.col("doc_id").alias("first_message_id"), "text", F.lit(1).alias("message_count"), F.lit(True).alias("is_outgoing"), F.lit(1).alias("chat_id"), F.col("doc_id").alias("position"))
+
+    @property
+    def posting_index(self) -> postings.PostingIndex:
+        """The index of doc_utterances, made at its first use in the session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _indexed:
+            _indexed[key] = postings.build_index(self.doc_utterances)
+        return _indexed[key]
