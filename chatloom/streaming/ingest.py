@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import StructType
 
 from ..operators.layers import build_semantic, extract_signals
@@ -67,13 +67,71 @@ def layer_sink(base_path: str, read: Callable[[SparkSession, str, int], DataFram
 
 
 _TURN = "chat_id long, first_message_id long, author_id long, is_outgoing boolean, started_us long, ended_us long, message_count int, text string, voice_count int"
-_OPEN = "author_id long, first_id long, outgoing boolean, started long, ended long, n int, voices int, texts array<string>, waiting array<struct<us:long,tid:long,id:long,author:long,out:boolean,text:string,tokens:int,kind:string>>"
+_OPEN = "author_id long, first_id long, outgoing boolean, started long, ended long, n int, voices int"
+_WAITING = "us long, telegram_id long, id long, author_id long, is_outgoing boolean, text string, kind string"
+#: Keyed state with timers needs this state store.
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _closed(chat: int, g: dict) -> dict | None:
-    if not g["texts"]:
-        return None
-    return dict(chat_id=chat, first_message_id=g["first"], author_id=g["author"], is_outgoing=g["out"], started_us=g["start"], ended_us=g["end"], message_count=g["n"], text=" ".join(g["texts"]), voice_count=g["voices"])
+class Turns(StatefulProcessor):
+    """Turns of one chat: the open turn's numbers, its texts, and the rows that the watermark has not passed.
+
+    Texts and rows are appended as they come; rows are rewritten only when a timer finds some of them ready.
+    """
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", _OPEN)
+        self.texts = handle.getListState("texts", "text string")
+        self.waiting = handle.getListState("waiting", _WAITING)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        new = []
+        for r in rows:
+            said = r.normalized_text if r.token_count > 0 and r.normalized_text.strip() else None
+            new.append((r.sent_us, r.telegram_id, r.id, r.author_id, r.is_outgoing, said, r.media_kind))
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(r[0] for r in new) // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
+        ready, rest = sorted((w for w in rows if w[0] < mark), key=lambda w: w[:3]), [w for w in rows if w[0] >= mark]
+        turn = self.open.get() if self.open.exists() else None
+        said: list[tuple[str]] = []  # texts of the open turn that are not stored yet
+        for us, _, first, author, outgoing, text, kind in ready:
+            if turn and (turn[0] != author or us - turn[4] > self.gap):
+                yield from self._close(key[0], turn, said)
+                turn, said = None, []
+            _, first, _, started, _, n, voices = turn or (None, first, None, us, None, 0, 0)
+            turn = (author, first, turn[2] if turn else outgoing, started, us, n + 1, voices + (kind == "voice"))
+            said += [(text,)] if text else []
+        if turn and mark > turn[4] + self.gap and not any(w[0] <= turn[4] + self.gap for w in rest):
+            yield from self._close(key[0], turn, said)
+            turn, said = None, []
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if turn:
+            self.open.update(tuple(turn))
+            if said:
+                self.texts.appendList(said)
+        else:
+            self.open.clear()
+        due = [min(w[0] for w in rest)] if rest else []
+        if due or turn:
+            self.handle.registerTimer(min(due + ([turn[4] + self.gap] if turn else [])) // 1000)
+
+    def _close(self, chat: int, turn: tuple, said: list[tuple[str]]) -> Iterator[Row]:
+        texts = [t[0] for t in self.texts.get()] if self.texts.exists() else []
+        texts += [t[0] for t in said]
+        self.texts.clear()
+        author, first, outgoing, started, ended, n, voices = turn
+        if texts:
+            yield Row(chat_id=chat, first_message_id=first, author_id=author, is_outgoing=outgoing, started_us=started, ended_us=ended, message_count=n, text=" ".join(texts), voice_count=voices)
 
 
 def stream_utterances(messages: DataFrame, gap_seconds: int = 120, lateness: str = "10 minutes") -> DataFrame:
@@ -81,47 +139,12 @@ def stream_utterances(messages: DataFrame, gap_seconds: int = 120, lateness: str
 
     Rows wait in the state until the watermark has passed them, then join the open turn in order
     of (sent_at, telegram_id); a turn is given out when an author change or a pause longer than
-    the gap closes it. State for each chat: one open turn and the rows newer than the watermark.
+    the gap closes it. State for each chat: one open turn and the rows newer than the watermark. The session's
+    streams use the RocksDB state store from then on, which keyed state needs.
     """
-    gap = gap_seconds * 1_000_000
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chat, waiting, group = key[0], [], None
-        if state.exists:
-            author, first, out, start, end, n, voices, texts, held = state.get
-            waiting = [tuple(w) for w in (held if held is not None else [])]
-            if first is not None:
-                group = dict(author=author, first=first, out=out, start=start, end=end, n=n, voices=voices, texts=list(texts))
-        for p in pdfs:
-            cols = ("sent_us", "telegram_id", "id", "author_id", "is_outgoing", "normalized_text", "token_count", "media_kind")
-            waiting += list(zip(*(p[c].tolist() for c in cols), strict=True))
-        mark = state.getCurrentWatermarkMs() * 1000
-        ready, waiting = sorted(w for w in waiting if w[0] < mark), [w for w in waiting if w[0] >= mark]
-        done = []
-        for us, _, mid, author, out, text, tokens, kind in ready:
-            if group is None or group["author"] != author or us - group["end"] > gap:
-                done += [r for r in [group and _closed(chat, group)] if r]
-                group = dict(author=author, first=mid, out=out, start=us, end=us, n=0, voices=0, texts=[])
-            group["n"] += 1
-            group["end"] = us
-            group["voices"] += kind == "voice"
-            if tokens > 0 and text.strip():
-                group["texts"].append(text)
-        if group and mark > group["end"] + gap and not any(w[0] <= group["end"] + gap for w in waiting):
-            done += [r for r in [_closed(chat, group)] if r]
-            group = None
-        if group is None and not waiting:
-            state.remove()
-        else:
-            g = group or dict(author=None, first=None, out=None, start=None, end=None, n=0, voices=0, texts=[])
-            state.update((g["author"], g["first"], g["out"], g["start"], g["end"], g["n"], g["voices"], g["texts"], waiting))
-            next_at = min([w[0] for w in waiting] + ([group["end"] + gap] if group else []))
-            state.setTimeoutTimestamp(max(next_at // 1000 + 1, mark // 1000 + 1))
-        if done:
-            yield pd.DataFrame(done)
-
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     rows = messages.withWatermark("sent_at", lateness).withColumn("sent_us", F.unix_micros("sent_at"))
-    return rows.groupBy("chat_id").applyInPandasWithState(step, _TURN, _OPEN, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("chat_id").transformWithState(Turns(gap_seconds * 1_000_000), _TURN, "append", "eventTime")
 
 
 def stream_burst_counts(messages: DataFrame, gap: str = "120 seconds", lateness: str = "10 minutes") -> DataFrame:
