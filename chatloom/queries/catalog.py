@@ -239,6 +239,16 @@ def upsert_messages(v: ChatView) -> DataFrame:
     return upsert.upsert(base, new.where("id % 3 <> 0").unionByName(fresh), ["chat_id", "telegram_id"], ["text"])
 
 
+@query("SELECT message_id, CASE WHEN message_id % 6 = 0 THEN 'transcript' ELSE normalized_text END AS normalized_text, CASE WHEN message_id % 6 = 0 THEN 'none' ELSE language END AS language, message_id % 6 = 0 AS transcribed FROM semantic WHERE message_id % 3 = 0 OR message_id % 2 = 1")
+def upsert_semantic(v: ChatView) -> DataFrame:
+    """A third of the rows is stored, half of these with a transcript, which stays; the odd rows and the stored ones come again."""
+    new = v.semantic.withColumn("transcribed_at", F.lit(None).cast("timestamp"))
+    heard = F.col("message_id") % 2 == 0
+    stale = {"normalized_text": F.when(heard, "transcript").otherwise("old"), "language": F.lit("none"), "transcribed_at": F.when(heard, F.timestamp_seconds(F.lit(1)))}
+    out = upsert.upsert_semantic(new.where("message_id % 3 = 0").withColumns(stale), new.where("message_id % 3 = 0 or message_id % 2 = 1"))
+    return out.select("message_id", "normalized_text", "language", F.col("transcribed_at").isNotNull().alias("transcribed"))
+
+
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN 'old' ELSE 'new' END AS state FROM messages")
 def insert_if_absent(v: ChatView) -> DataFrame:
     ids = v.messages.select("id")
@@ -597,6 +607,12 @@ def overlap_audit(v: ChatView) -> DataFrame:
     return ranking.overlap_audit(_queries(v), ranking.with_rank(lexical), ranking.with_rank(near), ranking.with_rank(hybrid))
 
 
+def _audit(v: ChatView) -> DataFrame:
+    q, docs = _queries(v), v.doc_utterances
+    parts = [postings.top_hits(q, v.posting_index, 10, scaled, 6).withColumn("scorer", F.lit(s)) for s, scaled in (("bm25", False), ("rerank", True))]
+    return ranking.retrieval_audit(q, parts[0].unionByName(parts[1]).join(docs, "first_message_id"))
+
+
 @query(
     f"""WITH {_BM25_SQL}, h AS (SELECT 'bm25' AS scorer, * FROM bm UNION ALL SELECT 'rerank', * FROM rr),
 t AS (SELECT h.*, row_number() OVER (PARTITION BY scorer, query_id ORDER BY round(score, 6) DESC, id) AS rank FROM h)
@@ -605,9 +621,38 @@ SELECT scorer, query_id, count(*) AS results, round(100.0 * count(*) FILTER (WHE
     view=False,
 )
 def retrieval_audit(v: ChatView) -> DataFrame:
-    q, docs = _queries(v), v.doc_utterances
-    parts = [postings.top_hits(q, v.posting_index, 10, scaled, 6).withColumn("scorer", F.lit(s)) for s, scaled in (("bm25", False), ("rerank", True))]
-    return ranking.retrieval_audit(q, parts[0].unionByName(parts[1]).join(docs, "first_message_id"))
+    return _audit(v)
+
+
+@query(
+    f"""WITH {_BM25_SQL}, h AS (SELECT 'bm25' AS scorer, * FROM bm UNION ALL SELECT 'rerank', * FROM rr),
+t AS (SELECT h.*, row_number() OVER (PARTITION BY scorer, query_id ORDER BY round(score, 6) DESC, id) AS rank FROM h),
+a AS (SELECT scorer, query_id, 100.0 * count(*) FILTER (WHERE len({_DOC_WORDS}) > 20) / count(*) AS long_pct,
+  CASE WHEN count(*) >= 2 THEN arg_min(round(score, 6), rank) / arg_max(round(score, 6), rank) ELSE 0.0 END AS score_gap FROM t JOIN documents ON doc_id = id WHERE rank <= 10 GROUP BY 1, 2),
+e AS (SELECT scorer, coalesce(long_pct, 0) AS long_pct, coalesce(score_gap, 0) AS score_gap FROM q CROSS JOIN (VALUES ('bm25'), ('rerank')) s(scorer) LEFT JOIN a USING (scorer, query_id)),
+m AS (SELECT avg(long_pct) FILTER (WHERE scorer = 'bm25') AS bl, avg(score_gap) FILTER (WHERE scorer = 'bm25') AS bg, avg(long_pct) FILTER (WHERE scorer = 'rerank') AS rl, avg(score_gap) FILTER (WHERE scorer = 'rerank') AS rg FROM e)
+SELECT round(bl, 6) AS bm25_long_pct, CAST(0 AS DOUBLE) AS bm25_multi_pct, round(bg, 6) AS bm25_score_gap, round(rl, 6) AS rerank_long_pct, CAST(0 AS DOUBLE) AS rerank_multi_pct, round(rg, 6) AS rerank_score_gap,
+  round(rl - bl, 6) AS delta_long_pct, CAST(0 AS DOUBLE) AS delta_multi_pct, round(rg - bg, 6) AS delta_score_gap FROM m""",
+    view=False,
+)
+def audit_summary(v: ChatView) -> DataFrame:
+    """What reranking by length changes, on average over the queries."""
+    return ranking.audit_summary(_audit(v), "bm25", "rerank")
+
+
+@query(
+    f"""WITH {_BM25_SQL} SELECT query_id, round(avg(n), 6) AS mean_context_tokens FROM (SELECT t.query_id, t.id, sum(len({_DOC_WORDS})) AS n FROM (
+  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM rr) t JOIN documents d ON d.doc_id BETWEEN t.id - 2 AND t.id + 2 WHERE t.rank <= 10 GROUP BY 1, 2) GROUP BY 1""",
+    view=False,
+)
+def context_stats(v: ChatView) -> DataFrame:
+    docs = v.doc_utterances.withColumns({"author_id": F.lit(1), "started_at": F.timestamp_seconds(F.lit(0))})
+    return ranking.context_stats(ranking.with_context(postings.retrieve(_queries(v), v.posting_index, docs, digits=6), docs))
+
+
+@query("SELECT CAST(sum(message_count) AS BIGINT) AS messages, count(*) AS utterances, round(avg(len(string_split(text, ' '))), 6) AS mean_tokens FROM utt")
+def retrieve_stats(v: ChatView) -> DataFrame:
+    return ranking.retrieve_stats(v.turns)
 
 
 @query(f"SELECT word, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 20", view=False)
@@ -903,6 +948,17 @@ def read_messages(v: ChatView) -> DataFrame:
     return records.read_messages(v.spark, path).select("telegram_id", "chat_id", "sender_id", "reply_to_id", "text", "media_kind", "sent_at", "is_outgoing", "is_forwarded", "edit_date")
 
 
+_LINES = ("concat('{\"telegram_id\":', telegram_id)", "concat('{\"telegram_id\":', telegram_id, '}')", "concat('{\"telegram_id\":', telegram_id, ',\"chat_id\":', chat_id, '}')")
+
+
+@query(f"SELECT CASE telegram_id % 3 WHEN 0 THEN {_LINES[0]} ELSE {_LINES[1]} END AS line FROM messages WHERE telegram_id % 3 < 2")
+def broken_records(v: ChatView) -> DataFrame:
+    """Lines cut short and lines without a chat, written beside good ones."""
+    path = scratch.new_dir(v.spark, "broken-records")
+    v.messages.select(F.expr(f"CASE telegram_id % 3 WHEN 0 THEN {_LINES[0]} WHEN 1 THEN {_LINES[1]} ELSE {_LINES[2]} END").alias("value")).write.text(path)
+    return records.broken_records(v.spark, path)
+
+
 @query("SELECT id, chat_id, CASE WHEN id % 2 = 0 THEN 'second' ELSE 'first' END AS state FROM messages WHERE id % 2 = 0 OR id % 3 = 0")
 def write_layers(v: ChatView) -> DataFrame:
     """A layer written twice; the second writing replaces its buckets, so the rows to keep come with it."""
