@@ -64,6 +64,7 @@ def build_index(utterances: DataFrame, k1: float = 1.2, b: float = 0.75, k: floa
 def weights(queries: DataFrame, index: PostingIndex) -> DataFrame:
     """(query_id, term, weight): idf times how often the query has the term, for terms that occur."""
     terms = queries.select("query_id", F.explode(X.tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    terms = stored(terms, "query-terms")  # of known size, so that few terms are broadcast to the blocks
     df = index.blocks.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log((index.docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return terms.join(df, "term").select("query_id", "term", (idf * F.col("times")).alias("weight"))
@@ -72,7 +73,8 @@ def weights(queries: DataFrame, index: PostingIndex) -> DataFrame:
 def _scores(pairs: DataFrame, asked: DataFrame, index: PostingIndex, scaled: bool) -> DataFrame:
     """(query_id, first_message_id, score) of all documents in the pairs (query_id, block)."""
     add = F.col("weight") * F.col("impact")
-    rows = pairs.select("query_id", "block").join(asked, "query_id").join(index.postings, ["term", "block"])
+    own = index.postings.join(asked.select("term"), "term", "left_semi")  # before anything is shuffled
+    rows = pairs.select("query_id", "block").join(asked, "query_id").join(own, ["term", "block"])
     found = rows.groupBy("query_id", "first_message_id").agg(F.sum(add).alias("score"), F.first("factor").alias("factor"))
     return found.select("query_id", "first_message_id", (F.col("score") * F.col("factor") if scaled else F.col("score")).alias("score"))
 
