@@ -1,5 +1,8 @@
 """The pipeline's stages, each against what it promises, and the n-gram join against brute force."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +124,23 @@ def test_mined_rules(spark):
     labels = spark.createDataFrame([(i, i < 30) for i in range(200)], "id long, blocked boolean")
     out = {r.page_id: r.verdict for r in url_filters.judge_urls(pages, labels, ()).collect()}
     assert out[0] == "block" and out[900] == "block" and out[50] == "allow" and out[901] == "allow"
+
+
+def test_top_k_repeated_queries_and_dealt_packs(spark, monkeypatch):
+    """Repeated query rows are answered as often as they occur; packs too large to broadcast give the same rows; odd widths, chunks of one."""
+    rng = random.Random(3)
+    vectors = [(i, [rng.gauss(0, 1 + i % 5) for _ in range(rng.choice((1, 4, 7)))]) for i in range(300)] + [(400, []), (401, [0.0, 0.0])]
+    asked = [vectors[i] for i in (0, 0, 0, 7, 31, 31)] + [(31, [1.0, 2.0]), (400, [])]
+    schema = "vec_id long, embedding array<double>"
+    rows, queries = (topk.quantise(spark.createDataFrame(x, schema), "vec_id", "embedding") for x in (vectors, asked))
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in vectors}
+    expected = []
+    for q, v in asked:
+        ints = [math.floor(1024 * x) for x in v]
+        best = sorted((-sum(a * b for a, b in zip(ints, w, strict=False)), i) for i, w in whole.items() if i != q)[:5]
+        expected += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    found = lambda **more: sorted(map(tuple, topk.top_k(queries, rows, 5, **more).collect()))
+    assert found() == sorted(expected)
+    monkeypatch.setattr(topk, "BROADCAST", 0)
+    assert found(query_block=2) == sorted(expected)
+    assert topk.top_k(queries.limit(0), rows, 5).count() == topk.top_k(queries, rows.limit(0), 5).count() == 0
