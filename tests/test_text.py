@@ -91,3 +91,31 @@ def test_small_ones(spark):
     assert value(spark, X.episode_line(F.lit(False), F.lit(""), F.lit(None), F.lit(" "))) is None
     assert value(spark, X.sticker_emoticon(F.lit('{"SetName":"a","Emoticon":"👍"}'))) == "👍"
     assert value(spark, X.cosine_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0)))) == pytest.approx(1 - 0.5**0.5)
+
+
+def test_shorter_classes_hold_the_same_characters(spark):
+    points = spark.range(1, 0x110000).where("id < 55296 or id > 57343").selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c")
+    c = F.col("c")
+    pairs = [
+        (X._EMOJI_OR_JOINER, f"[{X.EMOJI_BLOCKS}{X.JOINERS}]"),
+        (X._STRIPPED, rf"[{X.EMOJI_BLOCKS}\x{{200D}}\x{{FE00}}-\x{{FE0F}}]"),
+        (X._WHITE, f"[{X.WHITE}]"),
+        (X._CYRILLIC, r"\p{IsCyrillic}"),
+    ]
+    seen = points.agg(*[F.count_if(c.rlike(a) != c.rlike(b)) for a, b in pairs], *[F.count_if(c.rlike(a)) for a, _ in pairs]).first()
+    assert seen[:4] == (0, 0, 0, 0) and min(seen[4:]) > 0
+
+
+def test_layers_read_each_text_once(spark):
+    from chatloom.operators import layers
+
+    rows = [(1, "ха   Ха!!! ок", ""), (2, " 　 ", ""), (3, None, "voice"), (4, "...ок,. ну... 😂аааа аааб", None), (5, ".,! one  two three", "")]
+    df = spark.createDataFrame(rows, "id long, text string, media_kind string")
+    made = layers.build_semantic(df)
+    assert "split(" not in made._jdf.queryExecution().optimizedPlan().toString()  # tokens are counted in the collapsed text
+    t = F.col("normalized_text")
+    kinds = df.select(F.col("id").alias("message_id"), "media_kind")
+    want = made.join(kinds, "message_id").select("message_id", X.count_tokens(t), X.skip_embedding(t, F.col("media_kind"))).orderBy(F.col("message_id")).collect()
+    assert [tuple(r) for r in made.select("message_id", "token_count", "skip_embedding").orderBy("message_id").collect()] == [tuple(r) for r in want]
+    slang = {r.message_id: r.value_json for r in layers.extract_signals(df).where("signal_type = 'slang_markers'").collect()}
+    assert slang == {1: '["ок"]', 4: '["ок","ну"]'}
