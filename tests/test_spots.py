@@ -43,3 +43,20 @@ def test_ranks_are_rounded_as_in_sql():
     x = np.concatenate([0.1 / 2.0 ** np.arange(1, 20), np.random.default_rng(1).random(2000), [0.1 / 3, 1.0000000005, 2.0000000015]])
     want = [float(Decimal(repr(float(v))).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for v in x]
     assert spots.rounded(x).tolist() == want
+
+
+@pytest.mark.parametrize("texts_a_block", [7, 1000])
+def test_best_reranked_are_the_first_of_bm25_reranked(spark, monkeypatch, texts_a_block):
+    from chatloom.operators import ranking
+
+    monkeypatch.setattr(spots, "TEXTS", texts_a_block)
+    r = random.Random(6)
+    texts = [(i, " ".join(r.choice("aaabbcdefgh") for _ in range(r.choice((0, 1, 3, 9, 200)))) + r.choice(("", " ...", "!"))) for i in range(300)] + [(300, None)]
+    asked = [(i, " ".join(r.choices("abcdefghz", k=r.randint(1, 6)))) for i in range(40)] + [(40, "zz"), (41, "a")]
+    turns = spark.createDataFrame(texts, "first_message_id long, text string").coalesce(1)
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    first = lambda hits: sorted(map(tuple, ranking.with_rank(hits, 5).select("query_id", "first_message_id", "score", "rank").collect()))
+    want = first(ranking.bm25_reranked(queries, turns).withColumn("score", F.round("score", 6)).where("score > 0"))
+    made = ranking.best_reranked(queries, turns, 5, 6)
+    assert len(want) > 180 and first(made) == want
+    assert made.groupBy("query_id").count().where("count > 5").isEmpty()  # one task hands on no more than the limit
