@@ -60,3 +60,12 @@ def test_best_reranked_are_the_first_of_bm25_reranked(spark, monkeypatch, texts_
     made = ranking.best_reranked(queries, turns, 5, 6)
     assert len(want) > 180 and first(made) == want
     assert made.groupBy("query_id").count().where("count > 5").isEmpty()  # one task hands on no more than the limit
+
+
+def test_best_unscaled_are_the_first_of_bm25(spark):
+    from chatloom.operators import ranking
+
+    turns = spark.createDataFrame([(i, "a " * (i % 7) + "b " * (i % 5) + "c") for i in range(60)], "first_message_id long, text string")
+    queries = spark.createDataFrame([(0, "a b"), (1, "c c a"), (2, "b")], "query_id long, query string")
+    first = lambda hits: sorted(map(tuple, ranking.with_rank(hits, 4).select("query_id", "first_message_id", "score", "rank").collect()))
+    assert first(ranking.best_reranked(queries, turns, 4, 6, scaled=False)) == first(ranking.bm25(queries, turns).withColumn("score", F.round("score", 6)))
