@@ -76,3 +76,17 @@ def test_retrieve_joins_turns_and_refuses_blank_queries(spark, known):
     assert found.where("query_id = 1").count() == 10 and "text" in found.columns
     with pytest.raises(ValueError, match="blank"):
         postings.retrieve(spark.createDataFrame([(1, " ")], "query_id long, query string"), index, docs)
+
+
+def test_first_lists_are_those_of_whole_lists(spark, known):
+    """Without a whole list: rows of the vector list far down the lexical one, not in it, of equal scores, queries without either."""
+    docs, _ = known
+    digits = 2  # many equal scores
+    rng = random.Random(5)
+    near = spark.createDataFrame([(q, i, round(rng.random(), 1)) for q in (1, 3, 4, 6) for i in rng.sample(range(3044), 30)], "query_id long, first_message_id long, score double")
+    every = ranking.bm25_reranked(asked(spark), docs).withColumn("score", F.round("score", digits)).where("score > 0")
+    hybrid = ranking.hybrid_rrf(every, near).withColumn("score", F.round("score", 9))
+    found = ranking.first_lists(asked(spark), docs, near, 10, digits)
+    for got, expected in zip(found, (every, near, hybrid), strict=True):
+        own = lambda df: sorted((r.query_id, r["rank"], r.first_message_id) for r in df.collect())
+        assert own(got) == own(ranking.with_rank(expected, 10))
