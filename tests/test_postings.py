@@ -90,3 +90,15 @@ def test_first_lists_are_those_of_whole_lists(spark, known):
     for got, expected in zip(found, (every, near, hybrid), strict=True):
         own = lambda df: sorted((r.query_id, r["rank"], r.first_message_id) for r in df.collect())
         assert own(got) == own(ranking.with_rank(expected, 10))
+
+
+def test_a_tasks_words_are_counted_text_by_text():
+    """No table of (text, term) is kept: rows come out for each slice of texts."""
+    import pyarrow as pa
+
+    texts = [["b", "a", "b"], None, [], ["a"]] * 600
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2400)), pa.array(texts, pa.list_(pa.string())), pa.array([0.5] * 2400)], ["first_message_id", "tokens", "factor"])
+    parts = list(postings._count_words(iter([batch.slice(0, 2400)])))
+    assert len(parts) == 3
+    got = sorted(tuple(r.values()) for p in parts for r in p.to_pylist())
+    assert got == sorted((i, 0.5, len(t), w, t.count(w)) for i, t in enumerate(texts) if t for w in set(t))
