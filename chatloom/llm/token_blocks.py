@@ -26,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,8 +51,8 @@ def pack(values: np.ndarray, width: int) -> bytes:
     """The low `width` bits of each value, one after the other."""
     if not width or not len(values):
         return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
 
 
 def unpack(raw: bytes, n: int, width: int) -> np.ndarray:
@@ -169,11 +170,21 @@ _PLAIN = re.compile("[^\\x21-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\
 _BYTE_CHARS = byte_chars()
 
 
+class _Known(dict):
+    """Ids of chunks; a chunk that is not in it is learned when it is looked up."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.learn(chunk)
+
+
 class ChunkTokenizer:
     """Ids of texts by a tokenizers file that lower-cases, drops white space and splits words from signs.
 
     Such a tokenizer encodes white-space chunks independently, and a chunk's trailing signs apart
-    from its words. Each distinct piece goes through the library once; `exact` turns the
+    from its words. Each distinct piece goes through the library once, at its first use; `exact` turns the
     shortcuts off and hands whole texts to the library.
     """
 
@@ -192,9 +203,11 @@ class ChunkTokenizer:
         split = ((parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         known = parts["normalizer"] == self.NORMALIZER and split.get("type") == "Split" and split["pattern"] == {"Regex": self.SPLIT} and split["invert"]
         self.exact = exact or not known or parts["post_processor"] is not None
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._learn)
         self.pieces: dict[str, bytes] = {}
         self.model = self.tokenizer.model
+        if not self.exact:  # each piece comes once, so the model's own cache would only be filled
+            self.model._resize_cache(0)
         # the model alone is enough for a plain word if it agrees with the whole tokenizer
         probes = ["the", "straße", "été", "nightingale"]
         self.direct = [*map(self._word, probes)] == [*self._ids(probes)]
@@ -202,7 +215,7 @@ class ChunkTokenizer:
     def _word(self, word: str) -> bytes:
         """Ids of one lower-case word of plain letters, straight from the byte-level model."""
         mapped = word if word.isascii() else "".join(map(_BYTE_CHARS.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(mapped)], np.uint32).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -216,34 +229,30 @@ class ChunkTokenizer:
             return chunk, ""
         return word.lower(), chunk[len(word) :]
 
-    def _learn(self, chunks: list[str]) -> None:
-        parts = [self._parts(c) for c in chunks]
-        new = [*{p for pair in parts for p in pair if p}.difference(self.pieces)]
-        plain = {p for p in new if self.direct and p.isalpha() and p == p.lower() and not _PLAIN.search(p)}
-        for p in plain:
-            self.pieces[p] = self._word(p)
-        rest = [p for p in new if p not in plain]
-        self.pieces.update(zip(rest, self._ids(rest), strict=True))
-        for c, (word, signs) in zip(chunks, parts, strict=True):
-            self.known[c] = self.pieces[word] + self.pieces[signs] if signs else self.pieces[word] if word else b""
-        for p in new:
-            if len(p) > self.LONG:
-                del self.pieces[p]
+    def _piece(self, piece: str) -> bytes:
+        plain = self.direct and piece.isalpha() and piece == piece.lower() and (piece.isascii() or not _PLAIN.search(piece))
+        ids = self._word(piece) if plain else next(self._ids([piece]))
+        if len(piece) <= self.LONG:
+            self.pieces[piece] = ids
+        return ids
+
+    def _learn(self, chunk: str) -> bytes:
+        word, signs = self._parts(chunk)
+        ids = (self.pieces.get(word) or self._piece(word)) if word else b""
+        if signs:
+            ids += self.pieces.get(signs) or self._piece(signs)
+        if len(chunk) <= self.LONG:
+            self.known[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.exact:
             return [np.frombuffer(x, np.uint32) for x in self._ids(texts)]
-        chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > self.CHUNKS or len(self.pieces) > self.PIECES:
             self.known.clear()
             self.pieces.clear()
-        new = [*set().union(*chunks).difference(self.known)]
-        self._learn(new)
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, row)), np.uint32) for row in chunks]
-        for c in new:
-            if len(c) > self.LONG:
-                del self.known[c]
-        return out
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, t.replace("\n", " ").replace("\t", " ").split(" "))), np.uint32) for t in texts]
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}

@@ -1,6 +1,7 @@
 """Token files and archives under odd ids: rows are spread whatever the ids are."""
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,24 @@ def test_two_writes_are_alike(spark, tmp_path, kind):
         files = [(r.path.rsplit("/", 1)[1], (tmp_path / f"{kind}t{i}" / r.path.rsplit("/", 1)[1]).read_bytes()) for r in t]
         seen.append((sorted((r.path.rsplit("/", 1)[1], r.records, r.bytes, r.crc32) for r in m), sorted(files)))
     assert seen[0] == seen[1] and len(seen[0][0]) > 3
+
+
+def test_chunks_are_learned_when_looked_up():
+    """One look-up a chunk, known or not, gives what the library gives; long chunks are not kept."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    quick, exact = token_blocks.ChunkTokenizer(path), token_blocks.ChunkTokenizer(path, exact=True)
+    chunks = ["", "Word,", "word", "WORD!?", "don't", "Ⱥb", "été.", "東京タワー", "<|x|>", "a1b2", "...", "ſ", "x" * 200 + ".", "İ,"]
+    for c in chunks * 2:
+        assert np.frombuffer(quick.known[c], np.uint32).tolist() == exact.encode([c])[0].tolist()
+    assert "Word," in quick.known and max(map(len, quick.known)) <= quick.LONG and max(map(len, quick.pieces)) <= quick.LONG
+    texts = [" ".join(chunks), "Word,\nword\tWORD!?  ", ""]
+    assert [x.tolist() for x in quick.encode(texts)] == [x.tolist() for x in exact.encode(texts)]
+
+
+@pytest.mark.parametrize("width", [0, 1, 7, 8, 15, 16, 31, 32])
+def test_packed_bits(width):
+    values = np.random.default_rng(width).integers(0, 1 << 32, 777, dtype=np.uint64).astype(np.uint32)
+    low = values & np.uint32((1 << width) - 1)
+    raw = token_blocks.pack(values, width)
+    assert int.from_bytes(raw, "little") == sum(int(v) << (i * width) for i, v in enumerate(low))
+    assert token_blocks.unpack(raw, len(values), width).tolist() == low.tolist()
