@@ -119,3 +119,18 @@ def test_layers_read_each_text_once(spark):
     assert [tuple(r) for r in made.select("message_id", "token_count", "skip_embedding").orderBy("message_id").collect()] == [tuple(r) for r in want]
     slang = {r.message_id: r.value_json for r in layers.extract_signals(df).where("signal_type = 'slang_markers'").collect()}
     assert slang == {1: '["ок"]', 4: '["ок","ну"]'}
+
+
+def test_signals_test_cheaply_before_they_count(spark):
+    """What has none of a signal's signs is not cut or counted, with the results of the plain definition."""
+    texts = ["", None, " ", "Ab", "aB", "ABc", "AbC def", "Ǆǅ", "1Abc", "中A", "a!", "!.", "a!!b", "..?", "Ok", "ОК, ну", "лол", "x кек.", "но", "ß", "ÀÉ", "Ab\nCd", "hello world"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plans = {n: df.select(c)._jdf.queryExecution().optimizedPlan().toString() for n, c in {"marks": X.punctuation_counts(F.col("text")), "slang": X.slang_markers(F.col("text")), "caps": X.capitalization(F.col("text"))}.items()}
+    assert all("RLIKE(text" in p.split(" THEN ", 1)[0] for p in plans.values())
+    count = lambda cat: F.length(F.regexp_replace("text", rf"[^\p{{{cat}}}]+", ""))
+    first = F.regexp_extract("text", r"\p{L}", 0).rlike(r"\p{Lu}")
+    caps = F.when(count("L") == 0, None).when(count("Lu") == count("L"), "all_caps").when(count("Lu") == 0, "lower").when(first & (count("Ll") > count("Lu")), "sentence").otherwise("mixed")
+    for r in df.select("text", caps.alias("want"), X.capitalization(F.col("text")).alias("got"), X.punctuation_counts(F.col("text")).alias("marks"), X.slang_markers(F.col("text")).alias("slang")).collect():
+        assert r.got == r.want, r
+        assert r.marks == {p: r.text.count(p) for p in X.EMPHASIS if p in r.text} if r.text else r.marks == {}
+        assert r.slang == (None if r.text is None else [w for w in dict.fromkeys(w.strip(".,!?;:") for w in r.text.lower().split()) if w in X.SLANG])
