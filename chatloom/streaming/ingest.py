@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -68,15 +69,31 @@ def layer_sink(base_path: str, read: Callable[[SparkSession, str, int], DataFram
 
 _TURN = "chat_id long, first_message_id long, author_id long, is_outgoing boolean, started_us long, ended_us long, message_count int, text string, voice_count int"
 _OPEN = "author_id long, first_id long, outgoing boolean, started long, ended long, n int, voices int"
-_WAITING = "us long, telegram_id long, id long, author_id long, is_outgoing boolean, text string, kind string"
+#: Rows (us, telegram_id, id, author_id, is_outgoing, text, kind) in packs of so many rows or characters: each value of the state costs a call.
+_WAITING, _PACK_ROWS, _PACK_CHARS = "rows binary", 1 << 10, 1 << 20
+_Turn = Row("chat_id", "first_message_id", "author_id", "is_outgoing", "started_us", "ended_us", "message_count", "text", "voice_count")
 #: Keyed state with timers needs this state store.
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _packs(rows: Iterable[tuple]) -> Iterator[tuple[bytes]]:
+    """Values of the waiting state."""
+    pack, chars = [], 0
+    for r in rows:
+        pack.append(r)
+        chars += len(r[5] or "")
+        if len(pack) >= _PACK_ROWS or chars >= _PACK_CHARS:
+            yield (pickle.dumps(pack),)
+            pack, chars = [], 0
+    if pack:
+        yield (pickle.dumps(pack),)
+
+
 class Turns(StatefulProcessor):
     """Turns of one chat: the open turn's numbers, its texts, and the rows that the watermark has not passed.
 
-    Texts and rows are appended as they come; rows are rewritten only when a timer finds some of them ready.
+    Texts and packs of rows are appended as they come; rows are rewritten only when a timer finds some of them ready. A turn
+    that opens and closes within one timer does not touch the state.
     """
 
     def __init__(self, gap_us: int):
@@ -89,32 +106,39 @@ class Turns(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _WAITING)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        new = []
-        for r in rows:
-            said = r.normalized_text if r.token_count > 0 and r.normalized_text.strip() else None
-            new.append((r.sent_us, r.telegram_id, r.id, r.author_id, r.is_outgoing, said, r.media_kind))
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(r[0] for r in new) // 1000)
+        first = None
+
+        def new() -> Iterator[tuple]:
+            nonlocal first
+            for r in rows:
+                us, text = r.sent_us, r.normalized_text
+                first = us if first is None else min(first, us)
+                yield us, r.telegram_id, r.id, r.author_id, r.is_outgoing, text if r.token_count > 0 and text.strip() else None, r.media_kind
+
+        for pack in _packs(new()):
+            self.waiting.appendValue(pack)
+        self.handle.registerTimer(first // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
+        rows = [w for pack in self.waiting.get() for w in pickle.loads(pack[0])] if self.waiting.exists() else []  # noqa: S301
         ready, rest = sorted((w for w in rows if w[0] < mark), key=lambda w: w[:3]), [w for w in rows if w[0] >= mark]
         turn = self.open.get() if self.open.exists() else None
         said: list[tuple[str]] = []  # texts of the open turn that are not stored yet
+        kept = bool(turn)  # whether the state can hold texts of the open turn
         for us, _, first, author, outgoing, text, kind in ready:
             if turn and (turn[0] != author or us - turn[4] > self.gap):
-                yield from self._close(key[0], turn, said)
-                turn, said = None, []
+                yield from self._close(key[0], turn, said, kept)
+                turn, said, kept = None, [], False
             _, first, _, started, _, n, voices = turn or (None, first, None, us, None, 0, 0)
             turn = (author, first, turn[2] if turn else outgoing, started, us, n + 1, voices + (kind == "voice"))
             said += [(text,)] if text else []
         if turn and mark > turn[4] + self.gap and not any(w[0] <= turn[4] + self.gap for w in rest):
-            yield from self._close(key[0], turn, said)
+            yield from self._close(key[0], turn, said, kept)
             turn, said = None, []
         if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
+            self.waiting.put([*_packs(rest)]) if rest else self.waiting.clear()
         if turn:
             self.open.update(tuple(turn))
             if said:
@@ -125,13 +149,14 @@ class Turns(StatefulProcessor):
         if due or turn:
             self.handle.registerTimer(min(due + ([turn[4] + self.gap] if turn else [])) // 1000)
 
-    def _close(self, chat: int, turn: tuple, said: list[tuple[str]]) -> Iterator[Row]:
-        texts = [t[0] for t in self.texts.get()] if self.texts.exists() else []
+    def _close(self, chat: int, turn: tuple, said: list[tuple[str]], kept: bool) -> Iterator[Row]:
+        texts = [t[0] for t in self.texts.get()] if kept and self.texts.exists() else []
         texts += [t[0] for t in said]
-        self.texts.clear()
+        if kept:
+            self.texts.clear()
         author, first, outgoing, started, ended, n, voices = turn
         if texts:
-            yield Row(chat_id=chat, first_message_id=first, author_id=author, is_outgoing=outgoing, started_us=started, ended_us=ended, message_count=n, text=" ".join(texts), voice_count=voices)
+            yield _Turn(chat, first, author, outgoing, started, ended, n, " ".join(texts), voices)
 
 
 def stream_utterances(messages: DataFrame, gap_seconds: int = 120, lateness: str = "10 minutes") -> DataFrame:

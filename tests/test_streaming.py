@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from chatloom.operators import layers, sessions
@@ -80,3 +81,69 @@ def test_bursts(spark, tmp_path):
     path = files(spark.createDataFrame(rows, "chat_id long, sender_id long, sent_at timestamp"), tmp_path / "b", "sent_at")
     got = run(ingest.stream_burst_counts(ingest.stream_messages(spark, path, "chat_id long, sender_id long, sent_at timestamp", files_per_batch=1)), tmp_path, "bursts")
     assert sorted(r.n for r in got.where("sender_id = 7").collect()) == [1, 3]
+
+
+class Values:
+    """A state variable that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = [], 0
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls += 1
+            if name == "exists":
+                return bool(self.held)
+            if name == "get":
+                return iter([*self.held]) if not self.single else self.held[0]
+            self.held = {"clear": lambda: [], "update": lambda v: [v], "put": lambda v: [*v], "appendValue": lambda v: [*self.held, v], "appendList": lambda v: [*self.held, *v]}[name](*given)
+
+        return call
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def make(self, name, single):
+        self.states[name] = v = Values()
+        v.single = single
+        return v
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.make(name, True)
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.make(name, False)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_state_is_called_by_the_pack(monkeypatch):
+    """5,000 rows that make 2,500 turns take a few calls of the state, in any packs, and a turn goes on over timers."""
+    said = Row("sent_us", "telegram_id", "id", "author_id", "is_outgoing", "normalized_text", "token_count", "media_kind")
+    rows = [said(i * 1_000_000, i, i, i // 2 % 2, False, f"w{i}", 1, "voice" if i % 10 == 0 else "") for i in range(5000)]
+    results = []
+    for pack, cuts in ((1 << 10, (5001,)), (1, (1001, 1002, 2000, 5001)), (7, (5001,))):
+        monkeypatch.setattr(ingest, "_PACK_ROWS", pack)
+        handle, turns, got = Handle(), ingest.Turns(120_000_000), []
+        turns.init(handle)
+        assert [*turns.handleInputRows((1,), iter(rows[::-1]), Clock(0))] == [] and handle.timers == [0]
+        for cut in cuts:
+            got += turns.handleExpiredTimer((1,), Clock(cut * 1000), None)
+        got += turns.handleExpiredTimer((1,), Clock(10_000_000), None)
+        results.append(got)
+        if pack == 1 << 10:
+            assert sum(v.calls for v in handle.states.values()) < 40
+        assert not any(v.held for v in handle.states.values())
+    assert results[0] == results[1] == results[2] and len(results[0]) == 2500
+    assert results[0][0].asDict() == {"chat_id": 1, "first_message_id": 0, "author_id": 0, "is_outgoing": False, "started_us": 0, "ended_us": 1_000_000, "message_count": 2, "text": "w0 w1", "voice_count": 1}
