@@ -52,6 +52,21 @@ def store_layers(messages: DataFrame, path: str) -> dict[str, LayerStore]:
     return {n: LayerStore(messages.sparkSession, f"{path}/{n}", KEYS[n], [c for c in columns[n] if c not in KEYS[n] and c not in KEEP[n]], spread[n]) for n in KEYS}
 
 
+def layers_sink(stores: dict[str, LayerStore]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges a batch's messages, each once, and the layers made of them into store_layers.
+
+    The layers are made of the rows that the messages' store has written, so that a batch is shuffled once.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        stores["messages"].merge(latest(batch.repartition(*KEYS["messages"]), KEYS["messages"]), number)
+        once = stores["messages"].batch(number, batch)
+        for name, make in (("semantic", build_semantic), ("signals", extract_signals)):
+            stores[name].merge(make(once), number)
+
+    return run
+
+
 def layer_sink(base_path: str, read: Callable[[SparkSession, str, int], DataFrame | None], write: Callable[[DataFrame, str, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that upserts a batch of messages and its layers.
 

@@ -52,3 +52,21 @@ def test_a_batch_that_died(spark, tmp_path):
     assert sorted(r.k for r in kept.read().collect()) == [1, 2]
     kept.merge(spark.createDataFrame([], SCHEMA), 2)
     assert sorted(r.k for r in kept.read().collect()) == [1, 2]
+
+
+def test_a_batch_is_written_once_and_parts_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "BUCKETS", 1)
+    kept = store.LayerStore(spark, f"file://{tmp_path}/s", ["k", "part"], ["a"], "part")
+    rows_in = lambda name: spark.read.parquet(f"{tmp_path}/s/{name}").count() if Path(tmp_path, "s", name).exists() else 0
+    for number in range(7):
+        kept.merge(spark.createDataFrame([(k, 1, f"a{number}", f"b{number}") for k in range(number, number + 3)], SCHEMA), number)
+        assert rows_in(f"data-{number}") == 3 and kept.batch(number, kept.read()).count() == 3  # what the bucket held is not written again
+        assert rows_of(kept.read()) == sorted((k, 1, f"a{min(k, number)}", f"b{max(0, k - 2)}") for k in range(number + 3))
+    assert len(kept._newest()) <= store.PARTS + 1 and rows_in("data-4-old") == 6
+
+
+def test_a_batch_without_a_column(spark, tmp_path):
+    kept = store.LayerStore(spark, f"file://{tmp_path}/s", ["k"], ["a", "b"], "part")
+    kept.merge(spark.createDataFrame([(1, 1, "x", "y"), (2, 2, "x", "y")], SCHEMA), 0)
+    kept.merge(spark.createDataFrame([(2, 2, "new"), (3, 3, "new")], "k long, part long, a string"), 1)
+    assert sorted(map(tuple, kept.read().select("k", "a", "b").collect())) == [(1, "x", "y"), (2, "new", "y"), (3, "new", None)]
